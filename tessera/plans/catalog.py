@@ -7,6 +7,7 @@ import importlib
 # Families in build order; each module exposes QUERIES and SQL dicts.
 _FAMILIES = (
     "tessera.plans.q_curation",
+    "tessera.plans.q_metrics",
 )
 
 
