@@ -64,3 +64,51 @@ def v2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         pred.alias("predict"),
         F.coalesce(F.col("_next"), F.lit("")).alias("ref2"),
     )
+
+
+# The five evaluated projects (dimension of the per-project report).
+PROJECTS = ("chart", "cli", "csv", "gson", "lang")
+
+# event type -> run outcome used by V3
+EVENT_RESULT = (("purchase", "CORRECT"), ("view", "PASS"), ("click", "TE"),
+                ("signup", "CE"), ("error", "SE"))
+
+
+def _project_of(user_id: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(p) for p in PROJECTS]), (user_id % 5 + 1).cast("int"))
+
+
+def v3_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run results: one row per (model, item, method run).
+
+    ``revision`` is ``<project>_<n>``; every 97th event has a revision without
+    ``_`` and every 89th an unknown project, to exercise those rules.
+    ``run`` is ``fixed`` for even event ids, ``buggy`` for odd ones.
+    """
+    e = table(spark, sf_dir, "events")
+    res = F.lit(None).cast("string")
+    for et, r in reversed(EVENT_RESULT):
+        res = F.when(F.col("event_type") == et, F.lit(r)).otherwise(res)
+    rev = (F.when(F.col("event_id") % 97 == 0, F.lit("unknown"))
+           .when(F.col("event_id") % 89 == 0, F.concat(F.lit("math_"), (F.col("event_id") % 40).cast("string")))
+           .otherwise(F.concat(_project_of(F.col("user_id")), F.lit("_"),
+                               (F.col("event_id") % 40).cast("string"))))
+    return e.select(
+        F.col("event_id"), F.col("ts"),
+        F.concat(F.lit("m"), (F.col("user_id") % 6).cast("string")).alias("model"),
+        rev.alias("revision"),
+        F.when(F.col("event_id") % 2 == 0, F.lit("fixed")).otherwise(F.lit("buggy")).alias("run"),
+        res.alias("result"))
+
+
+def v8_tool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool output per run: exit code, stdout text and the generated code."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object(F.col("props"), "$.k")
+    return e.select(
+        F.col("event_id"),
+        F.when(F.col("event_type") == "signup", F.lit(1)).otherwise(F.lit(0)).alias("exit_code"),
+        F.concat(F.lit("Running tests...\nFailing tests: "), (F.col("event_id") % 3).cast("string"),
+                 F.lit("\nLines covered: "), F.coalesce(k, F.lit("0")), F.lit("\n")).alias("stdout"),
+        F.when(F.col("event_type") == "error", F.lit("class T { Syntax Error }"))
+        .otherwise(F.lit("class T { void t() {} }")).alias("code"))

@@ -8,6 +8,7 @@ import importlib
 _FAMILIES = (
     "tessera.plans.q_curation",
     "tessera.plans.q_metrics",
+    "tessera.plans.q_results",
 )
 
 

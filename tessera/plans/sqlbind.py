@@ -33,3 +33,25 @@ FROM documents d
 LEFT JOIN documents p ON p.doc_id = d.doc_id - 1
 LEFT JOIN documents n ON n.doc_id = d.doc_id + 1
 """
+
+V3 = """
+SELECT event_id, ts,
+  'm' || CAST(user_id % 6 AS VARCHAR) AS model,
+  CASE WHEN event_id % 97 = 0 THEN 'unknown'
+       WHEN event_id % 89 = 0 THEN 'math_' || CAST(event_id % 40 AS VARCHAR)
+       ELSE (['chart', 'cli', 'csv', 'gson', 'lang'])[user_id % 5 + 1] || '_' || CAST(event_id % 40 AS VARCHAR)
+  END AS revision,
+  CASE WHEN event_id % 2 = 0 THEN 'fixed' ELSE 'buggy' END AS run,
+  CASE event_type WHEN 'purchase' THEN 'CORRECT' WHEN 'view' THEN 'PASS' WHEN 'click' THEN 'TE'
+                  WHEN 'signup' THEN 'CE' WHEN 'error' THEN 'SE' END AS result
+FROM events
+"""
+
+V8_LOGS = """
+SELECT event_id,
+  CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS exit_code,
+  'Running tests...' || chr(10) || 'Failing tests: ' || CAST(event_id % 3 AS VARCHAR) || chr(10)
+    || 'Lines covered: ' || coalesce(json_extract_string(props, '$.k'), '0') || chr(10) AS stdout,
+  CASE WHEN event_type = 'error' THEN 'class T { Syntax Error }' ELSE 'class T { void t() {} }' END AS code
+FROM events
+"""
