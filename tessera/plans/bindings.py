@@ -112,3 +112,15 @@ def v8_tool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lit("\nLines covered: "), F.coalesce(k, F.lit("0")), F.lit("\n")).alias("stdout"),
         F.when(F.col("event_type") == "error", F.lit("class T { Syntax Error }"))
         .otherwise(F.lit("class T { void t() {} }")).alias("code"))
+
+
+def v5_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training logs: ``run = user_id % 20``, steps in time order, every 4th
+    event an ``eval_loss`` point, the rest ``loss``."""
+    e = table(spark, sf_dir, "events")
+    run = (F.col("user_id") % 20).alias("run")
+    w = Window.partitionBy(F.col("user_id") % 20).orderBy("ts", "event_id")
+    return e.select(
+        run, F.row_number().over(w).cast("long").alias("step"),
+        F.when(F.col("event_id") % 4 == 0, F.lit("eval_loss")).otherwise(F.lit("loss")).alias("metric"),
+        F.col("value"))

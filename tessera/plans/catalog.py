@@ -9,6 +9,7 @@ _FAMILIES = (
     "tessera.plans.q_curation",
     "tessera.plans.q_metrics",
     "tessera.plans.q_results",
+    "tessera.plans.q_runlogs",
 )
 
 

@@ -55,3 +55,11 @@ SELECT event_id,
   CASE WHEN event_type = 'error' THEN 'class T { Syntax Error }' ELSE 'class T { void t() {} }' END AS code
 FROM events
 """
+
+V5 = """
+SELECT user_id % 20 AS run,
+  row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS step,
+  CASE WHEN event_id % 4 = 0 THEN 'eval_loss' ELSE 'loss' END AS metric,
+  value
+FROM events
+"""
