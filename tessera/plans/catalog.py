@@ -10,6 +10,7 @@ _FAMILIES = (
     "tessera.plans.q_metrics",
     "tessera.plans.q_results",
     "tessera.plans.q_runlogs",
+    "tessera.plans.q_splits",
 )
 
 
