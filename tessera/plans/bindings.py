@@ -124,3 +124,93 @@ def v5_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
         run, F.row_number().over(w).cast("long").alias("step"),
         F.when(F.col("event_id") % 4 == 0, F.lit("eval_loss")).otherwise(F.lit("loss")).alias("metric"),
         F.col("value"))
+
+
+EOS_ID, PAD_ID = 2, 0
+
+
+def v7_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token-id arrays: id = length*31 + code point of the first character."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = F.transform(ws_tokens("text"), lambda t: F.length(t) * 31 + F.ascii(t))
+    x = d.select(F.col("doc_id").alias("idx"), ids.alias("ids"))
+    n = F.size("ids")
+    k = F.floor(n / 3).cast("int")
+    return x.select(
+        "idx", "ids",
+        F.slice("ids", F.lit(1), k).alias("p1"),
+        F.slice("ids", k + 1, k).alias("p2"),
+        F.slice("ids", 2 * k + 1, n - 2 * k).alias("p3"),
+        F.floor(F.col("idx") / 16).cast("long").alias("batch"),
+        F.concat(F.array_repeat(F.lit(PAD_ID), (F.col("idx") % 3).cast("int")), F.col("ids")).alias("padded_pred"),
+    )
+
+
+def rotate(ids: Column, b: Column | int) -> Column:
+    bb = F.lit(b) if isinstance(b, int) else b
+    return F.concat(F.slice(ids, bb + 1, F.greatest(F.size(ids) - bb, F.lit(0))),
+                    F.slice(ids, F.lit(1), F.least(bb, F.size(ids))))
+
+
+def v7_beams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beams 0-3 per sample (ids rotated by the beam number); the label is the
+    rotation by ``idx % 5``, so it equals a beam unless ``idx % 5 = 4``."""
+    a = v7_arrays(spark, sf_dir).select("idx", "ids")
+    b = a.select("idx", "ids", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("beam"))
+    return b.select(F.col("idx").alias("sample"), "beam",
+                    rotate(F.col("ids"), F.col("beam")).alias("tokens"),
+                    rotate(F.col("ids"), (F.col("idx") % 5).cast("int")).alias("label"))
+
+
+def v8_chat_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant replies; wrapped in a java fence when ``conv_id % 3 <> 0``."""
+    c = table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    wrapped = F.concat(F.lit("Here is the test:\n```java\n"), F.col("text"), F.lit("\n```\nDone."))
+    return c.select("conv_id", "turn", F.when(F.col("conv_id") % 3 != 0, wrapped)
+                    .otherwise(F.col("text")).alias("reply"))
+
+
+def v2_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prediction rows for V2 keys: ``nothing`` for ``doc_id % 11 = 0``; a second,
+    later row (``ord = 2``) for ``doc_id % 5 = 0``; list-shaped predictions
+    (``items``) for ``doc_id % 6 = 5``."""
+    v2 = v2_pairs(spark, sf_dir)
+    first = v2.select("id", "revision", "label", F.lit(1).alias("ord"),
+                      F.when(F.col("id") % 11 == 0, F.lit("nothing")).otherwise(F.col("predict")).alias("p"))
+    second = v2.filter(F.col("id") % 5 == 0).select(
+        "id", "revision", "label", F.lit(2).alias("ord"),
+        F.concat(F.col("predict"), F.lit(" (retry)")).alias("p"))
+    u = first.unionByName(second)
+    is_list = F.col("id") % 6 == 5
+    return u.select("id", "revision", "label", "ord",
+                    F.when(~is_list, F.col("p")).alias("predict"),
+                    F.when(is_list, F.split(F.col("p"), " ")).alias("items"))
+
+
+def v6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class members: class = order, method n = line rank inside the order."""
+    li = table(spark, sf_dir, "lineitem")
+    pt = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    w = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    j = li.join(pt, li.l_partkey == pt.p_partkey)
+    n = F.row_number().over(w)
+    mods = (F.when(F.col("l_returnflag") == "A", F.array(F.lit("public")))
+            .when(F.col("l_returnflag") == "N", F.array(F.lit("public"), F.lit("static")))
+            .otherwise(F.array(F.lit("private"))))
+    x = j.select(
+        F.col("l_orderkey").alias("class_id"),
+        n.cast("long").alias("n"),
+        F.col("l_quantity"), F.col("l_linenumber"),
+        mods.alias("modifiers"),
+        F.col("p_name").alias("body"),
+        F.array(F.col("p_type")).alias("params"),
+        F.when(F.col("l_linestatus") == "F", F.lit(None).cast("string")).otherwise(F.lit("int")).alias("return_type"),
+        F.array(F.col("p_brand"), F.col("p_type"), F.lit("org.junit.Test")).alias("import_list"))
+    return x.select(
+        "class_id", "n", F.concat(F.lit("m"), F.col("n").cast("string")).alias("name"),
+        (F.col("n") * 10).alias("start"),
+        (F.col("n") * 10 + F.floor(F.col("l_quantity") / 4)).cast("long").alias("end"),
+        "modifiers", "body", "params", "return_type", "import_list", "l_linenumber",
+        F.concat(F.lit("proj"), (F.col("class_id") % 7).cast("string")).alias("project"),
+        F.concat(F.lit("org.example.p"), (F.col("class_id") % 3).cast("string")).alias("package_info"))

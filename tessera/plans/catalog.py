@@ -11,6 +11,7 @@ _FAMILIES = (
     "tessera.plans.q_results",
     "tessera.plans.q_runlogs",
     "tessera.plans.q_splits",
+    "tessera.plans.q_arrays",
 )
 
 

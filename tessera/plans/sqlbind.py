@@ -63,3 +63,59 @@ SELECT user_id % 20 AS run,
   value
 FROM events
 """
+
+
+def rot(ids: str, b: str) -> str:
+    return (f"list_concat(list_slice({ids}, {b} + 1, len({ids})), "
+            f"list_slice({ids}, 1, least({b}, len({ids}))))")
+
+
+V7 = f"""
+SELECT idx, ids, list_slice(ids, 1, k) AS p1, list_slice(ids, k + 1, 2 * k) AS p2,
+       list_slice(ids, 2 * k + 1, len(ids)) AS p3, CAST(floor(idx / 16) AS BIGINT) AS batch,
+       list_concat(list_resize([]::INTEGER[], CAST(idx % 3 AS INTEGER), 0), ids) AS padded_pred
+FROM (SELECT idx, ids, CAST(floor(len(ids) / 3) AS INTEGER) AS k
+      FROM (SELECT doc_id AS idx,
+                   list_transform({toks('text')}, lambda t: CAST(length(t) * 31 + unicode(t) AS INTEGER)) AS ids
+            FROM documents))
+"""
+
+V7_BEAMS = f"""
+SELECT idx AS sample, beam, {rot('ids', 'beam')} AS tokens, {rot('ids', 'CAST(idx % 5 AS INTEGER)')} AS label
+FROM (SELECT idx, ids FROM ({V7})), (SELECT unnest(range(0, 4)) AS beam)
+"""
+
+V8_CHAT = """
+SELECT conv_id, turn,
+  CASE WHEN conv_id % 3 <> 0
+       THEN 'Here is the test:' || chr(10) || '```java' || chr(10) || text || chr(10) || '```' || chr(10) || 'Done.'
+       ELSE text END AS reply
+FROM conversations WHERE role = 'assistant'
+"""
+
+V2_PRED = f"""
+SELECT id, revision, label, ord,
+  CASE WHEN id % 6 <> 5 THEN p END AS predict,
+  CASE WHEN id % 6 = 5 THEN string_split(p, ' ') END AS items
+FROM (
+  SELECT id, revision, label, 1 AS ord, CASE WHEN id % 11 = 0 THEN 'nothing' ELSE predict END AS p FROM ({V2})
+  UNION ALL
+  SELECT id, revision, label, 2, predict || ' (retry)' FROM ({V2}) WHERE id % 5 = 0)
+"""
+
+V6 = """
+SELECT class_id, n, 'm' || CAST(n AS VARCHAR) AS name, n * 10 AS start,
+  CAST(n * 10 + floor(l_quantity / 4) AS BIGINT) AS "end", modifiers, body, params, return_type,
+  import_list, l_linenumber, 'proj' || CAST(class_id % 7 AS VARCHAR) AS project,
+  'org.example.p' || CAST(class_id % 3 AS VARCHAR) AS package_info
+FROM (
+  SELECT l.l_orderkey AS class_id,
+    row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
+                       l.l_extendedprice, l.l_shipdate) AS n,
+    l.l_quantity, l.l_linenumber,
+    CASE l.l_returnflag WHEN 'A' THEN ['public'] WHEN 'N' THEN ['public', 'static'] ELSE ['private'] END AS modifiers,
+    p.p_name AS body, [p.p_type] AS params,
+    CASE WHEN l.l_linestatus = 'F' THEN NULL ELSE 'int' END AS return_type,
+    [p.p_brand, p.p_type, 'org.junit.Test'] AS import_list
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)
+"""
