@@ -12,6 +12,8 @@ _FAMILIES = (
     "tessera.plans.q_runlogs",
     "tessera.plans.q_splits",
     "tessera.plans.q_arrays",
+    "tessera.plans.q_predictions",
+    "tessera.plans.q_classes",
 )
 
 
