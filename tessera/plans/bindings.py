@@ -214,3 +214,48 @@ def v6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         "modifiers", "body", "params", "return_type", "import_list", "l_linenumber",
         F.concat(F.lit("proj"), (F.col("class_id") % 7).cast("string")).alias("project"),
         F.concat(F.lit("org.example.p"), (F.col("class_id") % 3).cast("string")).alias("package_info"))
+
+
+def v10_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Data-flow edges over whole V2 texts: one edge per token position whose
+    parent is the previous token; every third position is a definition."""
+    v2 = v2_pairs(spark, sf_dir)
+    sides = v2.select(F.col("idx").alias("item"), F.inline(F.array(
+        F.struct(F.lit("ref").alias("side"), ws_tokens("label").alias("t")),
+        F.struct(F.lit("cand").alias("side"), ws_tokens("predict").alias("t")))))
+    e = sides.select("item", "side", "t", F.posexplode("t").alias("pos", "name"))
+    prev = F.when(F.col("pos") > 0, F.array(F.element_at("t", F.col("pos")))).otherwise(F.array().cast("array<string>"))
+    ppos = F.when(F.col("pos") > 0, F.array(F.col("pos") - 1)).otherwise(F.array().cast("array<int>"))
+    return e.select("item", "side", "name", F.col("pos").cast("int").alias("pos"),
+                    F.when(F.col("pos") % 3 == 0, F.lit("computedFrom")).otherwise(F.lit("comesFrom")).alias("rel"),
+                    prev.alias("parents"), ppos.alias("parent_pos"),
+                    (F.col("pos") % 3 == 0).alias("is_def"))
+
+
+def v9_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag subtrees per page: ``tag:depth`` for every opening tag, depth being
+    the running open/close balance. The candidate side is the page with
+    ``<b>`` rewritten as ``<strong>``."""
+    from tessera.operators.flow import tag_tokens
+    p = table(spark, sf_dir, "pages").select("page_id", "html")
+    sides = p.select(F.col("page_id").alias("item"), F.inline(F.array(
+        F.struct(F.lit("ref").alias("side"), tag_tokens(F.col("html")).alias("tags")),
+        F.struct(F.lit("cand").alias("side"), tag_tokens(
+            F.regexp_replace(F.regexp_replace("html", "<b>", "<strong>"), "</b>", "</strong>")).alias("tags")))))
+    # depth = running open/close balance over the page's tags (one page per window)
+    ex = sides.select("item", "side", F.posexplode("tags").alias("pos", "tag"))
+    w = Window.partitionBy("item", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    ex = ex.withColumn("depth", F.sum(F.when(F.col("tag").startswith("</"), -1).otherwise(1)).over(w))
+    opens = ex.filter(~F.col("tag").startswith("</"))
+    return opens.select("item", "side", F.concat(F.substring("tag", 2, 100), F.lit(":"),
+                                                  F.col("depth").cast("string")).alias("subtree"),
+                        F.col("depth").cast("long").alias("depth"))
+
+
+def v9_code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code-like text per page holding a line comment, a block comment and
+    a string literal containing ``//`` (from the URL)."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    host = F.regexp_extract("url", "//([^/]+)", 1)
+    return p.select("page_id", "url", F.concat(F.lit('u="'), F.col("url"), F.lit('"; // '), host,
+                                               F.lit("\n/* ad */ y();\n\n/** doc */ z();\n")).alias("code"))

@@ -14,6 +14,7 @@ _FAMILIES = (
     "tessera.plans.q_arrays",
     "tessera.plans.q_predictions",
     "tessera.plans.q_classes",
+    "tessera.plans.q_flow",
 )
 
 

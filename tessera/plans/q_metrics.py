@@ -178,13 +178,13 @@ def _v2_score(nums, dens, method, c, r, weights=(0.25, 0.25, 0.25, 0.25), prec=N
     return f"(CASE WHEN {nums[0]} = 0 THEN 0.0 {undefined}ELSE {bp} * exp({s}) END)", bp
 
 
-def _bleu_v2_sql():
+def _bleu_v2_sql(refs=("label", "ref2")):
     nums = [f"CAST(M{k} AS DOUBLE)" for k in range(1, 5)]
     dens = [f"CAST(D{k} AS DOUBLE)" for k in range(1, 5)]
     score, bp = _v2_score(nums, dens, 1, "c", "r")
     sums = ", ".join(f"sum(m{k}) AS M{k}, sum(greatest(hl - {k - 1}, 1)) AS D{k}"
                      for k in range(1, 5))
-    return stats_sql(["label", "ref2"]) + f""",
+    return stats_sql(list(refs)) + f""",
 tot AS (SELECT sum(hl) AS c, sum(rclose) AS r, {sums} FROM stats)
 SELECT round({score}, 6) AS bleu, round({bp}, 6) AS bp, c AS hyp_length, r AS ref_length FROM tot"""
 
