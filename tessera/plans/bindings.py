@@ -259,3 +259,17 @@ def v9_code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", "//([^/]+)", 1)
     return p.select("page_id", "url", F.concat(F.lit('u="'), F.col("url"), F.lit('"; // '), host,
                                                F.lit("\n/* ad */ y();\n\n/** doc */ z();\n")).alias("code"))
+
+
+def v4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as ``source`` with the following turns as targets; the
+    signature is the first five tokens of the source."""
+    c = table(spark, sf_dir, "conversations")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    x = c.select("conv_id", "turn", "role", "text",
+                 F.lead("text", 1).over(w).alias("next1"), F.lead("text", 2).over(w).alias("next2"))
+    u = x.filter(F.col("role") == "user")
+    return u.select("conv_id", "turn", F.col("text").alias("source"), F.col("next1").alias("target"),
+                    F.array_join(F.slice(ws_tokens("text"), 1, 5), " ").alias("signature"),
+                    F.col("text").alias("focal_src"), F.col("next1").alias("focal_tgt"),
+                    F.col("next2").alias("test_src"))

@@ -15,6 +15,7 @@ _FAMILIES = (
     "tessera.plans.q_predictions",
     "tessera.plans.q_classes",
     "tessera.plans.q_flow",
+    "tessera.plans.q_shape",
 )
 
 

@@ -119,3 +119,12 @@ FROM (
     [p.p_brand, p.p_type, 'org.junit.Test'] AS import_list
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey)
 """
+
+V4 = f"""
+SELECT conv_id, turn, text AS source, next1 AS target,
+  array_to_string(list_slice({toks('text')}, 1, 5), ' ') AS signature,
+  text AS focal_src, next1 AS focal_tgt, next2 AS test_src
+FROM (SELECT *, lead(text, 1) OVER (PARTITION BY conv_id ORDER BY turn) AS next1,
+             lead(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS next2 FROM conversations)
+WHERE role = 'user'
+"""
