@@ -100,6 +100,12 @@ def pad_sequence(toks: Column, n: int, left: str | None = None,
     return out
 
 
+def _parallelism(df: DataFrame) -> int:
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(shuffle, spark.sparkContext.defaultParallelism * 2)
+
+
 def sides_frame(df: DataFrame, item: str, hyp: str, refs: Sequence[str],
                 pattern: str = UNICODE_WS, partitions: int | None = None) -> DataFrame:
     """Tokenised sides ``(item, side, ref_idx, toks)``; ``side`` is ``h`` or ``r``.
@@ -112,35 +118,56 @@ def sides_frame(df: DataFrame, item: str, hyp: str, refs: Sequence[str],
     for k, r in enumerate(refs):
         parts.append(F.struct(F.lit("r").alias("side"), F.lit(k).alias("ref_idx"),
                               tokens(r, pattern).alias("toks")))
-    base = df.repartition(partitions, item) if partitions else df.repartition(item)
+    # An explicit count keeps AQE from coalescing this shuffle into a few large
+    # tasks: n-gram generation multiplies each row's work many times over.
+    n = partitions or _parallelism(df)
+    base = df.repartition(n, item)
     return base.select(F.col(item).alias("item"), F.inline(F.array(*parts)))
 
 
-def gram_counts(sides: DataFrame, max_order: int = 4) -> DataFrame:
-    """Counts per ``(item, side, ref_idx, order, gram)``."""
-    x = sides.select("item", "side", "ref_idx", "toks",
-                     F.explode(F.sequence(F.lit(1), F.lit(max_order))).alias("order"))
-    x = x.select("item", "side", "ref_idx", "order",
-                 F.explode(ngram_array(F.col("toks"), F.col("order"))).alias("gram"))
-    return x.groupBy("item", "side", "ref_idx", "order", "gram").agg(
-        F.count(F.lit(1)).alias("cnt"))
+def ngrams_regex(joined: Column, n: int) -> Column:
+    """All n-grams of a space-joined token string via one overlapping regex
+    scan (lookahead capture per token start); no per-gram lambda calls."""
+    if n == 1:
+        return F.split(joined, " ")
+    return F.regexp_extract_all(joined, F.lit("(?=([^ ]+(?: [^ ]+){%d}))[^ ]+" % (n - 1)), 1)
+
+
+def gram_rows(sides: DataFrame, max_order: int = 4) -> DataFrame:
+    """One row per n-gram occurrence: ``(item, side, ref_idx, order, gram)``.
+
+    Tokens never contain a space, so joining them with single spaces gives a
+    string whose n-grams are found by a regex scan; this keeps the generator
+    on compiled expressions instead of interpreted higher-order lambdas.
+    """
+    joined = F.array_join(F.col("toks"), " ")
+    per_order = F.array(*[F.struct(F.lit(k).alias("order"), F.when(F.size("toks") >= k, ngrams_regex(joined, k))
+                                   .otherwise(F.array().cast("array<string>")).alias("grams"))
+                          for k in range(1, max_order + 1)])
+    x = sides.select("item", "side", "ref_idx", F.inline(per_order))
+    return x.select("item", "side", "ref_idx", "order", F.explode("grams").alias("gram"))
+
+
+def gram_table(rows: DataFrame, n_refs: int) -> DataFrame:
+    """``(item, order, gram, h, r0..r{n-1})``: hypothesis count and each
+    reference's count, in one hash aggregate (counts are plain longs, so the
+    aggregate stays on the fast fixed-width path and combines map-side)."""
+    side, ref = F.col("side"), F.col("ref_idx")
+    return rows.groupBy("item", "order", "gram").agg(
+        F.count_if(side == "h").alias("h"),
+        *[F.count_if((side == "r") & (ref == k)).alias(f"r{k}") for k in range(n_refs)])
 
 
-def gram_table(counts: DataFrame) -> DataFrame:
-    """``(item, order, gram, h, refs)``: hypothesis count and each reference's count."""
-    return counts.groupBy("item", "order", "gram").agg(
-        F.coalesce(F.sum(F.when(F.col("side") == "h", F.col("cnt"))), F.lit(0)).alias("h"),
-        F.filter(F.collect_list(F.when(F.col("side") == "r", F.struct(
-            F.col("ref_idx").alias("ref_idx"), F.col("cnt").alias("rc")))),
-            lambda s: s.isNotNull()).alias("refs"))
+def ref_cols(n_refs: int) -> list[Column]:
+    return [F.col(f"r{k}") for k in range(n_refs)]
 
 
-def union_max(refs: Column) -> Column:
-    """Multiset union over references = max count (0 when absent)."""
-    return F.coalesce(F.array_max(F.transform(refs, lambda s: s["rc"])), F.lit(0))
+def union_max(refs: Sequence[Column]) -> Column:
+    """Multiset union over references = max count per gram."""
+    return F.greatest(*refs) if len(refs) > 1 else refs[0]
 
 
-def clipped(h: Column, refs: Column) -> Column:
+def clipped(h: Column, refs: Sequence[Column]) -> Column:
     """Multiset intersection of hypothesis and merged references."""
     return F.least(h, union_max(refs))
 
@@ -178,9 +205,9 @@ def item_stats(pairs: DataFrame, item: str, hyp: str, refs: Sequence[str],
     join and all aggregates here run without another exchange.
     """
     sides = sides_frame(pairs, item, hyp, refs, pattern)
-    gt = gram_table(gram_counts(sides, max_order))
+    gt = gram_table(gram_rows(sides, max_order), len(refs))
     m = gt.groupBy("item").agg(*[
-        F.sum(F.when(F.col("order") == k, clipped(F.col("h"), F.col("refs")))).alias(f"m{k}")
+        F.sum(F.when(F.col("order") == k, clipped(F.col("h"), ref_cols(len(refs))))).alias(f"m{k}")
         for k in range(1, max_order + 1)])
     out = lengths(sides).join(m, "item", "left")
     return out.fillna(0, [f"m{k}" for k in range(1, max_order + 1)])
@@ -352,10 +379,12 @@ def weighted_recall_stats(pairs: DataFrame, item: str, hyp: str, refs: Sequence[
     keyword, else 0.2. Sums run over all references of the item.
     """
     sides = sides_frame(pairs, item, hyp, refs, pattern)
-    gt = gram_table(gram_counts(sides, max_order))
+    gt = gram_table(gram_rows(sides, max_order), len(refs))
     kw = F.broadcast(keywords.select(F.col("token").alias("gram"), F.lit(True).alias("_kw")))
-    x = gt.select("item", "order", "gram", "h", F.explode("refs").alias("r")) \
-        .join(kw, "gram", "left")
+    per_ref_rows = F.array(*[F.struct(F.lit(k).alias("ref_idx"), F.col(f"r{k}").alias("rc"))
+                             for k in range(len(refs))])
+    x = gt.select("item", "order", "gram", "h", F.explode(per_ref_rows).alias("r")) \
+        .filter(F.col("r.rc") > 0).join(kw, "gram", "left")
     w = F.when(F.col("order") == 1,
                F.when(F.col("_kw"), F.lit(1.0)).otherwise(F.lit(0.2))).otherwise(F.lit(1.0))
     rc = F.col("r.rc")
