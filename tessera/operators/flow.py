@@ -47,11 +47,43 @@ def alpha_rename(edges: DataFrame) -> DataFrame:
         "norm", F.concat_ws("|", F.col("nv"), F.col("rel"), F.array_join("pv", ",")))
 
 
-def dataflow_match(edges: DataFrame) -> DataFrame:
+def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     """Matched normalised reference edges (each candidate edge used once)
-    over all reference edges; 0 when there are no reference edges."""
-    n = alpha_rename(prune_unreachable(merge_duplicates(edges)))
-    cnt = n.groupBy("item", "norm").agg(
+    over all reference edges; 0 when there are no reference edges.
+
+    The edges are hash-partitioned by item once; merge (W11), prune (W12),
+    renaming (W8) and counting are then aggregates and windows keyed by item
+    plus more columns, which that partitioning satisfies, so no further
+    exchange is planned until the final one-row total.
+    """
+    spark = edges.sparkSession
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
+                          spark.sparkContext.defaultParallelism * 2)
+    e = edges.repartition(n, "item")
+    # W11 + W12 in one aggregate: every edge row plus one marker row per parent
+    # position it references.
+    own = F.array(F.struct(F.col("pos").alias("p"), F.col("name").alias("nm"), F.col("rel").alias("rl"),
+                           F.col("parents").alias("ps"), F.lit(False).alias("ref")))
+    marks = F.transform("parent_pos", lambda q: F.struct(
+        q.alias("p"), F.lit(None).cast("string").alias("nm"), F.lit(None).cast("string").alias("rl"),
+        F.array().cast("array<string>").alias("ps"), F.lit(True).alias("ref")))
+    rows = e.select(*K, F.inline(F.concat(own, marks)))
+    merged = rows.groupBy(*K, F.col("p").alias("pos")).agg(
+        F.first("nm", ignorenulls=True).alias("name"), F.first("rl", ignorenulls=True).alias("rel"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("parents"),
+        F.bool_or("ref").alias("referenced"))
+    kept = merged.filter(F.col("name").isNotNull() & ((F.size("parents") > 0) | F.col("referenced")))
+    # First appearance of each name, parents before the edge's own name
+    occ = kept.select(*K, "pos", "rel", F.posexplode(F.concat("parents", F.array("name"))).alias("k", "nm"))
+    first = F.min(F.col("pos").cast("long") * 100000 + F.col("k")).over(Window.partitionBy(*K, "nm"))
+    occ = occ.withColumn("_f", first)
+    occ = occ.withColumn("_v", F.dense_rank().over(Window.partitionBy(*K).orderBy("_f")) - 1)
+    per_edge = occ.groupBy(*K, "pos").agg(
+        F.first("rel").alias("rel"), F.array_sort(F.collect_list(F.struct("k", "_v"))).alias("v"))
+    names = F.transform("v", lambda x: F.concat(F.lit("var_"), x["_v"].cast("string")))
+    norm = F.concat_ws("|", F.element_at(names, -1), F.col("rel"),
+                       F.array_join(F.slice(names, 1, F.size(names) - 1), ","))
+    cnt = per_edge.select("item", "side", norm.alias("norm")).groupBy("item", "norm").agg(
         F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cand").alias("c"))
     tot = cnt.agg(F.sum(F.least("r", "c")).alias("m"), F.sum("r").alias("t"))
     return tot.select(F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(F.lit(0.0)).alias("dataflow_match"),

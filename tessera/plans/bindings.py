@@ -223,8 +223,14 @@ def v10_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = v2.select(F.col("idx").alias("item"), F.inline(F.array(
         F.struct(F.lit("ref").alias("side"), ws_tokens("label").alias("t")),
         F.struct(F.lit("cand").alias("side"), ws_tokens("predict").alias("t")))))
-    e = sides.select("item", "side", "t", F.posexplode("t").alias("pos", "name"))
-    prev = F.when(F.col("pos") > 0, F.array(F.element_at("t", F.col("pos")))).otherwise(F.array().cast("array<string>"))
+    # pair each token with its predecessor inside the row, so the generator
+    # does not copy the whole token array into every output row
+    pairs = F.arrays_zip(F.col("t").alias("name"),
+                         F.slice(F.concat(F.array(F.lit(None).cast("string")), F.col("t")),
+                                 1, F.size("t")).alias("prev"))
+    e = sides.select("item", "side", F.posexplode(pairs).alias("pos", "z")) \
+        .select("item", "side", "pos", F.col("z.name").alias("name"), F.col("z.prev").alias("prev_tok"))
+    prev = F.when(F.col("pos") > 0, F.array(F.col("prev_tok"))).otherwise(F.array().cast("array<string>"))
     ppos = F.when(F.col("pos") > 0, F.array(F.col("pos") - 1)).otherwise(F.array().cast("array<int>"))
     return e.select("item", "side", "name", F.col("pos").cast("int").alias("pos"),
                     F.when(F.col("pos") % 3 == 0, F.lit("computedFrom")).otherwise(F.lit("comesFrom")).alias("rel"),
