@@ -177,6 +177,17 @@ SELECT class_id, count(*) AS n_methods, string_agg(name, ',' ORDER BY start, nam
     "code_repair": _M + f"SELECT class_id, n, {_repair(_tail('code'))} AS code FROM mc",
     "rename_test_method": _M + f"SELECT class_id, n, {_rename(_repair('code'), 'name')} AS code FROM mc",
     "test_class_text": _TC + "SELECT class_id, n, text FROM tt",
+    "class_end_position": _TC + r""",
+fo AS (SELECT class_id, n, strpos(text, 'public class') AS st,
+  list_reduce(regexp_extract_all(substr(text, strpos(text, 'public class')), '[\{\}]|[^\{\}]+'),
+    lambda acc, r: {'d': CASE WHEN acc.found >= 0 THEN acc.d WHEN r = '{' THEN acc.d + 1
+                              WHEN r = '}' THEN acc.d - 1 ELSE acc.d END,
+                    'off': acc.off + CAST(length(r) AS BIGINT),
+                    'found': CASE WHEN acc.found < 0 AND r = '}' AND acc.d - 1 = 0 THEN acc.off ELSE acc.found END
+                   }::STRUCT(d BIGINT, off BIGINT, found BIGINT),
+    {'d': CAST(0 AS BIGINT), 'off': CAST(0 AS BIGINT), 'found': CAST(-1 AS BIGINT)}).found AS f
+  FROM tt)
+SELECT class_id, n, CASE WHEN st > 0 AND f >= 0 THEN f + st - 1 END AS end_pos FROM fo""",
 }
 
 QUERIES = {
