@@ -279,3 +279,19 @@ def v4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join(F.slice(ws_tokens("text"), 1, 5), " ").alias("signature"),
                     F.col("text").alias("focal_src"), F.col("next1").alias("focal_tgt"),
                     F.col("next2").alias("test_src"))
+
+
+def v9_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source tree listing derived from pages: package ``org.site.<lang>``,
+    class ``Page<id>``; the root folder rotates over four layouts and every
+    tenth page contributes a ``package-info.java``."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    lang = F.regexp_extract("url", r"\.[a-z]+/([a-z]{2})/", 1)
+    pkg = F.concat(F.lit("org.site."), F.when(lang == "", F.lit("xx")).otherwise(lang))
+    root = F.element_at(F.array(*[F.lit(r) for r in ("src/main/java", "src/java", "source/org/jfree",
+                                                       "src/test/java")]), (F.col("page_id") % 4 + 1).cast("int"))
+    fname = F.when(F.col("page_id") % 10 == 0, F.lit("package-info.java")) \
+        .otherwise(F.concat(F.lit("Page"), F.col("page_id").cast("string"), F.lit(".java")))
+    return p.select("page_id", pkg.alias("package"), F.concat(F.lit("Page"), F.col("page_id").cast("string")).alias("class_name"),
+                    F.concat(root, F.lit("/"), F.replace(pkg, F.lit("."), F.lit("/")), F.lit("/"), fname).alias("path"),
+                    F.col("html").contains("<footer").alias("changed"))

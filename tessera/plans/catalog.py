@@ -16,6 +16,7 @@ _FAMILIES = (
     "tessera.plans.q_classes",
     "tessera.plans.q_flow",
     "tessera.plans.q_shape",
+    "tessera.plans.q_projects",
 )
 
 

@@ -128,3 +128,15 @@ FROM (SELECT *, lead(text, 1) OVER (PARTITION BY conv_id ORDER BY turn) AS next1
              lead(text, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS next2 FROM conversations)
 WHERE role = 'user'
 """
+
+V9_FILES = """
+SELECT page_id, package, 'Page' || CAST(page_id AS VARCHAR) AS class_name,
+  (['src/main/java', 'src/java', 'source/org/jfree', 'src/test/java'])[page_id % 4 + 1] || '/' ||
+    replace(package, '.', '/') || '/' ||
+    CASE WHEN page_id % 10 = 0 THEN 'package-info.java' ELSE 'Page' || CAST(page_id AS VARCHAR) || '.java' END AS path,
+  contains(html, '<footer') AS changed
+FROM (SELECT page_id, html,
+        'org.site.' || CASE WHEN regexp_extract(url, '\\.[a-z]+/([a-z]{2})/', 1) = '' THEN 'xx'
+                            ELSE regexp_extract(url, '\\.[a-z]+/([a-z]{2})/', 1) END AS package
+      FROM pages)
+"""
