@@ -65,4 +65,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan one driver table.
+
+    A scan gets one task per file split; when a table arrives as fewer splits
+    than the cluster has cores (e.g. a single-row-group file), rows are spread
+    round-robin so the per-row text work downstream runs in parallel. Large
+    inputs have plenty of splits and are left untouched.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        df = df.repartition(want)
+    return df
