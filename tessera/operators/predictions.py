@@ -154,3 +154,27 @@ def matching_close(text: Column | str, marker: str, open_: str = "{", close: str
 
     found = F.aggregate(runs, init, step)["found"]
     return F.when((start > 0) & (found >= 0), found + start - 1)
+
+
+def _lstrip_ws(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+", "")
+
+
+def line_span(text: Column, start: Column, end: Column) -> Column:
+    """Lines ``start..end`` (1-based) of ``text``, with ``start`` moved up
+    over directly preceding annotation lines (``@...``) and every line
+    dedented by the first line's indentation."""
+    lines = F.split(text, "\n")
+    above = F.reverse(F.slice(lines, 1, F.greatest(start - 1, F.lit(0))))
+    init = F.struct(F.lit(0).alias("n"), F.lit(False).alias("stop"))
+
+    def step(acc, ln):
+        ann = _lstrip_ws(ln).startswith("@")
+        return F.when(acc["stop"], acc).when(ann, F.struct((acc["n"] + 1).alias("n"), F.lit(False).alias("stop"))) \
+            .otherwise(F.struct(acc["n"].alias("n"), F.lit(True).alias("stop")))
+
+    s = start - F.aggregate(above, init, step)["n"]
+    content = F.slice(lines, s, F.greatest(end - s + 1, F.lit(0)))
+    first = F.element_at(content, 1)
+    indent = F.length(first) - F.length(_lstrip_ws(first))
+    return F.array_join(F.transform(content, lambda ln: F.substring(ln, indent + 1, 2147483647)), "\n")

@@ -96,6 +96,17 @@ def q_test_class_text(spark, sf_dir):
     return m.select("class_id", "n", _test_class(m).alias("text"))
 
 
+def q_method_span_slice(spark, sf_dir):
+    m = v6_members(spark, sf_dir)
+    t = m.select("class_id", "n", _test_class(m).alias("text"))
+    lines = F.split("text", "\n")
+    start = F.array_position(F.transform(lines, lambda ln: F.regexp_replace(ln, r"^\s+", "")
+                                         .startswith("public void")), True).cast("int")
+    end = (F.size(lines) - 2).cast("int")
+    return t.select("class_id", "n", start.cast("long").alias("start"),
+                    pr.line_span(F.col("text"), start, end).alias("content"))
+
+
 def q_class_end_position(spark, sf_dir):
     m = v6_members(spark, sf_dir)
     return m.select("class_id", "n", pr.matching_close(_test_class(m), "public class").cast("long").alias("end_pos"))
@@ -188,6 +199,19 @@ fo AS (SELECT class_id, n, strpos(text, 'public class') AS st,
     {'d': CAST(0 AS BIGINT), 'off': CAST(0 AS BIGINT), 'found': CAST(-1 AS BIGINT)}).found AS f
   FROM tt)
 SELECT class_id, n, CASE WHEN st > 0 AND f >= 0 THEN f + st - 1 END AS end_pos FROM fo""",
+    "method_span_slice": _TC + r""",
+ls AS (SELECT class_id, n, string_split(text, chr(10)) AS lines FROM tt),
+st AS (SELECT *, list_position(list_transform(lines, lambda l: starts_with(regexp_replace(l, '^\s+', ''), 'public void')), true) AS start,
+              len(lines) - 2 AS e FROM ls),
+ab AS (SELECT *, list_reduce(list_reverse(list_slice(lines, 1, start - 1)),
+          lambda acc, l: CASE WHEN acc.stop THEN acc
+                              WHEN starts_with(regexp_replace(l, '^\s+', ''), '@') THEN {'n': acc.n + 1, 'stop': false}
+                              ELSE {'n': acc.n, 'stop': true} END::STRUCT(n BIGINT, stop BOOLEAN),
+          {'n': CAST(0 AS BIGINT), 'stop': false}).n AS k FROM st),
+ct AS (SELECT class_id, n, start, list_slice(lines, start - k, e) AS content FROM ab),
+dd AS (SELECT *, length(content[1]) - length(regexp_replace(content[1], '^\s+', '')) AS ind FROM ct)
+SELECT class_id, n, CAST(start AS BIGINT) AS start,
+       array_to_string(list_transform(content, lambda l: substr(l, ind + 1)), chr(10)) AS content FROM dd""",
 }
 
 QUERIES = {
@@ -204,4 +228,5 @@ QUERIES = {
     "rename_test_method": q_rename_test_method,
     "test_class_text": q_test_class_text,
     "class_end_position": q_class_end_position,
+    "method_span_slice": q_method_span_slice,
 }

@@ -49,6 +49,11 @@ def q_nothing_predictions(spark, sf_dir):
     return p.filter(F.col("predict") == "nothing").select("id", "revision", "ord")
 
 
+def q_head_in_file_order(spark, sf_dir):
+    """O2: the first 500 pairs in file order (a distributed top-k, not a scan cap)."""
+    return v2_pairs(spark, sf_dir).orderBy("idx").limit(500).select("idx", "revision")
+
+
 def q_resume_filter(spark, sf_dir):
     done = v2_predictions(spark, sf_dir).filter(F.col("predict") != "nothing")
     return pr.resume_filter(_corpus(spark, sf_dir), done, ["id", "revision"]).select("id", "revision")
@@ -63,6 +68,7 @@ corpus AS (SELECT id, revision, label AS target FROM ({V2}))
 """
 
 SQL = {
+    "head_in_file_order": f"WITH v2 AS ({V2}) SELECT idx, revision FROM v2 ORDER BY idx LIMIT 500",
     "extract_fenced_code": f"""WITH r AS ({V8_CHAT})
 SELECT conv_id, turn,
   CASE WHEN regexp_matches(reply, '(?s)```java\\s+(.*?)\\s+```')
@@ -94,4 +100,5 @@ QUERIES = {
     "retry_set": q_retry_set,
     "nothing_predictions": q_nothing_predictions,
     "resume_filter": q_resume_filter,
+    "head_in_file_order": q_head_in_file_order,
 }
