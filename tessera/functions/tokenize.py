@@ -47,3 +47,9 @@ def pandas_token_ids(factory: Callable[[], Callable[[str], list[int]]]):
     def apply(col: Column | str) -> Column:
         return ids(F.col(col) if isinstance(col, str) else col)
     return apply
+
+
+def whitespace_encoder() -> Callable[[str], list[int]]:
+    """Stand-in encoder matching the V7 id rule: one id per whitespace token,
+    ``length * 31 + code point of the first character``."""
+    return lambda s: [len(t) * 31 + ord(t[0]) for t in s.split()]

@@ -100,15 +100,11 @@ def test_matching_close(spark):
     assert got[1] is None
 
 
-def _ws_factory():
-    return lambda s: [len(t) for t in s.split()]
-
-
 def test_pluggable_tokenizer_matches_default(spark):
-    from tessera.functions.tokenize import pandas_token_counter, pandas_token_ids
+    from tessera.functions.tokenize import pandas_token_counter, pandas_token_ids, whitespace_encoder
     df = spark.createDataFrame([("a bb  ccc",), ("",), ("x\ty\nz",)], "t string")
-    count = pandas_token_counter(_ws_factory, specials=2)
+    count = pandas_token_counter(whitespace_encoder, specials=2)
     got = df.select(count("t").alias("c"), tx.token_count("t").alias("d"),
-                    pandas_token_ids(_ws_factory)("t").alias("ids")).collect()
+                    pandas_token_ids(whitespace_encoder)("t").alias("ids")).collect()
     assert [r["c"] for r in got] == [r["d"] for r in got]
-    assert got[0]["ids"] == [1, 2, 3]
+    assert got[0]["ids"] == [31 + 97, 62 + 98, 93 + 99]
