@@ -56,9 +56,8 @@ def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame
     plus more columns, which that partitioning satisfies, so no further
     exchange is planned until the final one-row total.
     """
-    spark = edges.sparkSession
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")),
-                          spark.sparkContext.defaultParallelism * 2)
+    from tessera.operators.textmetrics import _parallelism
+    n = partitions or _parallelism(edges)
     e = edges.repartition(n, "item")
     # W11 + W12 in one aggregate: every edge row plus one marker row per parent
     # position it references.

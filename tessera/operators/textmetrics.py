@@ -103,7 +103,10 @@ def pad_sequence(toks: Column, n: int, left: str | None = None,
 def _parallelism(df: DataFrame) -> int:
     spark = df.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(shuffle, spark.sparkContext.defaultParallelism * 2)
+    try:
+        return max(shuffle, spark.sparkContext.defaultParallelism * 2)
+    except Exception:  # noqa: BLE001 - no SparkContext on a Connect session
+        return shuffle
 
 
 def sides_frame(df: DataFrame, item: str, hyp: str, refs: Sequence[str],
