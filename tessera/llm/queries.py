@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, packing, quality_gam, quality_rules, token_counts, toxicity, url_filter
+from . import chat, common, decontaminate, minhash, packing, quality_gam, quality_rules, token_counts, toxicity, url_filter
 
 # (verdict, host and path)
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -24,6 +24,11 @@ def op2_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op3_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(common.read_table(spark, sf_dir, "documents"),
+                               common.read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     scores = quality_gam.quality_scores(docs, quality_gam.fit(docs, labels))
@@ -31,6 +36,11 @@ def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = minhash.near_duplicates(common.read_table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read_table(spark, sf_dir, "documents"),
                         public_tokenizers.path("byte_bpe_50k.json"), MAX_TOKENS)
@@ -57,7 +67,7 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_quality_rules, op2_toxicity_trees, op4_quality_gam, op7_best_fit_packing, op8_chat_windows,
+    op1_line_quality_rules, op2_toxicity_trees, op3_spaced_seed_leaks, op4_quality_gam, op5_tensored_minhash, op7_best_fit_packing, op8_chat_windows,
     op9_url_rules, op10_prefix_token_counts)}
 
 SQL = {
