@@ -7,8 +7,8 @@ The seeds of every benchmark item are joined with the seeds of every document;
 around each hit, document and item are laid over each other along the hit's
 diagonal, and the best stretch (one for an equal word, three off for a
 different one, so that at least three words in four agree) is the overlap. An
-overlap counts as a leak when it has ``min_words`` equal words or, in shorter
-items, three quarters of the item's words.
+overlap counts as a leak when it has ``min_words`` equal words or, in short
+items, three fifths of the item's words.
 
 The benchmark is read in blocks of about ``block_bytes`` of text; a block's
 index travels to the tasks, where the hash join runs next to the words it is
@@ -153,7 +153,7 @@ def overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-               min_words: int = 12, block_bytes: int = 16 << 20) -> DataFrame:
+               min_words: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
     """``keep`` columns plus ``leaks``: the verified overlaps of each document, one per item at most."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
@@ -183,7 +183,7 @@ def _marker(index: SeedIndex, text: str, columns: list[str], min_words: int):
             for t, i, diagonal in index.hits(values, bounds).tolist():
                 words, item = values[bounds[t] : bounds[t + 1]], index.items[i]
                 equal, start, end = overlap(words, item, diagonal)
-                if equal >= min(min_words, -(-3 * len(item) // 4)):
+                if equal >= min(min_words, -(-3 * len(item) // 5)):
                     rank = (-equal, start)
                     if (t, i) not in best or rank < best[t, i][0]:
                         at = place[bounds[t] :]
