@@ -5,8 +5,9 @@ words of punctuation alone do not count). A spaced seed is a fixed mask over a
 run of words: the words at its ones are hashed, those at its zeros may differ.
 The seeds of every benchmark item are joined with the seeds of every document;
 around each hit, document and item are laid over each other along the hit's
-diagonal, and the best stretch (one for an equal word, three off for a
-different one, so that at least three words in four agree) is the overlap. An
+diagonal. If three quarters of the item's words agree there, all of it is the
+overlap; else the best stretch is (one for an equal word, three off for a
+different one, so that at least three words in four agree). An
 overlap counts as a leak when it has ``min_words`` equal words or, in short
 items, three fifths of the item's words.
 
@@ -145,6 +146,9 @@ def overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
     """(equal words, start, end in the text) of the best stretch of the two along a diagonal."""
     low, high = max(0, -diagonal), min(len(item), len(text) - diagonal)
     equal = text[diagonal + low : diagonal + high] == item[low:high]
+    if 4 * equal.sum() >= 3 * len(item):
+        at = np.flatnonzero(equal)
+        return len(at), diagonal + low + int(at[0]), diagonal + low + int(at[-1]) + 1
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
     floor = np.minimum.accumulate(total)
     end = int((total - floor).argmax())
