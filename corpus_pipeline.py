@@ -13,6 +13,9 @@ from tessera.llm import common, stages
 
 STAGES = [
     ("quality_rules", stages.quality_rules),
+    ("near_duplicates", stages.near_duplicates),
+    ("suffix_repeats", stages.suffix_repeats),
+    ("decontamination", stages.decontamination),
     ("best_fit_packing", stages.best_fit_packing),
 ]
 

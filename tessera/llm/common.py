@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 # Text handled at a time inside a task; bounds memory whatever the batch size is.
@@ -127,15 +128,9 @@ def crc_bucket(column, modulus: int):
     return F.crc32(column.cast("string")) % modulus
 
 
-def rows_like(schema: str, make: Callable[[pa.RecordBatch], list[pa.Array]]) -> Callable:
-    """A mapInArrow function from a per-slice function that returns the output columns."""
-    names = [part.split()[0] for part in schema.split(",")]
-
-    def run(batches):
-        for batch in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays(make(batch), names=names)
-
-    return run
+def schema_of(df: DataFrame, keep: Iterable[str], more: str) -> T.StructType:
+    """The schema of ``keep`` columns (whatever their names) followed by the columns of ``more`` (DDL)."""
+    return T.StructType([T.StructField(k, df.schema[k].dataType) for k in keep] + T.StructType.fromDDL(more).fields)
 
 
 def unsigned_crc32(data: bytes) -> int:

@@ -164,15 +164,14 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(total) // block_bytes))
     items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n_blocks)))
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep) + f", leaks {LEAK}"
     current = docs.select(*dict.fromkeys([*keep, text]), F.expr(f"CAST(array() AS {LEAK}) AS leaks"))
     for block in range(n_blocks):
         # One block at a time reaches the driver: about block_bytes of text.
         index = SeedIndex.build([(r["item_id"], r["text"]) for r in items.filter(F.col("block") == block).collect()])
         last = block == n_blocks - 1
         columns = list(keep) if last else list(dict.fromkeys([*keep, text]))
-        fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in columns) + f", leaks {LEAK}"
-        current = current.mapInArrow(_marker(index, text, columns, min_words), fields if not last else schema)
+        current = current.mapInArrow(_marker(index, text, columns, min_words),
+                                     C.schema_of(docs, columns, f"leaks {LEAK}"))
         if not last:
             current = C.written(current, "leaks")
     return current

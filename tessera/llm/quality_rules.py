@@ -120,14 +120,10 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), text: str = "te
 
     ``with_text`` adds ``clean_text``: the text without its failing lines.
     """
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema += "".join(f", {c} bigint" for c in counts)
-    schema += ", base_failed boolean, n_failed_lines bigint, lost_words bigint, kept boolean"
-    names = [*keep, *counts, "base_failed", "n_failed_lines", "lost_words", "kept"]
-    if with_text:
-        schema += ", clean_text string"
-        names.append("clean_text")
+    schema = C.schema_of(docs, keep, ", ".join(f"{c} bigint" for c in counts) + ", base_failed boolean, "
+                         "n_failed_lines bigint, lost_words bigint, kept boolean" + ", clean_text string" * with_text)
+    names = schema.names
 
     def run(batches):
         for batch in C.slices(batches, text):

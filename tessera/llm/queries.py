@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, minhash, packing, quality_gam, quality_rules, token_counts, toxicity, url_filter
+from . import chat, common, decontaminate, minhash, packing, quality_gam, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 
 # (verdict, host and path)
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -41,6 +41,11 @@ def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(common.read_table(spark, sf_dir, "documents"))
+    return cut.select("carried.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.read_table(spark, sf_dir, "documents"),
                         public_tokenizers.path("byte_bpe_50k.json"), MAX_TOKENS)
@@ -67,7 +72,8 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_line_quality_rules, op2_toxicity_trees, op3_spaced_seed_leaks, op4_quality_gam, op5_tensored_minhash, op7_best_fit_packing, op8_chat_windows,
+    op1_line_quality_rules, op2_toxicity_trees, op3_spaced_seed_leaks, op4_quality_gam, op5_tensored_minhash,
+    op6_suffix_dedup, op7_best_fit_packing, op8_chat_windows,
     op9_url_rules, op10_prefix_token_counts)}
 
 SQL = {

@@ -259,11 +259,8 @@ def token_counts(docs: DataFrame, path: str, budget: int = 2048, text: str = "te
     row also has ``word_ends`` and ``word_counts``: the code-point ends of the
     words and the exact token count of the text up to each.
     """
-    fields = [(docs.schema[k].name, docs.schema[k].dataType.simpleString()) for k in keep]
-    schema = ", ".join(f"`{n}` {t}" for n, t in fields)
-    schema += ", n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint"
-    if table:
-        schema += ", word_ends array<bigint>, word_counts array<bigint>"
+    more = "n_bytes bigint, n_tokens bigint, over_limit boolean, fit_chars bigint"
+    schema = C.schema_of(docs, keep, more + ", word_ends array<bigint>, word_counts array<bigint>" * table)
 
     def run(batches):
         for batch in C.slices(batches, text):
@@ -291,7 +288,6 @@ def token_counts(docs: DataFrame, path: str, budget: int = 2048, text: str = "te
                 starts = np.concatenate([word_starts(t) for t in texts.to_pylist()])
                 columns += [pa.ListArray.from_arrays(cut, pa.array(starts + lengths)),
                             pa.ListArray.from_arrays(cut, pa.array(upto - np.repeat(base, np.diff(bounds))))]
-            names = [*keep, "n_bytes", "n_tokens", "over_limit", "fit_chars"]
-            yield pa.RecordBatch.from_arrays(columns, names=names + ["word_ends", "word_counts"] * table)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)

@@ -299,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int =
 
 def scored(docs: DataFrame, compute, text: str, keep: tuple[str, ...]) -> DataFrame:
     """``keep`` columns plus score, for every row; ``compute`` turns texts into scores."""
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), "score double"])
+    schema = C.schema_of(docs, keep, "score double")
 
     def run(batches):
         for batch in C.slices(batches, text):
