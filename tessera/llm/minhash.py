@@ -9,14 +9,22 @@ tables would need. Two sets of similarity s meet in a table with probability
 ``(1 - (1 - s ** rows) ** halves) ** 2``; with the defaults 0.997 at s = 0.75,
 0.9996 at 0.8 and 0.99998 at 0.85.
 
-Whatever meets is confirmed on the full sets. Equal sets are one class from
-the start. In every table each class is compared with the smallest id that has
-the same key; keys that meet within a batch are tied there already and cross
-the shuffle once, so that a very large group of near copies does not fill one
-task. After components of those links are known, only the keys that still hold
-several components are opened again, and all pairs across components in them
-are confirmed too, so no pair that shares a key goes unchecked unless it is
-connected already.
+Half-keys that nobody shares are dropped before any table key is formed, so a
+text unlike all others sends its half-keys and nothing else. Whatever meets in
+a table is confirmed on the full sets. Equal sets are one class from the start.
+In every table each class is compared with the smallest id that has the same
+key; keys that meet within a batch are tied there already and cross the shuffle
+once, so that a very large group of near copies does not fill one task.
+
+After the components of those links are known, only keys that still hold
+several components are opened again, and the pairs across components in them
+are confirmed too, unless they cannot be similar. Two sets share as many
+shingles as their sizes tell, or are not similar; so either they share a rare
+one (one that at most ``RARE`` of the opened sets have), and are found by it, or
+both have enough that are not rare. Only the pairs of these two kinds are
+confirmed, and no others can be links. In a large family of copies that are all
+edited in different places this settles the outliers without comparing each
+with the whole family.
 
 Rows: null and empty texts have empty sets and are linked with nothing; a row
 without doc_id is linked with nothing, has no component and is kept; repeated
@@ -41,6 +49,7 @@ from .graph import components
 U64 = np.uint64
 SHINGLE, PERCENT = 5, 75
 HALVES, ROWS = 12, 3
+RARE = 8
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -109,8 +118,35 @@ def table_keys(halves_column: pa.Array, halves: int) -> np.ndarray:
     return C.mix(pair ^ table).reshape(len(flat), halves * halves)
 
 
+def shared_halves(classes: DataFrame, halves: int) -> DataFrame:
+    """The classes that share half-keys with others, with ``mask``: which of their half-keys those are."""
+
+    def run(batches):
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column("halves").to_pylist()), np.uint32).astype(U64)
+            slot = np.tile(np.arange(2 * halves), batch.num_rows)
+            key = C.mix((slot.astype(U64) << U64(32)) | flat)
+            at = pa.array(np.repeat(np.arange(batch.num_rows), 2 * halves))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), batch.column("id").take(at), pa.array(1 << slot.astype(np.int64))],
+                names=["half", "id", "bit"])
+
+    keys = classes.select("id", "halves").mapInArrow(run, "half bigint, id bigint, bit bigint")
+    several = keys.groupBy("half").agg(F.count("*").alias("n")).filter("n > 1").select("half")
+    masks = keys.join(several, "half").groupBy("id").agg(F.bit_or("bit").alias("mask"))
+    left, right = (1 << halves) - 1, ((1 << halves) - 1) << halves
+    return classes.join(masks.filter(f"mask & {left} > 0 AND mask & {right} > 0"), "id")
+
+
+def live_tables(batch: pa.RecordBatch, halves: int) -> np.ndarray:
+    """Which tables have a key of both shared halves, one row per class."""
+    mask = batch.column("mask").to_numpy(zero_copy_only=False)
+    bits = (mask[:, None] >> np.arange(2 * halves)) & 1 == 1
+    return (bits[:, :halves, None] & bits[:, None, halves:]).reshape(len(mask), halves * halves)
+
+
 def deal(classes: DataFrame, halves: int) -> DataFrame:
-    """(k, id, n): one row per class and table key; keys met twice within a batch are tied there.
+    """(k, id, n): one row per class and live table key; keys met twice within a batch are tied there.
 
     Of the classes of a batch that share a key only the smallest id carries
     it on. The others are tied to that id by a key that only the two have.
@@ -118,41 +154,39 @@ def deal(classes: DataFrame, halves: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
+            batch = batch.sort_by("id")
             ids, sizes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n"))
-            order = np.argsort(ids, kind="stable")
-            ids, sizes = ids[order], sizes[order]
-            keys = table_keys(batch.column("halves").take(pa.array(order)), halves)
-            owner = np.repeat(np.arange(len(ids)), keys.shape[1])
-            flat = keys.ravel()
+            live = live_tables(batch, halves)
+            flat = table_keys(batch.column("halves"), halves)[live]
+            owner = np.repeat(np.arange(len(ids)), live.sum(1))
             by_key = np.argsort(flat, kind="stable")  # within a key by id
             flat, owner = flat[by_key], owner[by_key]
-            head = np.concatenate([[True], flat[1:] != flat[:-1]])
+            head = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]
             first = owner[np.maximum.accumulate(np.where(head, np.arange(len(flat)), 0))]
             tied = np.unique(first[~head] * len(ids) + owner[~head])
-            a, b = tied // len(ids), tied % len(ids)
+            a, b = tied // max(len(ids), 1), tied % max(len(ids), 1)
             own = C.mix(C.mix(ids[a].astype(U64)) * U64(3) + ids[b].astype(U64))
             k = np.concatenate([flat[head], own, own])
             rows = np.concatenate([owner[head], a, b])
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(ids[rows]), pa.array(sizes[rows])],
                                              names=["k", "id", "n"])
 
-    return classes.select("id", "n", "halves").mapInArrow(run, "k bigint, id bigint, n bigint")
+    return classes.select("id", "n", "halves", "mask").mapInArrow(run, "k bigint, id bigint, n bigint")
 
 
 def explode_keys(classes: DataFrame, halves: int) -> DataFrame:
-    """(k, id, n, component) of every class given and every table."""
+    """(k, id, n, component) of every class given and every live table."""
 
     def run(batches):
         for batch in batches:
-            keys = table_keys(batch.column("halves"), halves) if batch.num_rows else np.empty((0, 1), U64)
-            at = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+            live = live_tables(batch, halves)
+            k = table_keys(batch.column("halves"), halves)[live]
+            at = pa.array(np.repeat(np.arange(batch.num_rows), live.sum(1)))
             columns = [batch.column(c).take(at) for c in ("id", "n", "component")]
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *columns],
+            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *columns],
                                              names=["k", "id", "n", "component"])
 
-    return classes.select("id", "n", "halves", "component").mapInArrow(
+    return classes.select("id", "n", "halves", "mask", "component").mapInArrow(
         run, "k bigint, id bigint, n bigint, component bigint")
 
 
@@ -161,15 +195,26 @@ def sizes_allow(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have intersection / union >= percent / 100."""
+def full_sets(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """(id, members): the full sets of the texts named, written to the shared folder.
 
-    def full(batches):
+    The ids grow with the input, so they are never broadcast.
+    """
+
+    def run(batches):
         for batch in C.slices(batches, text):
             sets = shingle_sets(C.texts_of(batch, text))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "members"])
 
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), text)
+    chosen = texts.join(ids.hint("merge"), "id", "left_semi")
+    return C.written(chosen.mapInArrow(run, "id bigint, members binary"), "sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have intersection / union >= percent / 100."""
+
     def compare(batches):
         for batch in C.slices(batches, "left"):
             keep = []
@@ -179,15 +224,28 @@ def confirmed(pairs: DataFrame, docs: DataFrame, text: str, percent: int) -> Dat
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), text)
-    sets = texts.join(ids, "id", "left_semi").mapInArrow(full, "id bigint, members binary")
     left = sets.select(F.col("id").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("members").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(
         compare, "a bigint, b bigint")
 
 
+def rare_members(sets: DataFrame, most: int = RARE) -> DataFrame:
+    """(member, id, n_sets) of the members that at most ``most`` of the sets have."""
+
+    def run(batches):
+        for batch in C.slices(batches, "members", 4 << 20):
+            flat = np.frombuffer(b"".join(batch.column("members").to_pylist()), np.int64)
+            size = pc.binary_length(batch.column("members")).to_numpy(zero_copy_only=False) // 8
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat), pa.array(np.repeat(batch.column("id").to_numpy(zero_copy_only=False), size))],
+                names=["member", "id"])
+
+    members = sets.mapInArrow(run, "member bigint, id bigint")
+    rare = members.groupBy("member").agg(F.count("*").alias("n_sets")).filter(F.col("n_sets") <= most)
+    return members.join(rare, "member")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT, halves: int = HALVES,
                     rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, d1, d2) of every row; d1, d2 identify its set."""
@@ -195,29 +253,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves"))
     classes = C.written(classes, "classes")
+    live = C.written(shared_halves(classes, halves), "live")
 
     by_key = Window.partitionBy("k").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     hub = F.first(F.struct("id", "n")).over(by_key)
-    met = deal(classes, halves).withColumn("hub", hub).filter("id <> hub.id")
+    met = deal(live, halves).withColumn("hub", hub).filter("id <> hub.id")
     # Sizes decide only whether a pair is confirmed; whoever met somebody is looked at again below.
     met = C.written(met.select(F.col("hub.id").alias("a"), F.col("id").alias("b"),
                                sizes_allow("n", "hub.n", percent).alias("possible")).distinct(), "met")
-    pairs = met.filter("possible").select("a", "b")
-    links = C.written(confirmed(pairs, docs, text, percent), "links")
+    suspects = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
+    sets = full_sets(docs, suspects, text)
+    links = C.written(confirmed(met.filter("possible").select("a", "b"), sets, percent), "links")
     labels = C.written(components(links), "components")
 
-    # Keys that still hold several components: every pair across components that was not looked at.
-    suspects = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
-    suspects = classes.join(suspects, "id", "left_semi").join(labels, "id", "left")
-    suspects = suspects.withColumn("component", F.coalesce("component", "id"))
-    keys = explode_keys(suspects, halves)
+    # Keys that still hold several components: the pairs across components that were not looked at.
+    suspects = live.join(suspects, "id", "left_semi").join(labels, "id", "left")
+    keys = explode_keys(suspects.withColumn("component", F.coalesce("component", "id")), halves)
     mixed = keys.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_ = keys.join(mixed.filter("low < high").select("k"), "k")
-    other = open_.select("k", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
-    across = (open_.withColumnRenamed("id", "a").join(other, "k")
-              .filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("c")) & sizes_allow("n", "m", percent))
-              .select("a", "b").distinct().join(met.select("a", "b"), ["a", "b"], "left_anti"))
-    more = C.written(confirmed(C.written(across, "across"), docs, text, percent), "links")
+    open_ = C.written(keys.join(mixed.filter("low < high").select("k"), "k"), "open")
+    rare = C.written(rare_members(sets.join(open_.select("id").distinct(), "id", "left_semi")), "rare")
+
+    def pairs_on(rows, key):
+        other = rows.select(key, F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"),
+                            F.col("common").alias("d"))
+        different = (F.col("id") < F.col("b")) & (F.col("component") != F.col("c")) & sizes_allow("n", "m", percent)
+        return rows.join(other, key).filter(different)
+
+    # x and y at percent p share p / (100 + p) of both sizes together, and y has at least p percent of x's size.
+    common = F.col("n") - F.coalesce("n_rare", F.lit(0))
+    n_rare = rare.groupBy("id").agg(F.count("*").alias("n_rare"))
+    dense = open_.join(n_rare, "id", "left").withColumn("common", common)
+    dense = C.written(dense.filter(F.col("common") * 100 >= F.col("n") * percent), "dense")
+    enough = F.least("common", "d") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    by_table = pairs_on(dense, "k").filter(enough)
+    facts = open_.select("id", "n", "component", F.lit(0).alias("common")).distinct()
+    by_rare = pairs_on(rare.filter("n_sets > 1").select("member", "id").join(facts, "id"), "member")
+    across = (by_table.select(F.col("id").alias("a"), "b").unionByName(by_rare.select(F.col("id").alias("a"), "b"))
+              .distinct().join(met.select("a", "b"), ["a", "b"], "left_anti"))
+    more = C.written(confirmed(C.written(across, "across"), sets, percent), "links")
     labels = C.written(components(links.unionByName(more)), "components")
 
     names = classes.select("d1", "d2", "id").join(labels, "id", "left")
