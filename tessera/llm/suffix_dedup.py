@@ -12,11 +12,13 @@ in each window the position whose HALF-byte rank is smallest. An anchor depends
 on the window's bytes alone, so equal windows have equal anchors, and windows
 side by side share them: about one position in fourteen is ranked.
 
-1. Ranks: documents are dealt to buckets by doc_id. Each bucket sends the ranks
-   of its anchors, once each, to rank partitions; a rank found in one document
-   only is unique and its windows are out.
-2. Pairs: for the others the bucket sends the bytes around the anchor (all of
-   its windows), once for equal bytes, to the partition of the anchor's rank.
+1. Ranks: every document belongs to a bucket by its doc_id. The ranks of the
+   anchors go to rank partitions with their bucket, combined before they are
+   sent; a rank found in one document only is unique and its windows are out.
+   The buckets are told the others.
+2. Pairs: the documents meet in their buckets. For each shared rank a bucket
+   sends the bytes around the anchor (all of its windows), once for equal bytes,
+   to the partition of the rank.
    There equal bytes are settled at once, and what is left is sorted by rank
    pairs, window by window; every window whose pair a smaller doc_id has is
    reported back to its bucket.
@@ -41,7 +43,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -169,44 +171,55 @@ def _in_buckets(rows: DataFrame, n: int) -> DataFrame:
     return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "doc_id", "place")
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner free the shuffle files of a phase whose result is written."""
+def _release(table: DataFrame) -> None:
+    """Let Spark's cleaner free the shuffle files of a phase whose result, ``table``, is written.
+
+    The scheduler holds on to its last job until another one runs.
+    """
+    table.count()
     gc.collect()
-    if hasattr(spark, "_jvm"):
-        spark._jvm.System.gc()
+    if hasattr(table.sparkSession, "_jvm"):
+        table.sparkSession._jvm.System.gc()
 
 
 # -- phase 1: ranks
 
 
 def _send_ranks(n_parts: int):
+    """Ranks of the anchors with the bucket of their document, once per bucket and about 32 MB of text."""
+
+    def out(keys, buckets, docs):
+        key, bucket, doc = (np.concatenate(x) for x in (keys, buckets, docs))
+        order = np.lexsort((doc, bucket, key))
+        key, bucket, doc = key[order], bucket[order], doc[order]
+        head = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])])
+        new = head | np.concatenate([[True], doc[1:] != doc[:-1]])
+        count = np.add.reduceat(new.astype(np.int64), np.flatnonzero(head))
+        key, bucket = key[head], bucket[head]
+        part = (key >> U64(32)).astype(np.int64)
+        order = np.lexsort((key, bucket, part))
+        key, bucket, count, part = key[order], bucket[order], count[order], part[order]
+        cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
+        blobs = [(_blob(key[a:b] & U64(0xFFFFFFFF), np.uint32), _blob(bucket[a:b], np.int32),
+                  _blob(np.minimum(count[a:b], 255), np.uint8)) for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(part[cuts[:-1]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*blobs))],
+            names=["part", "ranks", "buckets", "counts"])
+
     def run(batches):
-        for bucket, own in by_key(batches, "bucket"):
-            keys, docs, n = [], [], 0
-            for batch in C.slices(own, "text"):
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                for _, ranks, number, _, _, anchor, _ in runs_of(C.texts_of(batch, "text")):
-                    keys.append(keys_of(ranks[anchor], n_parts))
-                    docs.append(ids[number])
-                n += batch.num_rows
-            if not keys:
-                continue
-            key, doc = np.concatenate(keys), np.concatenate(docs)
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
-            new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-            key, count = np.unique(key[new], return_counts=True)
-            part = (key >> U64(32)).astype(np.int64)
-            cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
-            rows = {"part": [], "bucket": [], "ranks": [], "counts": []}
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                rows["part"].append(int(part[a]))
-                rows["bucket"].append(bucket)
-                rows["ranks"].append(_blob(key[a:b] & U64(0xFFFFFFFF), np.uint32))
-                rows["counts"].append(_blob(np.minimum(count[a:b], 65535), np.uint16))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["part"], pa.int32()), pa.array(rows["bucket"], pa.int32()),
-                 pa.array(rows["ranks"], pa.binary()), pa.array(rows["counts"], pa.binary())], names=list(rows))
+        keys, buckets, docs, size = [], [], [], 0
+        for batch in C.slices(batches, "text"):
+            ids, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "bucket"))
+            for data, ranks, number, _, _, anchor, _ in runs_of(C.texts_of(batch, "text")):
+                keys.append(keys_of(ranks[anchor], n_parts))
+                buckets.append(own[number])
+                docs.append(ids[number])
+                size += len(data)
+            if size > 32 << 20:
+                yield out(keys, buckets, docs)
+                keys, buckets, docs, size = [], [], [], 0
+        if keys:
+            yield out(keys, buckets, docs)
 
     return run
 
@@ -217,19 +230,21 @@ def _shared_ranks(hot_docs: int):
     def run(batches):
         for part, own in by_key(batches, "part"):
             rows = [r for b in own for r in b.to_pylist()]
-            rank, count = _joined(rows, "ranks", np.uint32), _joined(rows, "counts", np.uint16).astype(np.int64)
-            owner = np.repeat(np.arange(len(rows)), [len(r["ranks"]) // 4 for r in rows])
+            rank, bucket = _joined(rows, "ranks", np.uint32), _joined(rows, "buckets", np.int32)
             _, which = np.unique(rank, return_inverse=True)
-            total = np.bincount(which, count)[which]
+            total = np.bincount(which, _joined(rows, "counts", np.uint8))[which]
             shared = total > 1
-            bounds = np.searchsorted(owner[shared], np.arange(len(rows) + 1))
-            rank, hot = rank[shared], total[shared] > hot_docs
-            out = [(r["bucket"], rank[a:b].tobytes(), hot[a:b].tobytes())
-                   for r, a, b in zip(rows, bounds[:-1], bounds[1:]) if b > a]
+            rank, bucket, hot = rank[shared], bucket[shared], total[shared] > hot_docs
+            order = np.lexsort((rank, bucket))
+            rank, bucket, hot = rank[order], bucket[order], hot[order]
+            new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (rank[1:] != rank[:-1])])[: len(rank)]
+            rank, bucket, hot = rank[new], bucket[new], hot[new]
+            cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(rank) else []
+            out = [(int(bucket[a]), rank[a:b].tobytes(), hot[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
             if out:
-                buckets, ranks, hots = zip(*out)
+                to, ranks, hots = zip(*out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets, pa.int32()), pa.array([0] * len(out), pa.int32()),
+                    [pa.array(to, pa.int32()), pa.array([0] * len(out), pa.int32()),
                      pa.array([part] * len(out), pa.int32()), pa.array(ranks, pa.binary()), pa.array(hots, pa.binary())],
                     names=["bucket", "kind", "part", "ranks", "hot"])
 
@@ -237,9 +252,8 @@ def _shared_ranks(hot_docs: int):
 
 
 def _phase_ranks(dealt: DataFrame, n: int, n_parts: int, hot_docs: int) -> DataFrame:
-    sent = _in_buckets(_matchable(dealt), n).mapInArrow(
-        _send_ranks(n_parts), "part int, bucket int, ranks binary, counts binary")
-    met = sent.repartition(n, "part").sortWithinPartitions("part", "bucket")
+    sent = _matchable(dealt).mapInArrow(_send_ranks(n_parts), "part int, ranks binary, buckets binary, counts binary")
+    met = sent.repartition(n, "part").sortWithinPartitions("part")
     return C.written(met.mapInArrow(_shared_ranks(hot_docs), "bucket int, kind int, part int, ranks binary, hot binary"),
                      "ranks")
 
@@ -354,7 +368,7 @@ def _context_rows(bucket: int, contexts: list, n_parts: int):
         i = left[a:b]
         yield (int(to[a]), _CONTEXT, bucket, _blob(number[i], np.int32), _blob(doc[i], np.int64),
                _blob(start[i], np.int64), _blob(length[i], np.uint8), _blob(anchor[i], np.uint8),
-               data[C.ragged(at[i], length[i])].tobytes())
+               pa.compress(data[C.ragged(at[i], length[i])].tobytes(), "zstd", asbytes=True))
 
 
 def _single_rows(bucket: int, singles: list, n_parts: int):
@@ -419,7 +433,8 @@ def _settle_contexts(rows: list[dict]):
     doc, start = _joined(rows, "docs", np.int64), _joined(rows, "starts", np.int64)
     length = _joined(rows, "lengths", np.uint8).astype(np.int64)
     anchor = _joined(rows, "anchors", np.uint8).astype(np.int64)
-    data = _joined(rows, "bytes", np.uint8)
+    data = np.frombuffer(b"".join(
+        pa.decompress(r["bytes"], sum(r["lengths"]), "zstd", asbytes=True) for r in rows), np.uint8)
     offsets = np.concatenate([[0], np.cumsum(length)])
     contexts = pa.Array.from_buffers(pa.large_binary(), len(length),
                                      [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
@@ -519,14 +534,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ``kept_text`` is what is left, without the rests of cut characters; the
     digest is of the bytes left.
     """
-    spark = docs.sparkSession
-    n = C.partitions(spark)
+    n = C.partitions(docs.sparkSession)
     n_buckets, n_parts = 2 * n, 2 * n
     dealt = _dealt(docs, doc_id, text, n_buckets)
     shared = _phase_ranks(dealt, n, n_parts, hot_docs)
-    _release(spark)
+    _release(shared)
     windows = _phase_pairs(dealt, shared, n, n_parts)
-    _release(spark)
+    _release(windows)
     rows = _dealt(docs, doc_id, text, n_buckets, F.struct(*[F.col(k) for k in keep]))
     schema = C.schema_of(rows, ["carried"], "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
                                             "kept_text string")
