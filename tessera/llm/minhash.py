@@ -175,19 +175,32 @@ def deal(classes: DataFrame, halves: int) -> DataFrame:
 
 
 def explode_keys(classes: DataFrame, halves: int) -> DataFrame:
-    """(k, id, n, component) of every class given and every live table."""
+    """(k, id, n, component, halves, left, right) of every class given and every live table."""
 
     def run(batches):
         for batch in batches:
             live = live_tables(batch, halves)
             k = table_keys(batch.column("halves"), halves)[live]
-            at = pa.array(np.repeat(np.arange(batch.num_rows), live.sum(1)))
-            columns = [batch.column(c).take(at) for c in ("id", "n", "component")]
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *columns],
-                                             names=["k", "id", "n", "component"])
+            row, table = np.nonzero(live)
+            columns = [batch.column(c).take(pa.array(row)) for c in ("id", "n", "component", "halves")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(k.view(np.int64)), *columns, pa.array(table // halves), pa.array(table % halves)],
+                names=["k", "id", "n", "component", "halves", "left", "right"])
 
     return classes.select("id", "n", "halves", "mask", "component").mapInArrow(
-        run, "k bigint, id bigint, n bigint, component bigint")
+        run, "k bigint, id bigint, n bigint, component bigint, halves binary, left bigint, right bigint")
+
+
+def first_meeting(halves: int):
+    """Is this the first of the tables where the rows and ``other_halves`` meet? A pair is looked at there only."""
+
+    def same(slot):
+        at = (slot * 4 + 1).cast("int")
+        return F.substring("halves", at, F.lit(4)) == F.substring("other_halves", at, F.lit(4))
+
+    slots = F.array(*[F.lit(i) for i in range(halves)])
+    return ~(F.exists(slots, lambda i: (i < F.col("left")) & same(i))
+             | F.exists(slots, lambda i: (i < F.col("right")) & same(i + halves)))
 
 
 def sizes_allow(n: str, m: str, percent: int):
@@ -275,7 +288,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
 
     def pairs_on(rows, key):
         other = rows.select(key, F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"),
-                            F.col("common").alias("d"))
+                            F.col("common").alias("d"), F.col("halves").alias("other_halves"))
         different = (F.col("id") < F.col("b")) & (F.col("component") != F.col("c")) & sizes_allow("n", "m", percent)
         return rows.join(other, key).filter(different)
 
@@ -285,8 +298,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     dense = open_.join(n_rare, "id", "left").withColumn("common", common)
     dense = C.written(dense.filter(F.col("common") * 100 >= F.col("n") * percent), "dense")
     enough = F.least("common", "d") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    by_table = pairs_on(dense, "k").filter(enough)
-    facts = open_.select("id", "n", "component", F.lit(0).alias("common")).distinct()
+    by_table = pairs_on(dense, "k").filter(enough & first_meeting(halves))
+    facts = open_.select("id", "n", "component", F.lit(0).alias("common"), F.lit(None).alias("halves")).distinct()
     by_rare = pairs_on(rare.filter("n_sets > 1").select("member", "id").join(facts, "id"), "member")
     across = (by_table.select(F.col("id").alias("a"), "b").unionByName(by_rare.select(F.col("id").alias("a"), "b"))
               .distinct().join(met.select("a", "b"), ["a", "b"], "left_anti"))
