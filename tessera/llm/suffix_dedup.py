@@ -445,15 +445,20 @@ def _settle_contexts(rows: list[dict]):
     whole = doc > owner[code]
     first = np.unique(code, return_index=True)[1]
     # Different contexts of one rank: window by window, by rank pairs.
+    size = length[first]
+    data = data[C.ragged(offsets[first], size)]
+    offsets = np.cumsum(size) - size
     ranks = half_ranks(data)
-    gram = ranks[offsets[first] + anchor[first]]
+    del data, contexts
+    gram = ranks[offsets + anchor[first]]
     _, which, n = np.unique(gram, return_inverse=True, return_counts=True)
     several = np.flatnonzero(n[which] > 1)
-    n_windows = length[first[several]] - WINDOW + 1
-    at = C.ragged(offsets[first[several]], n_windows)
+    n_windows = size[several] - WINDOW + 1
+    at = C.ragged(offsets[several], n_windows)
     of = np.repeat(several, n_windows)
     lose = owner[of] > _least_doc(ranks[at], ranks[at + HALF], owner[of])
-    at, of = at[lose] - offsets[first[of[lose]]], of[lose]
+    del ranks
+    at, of = at[lose] - offsets[of[lose]], of[lose]
     # Windows in a row make one interval of their context.
     head = np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] != at[:-1] + 1)]) if len(of) else np.empty(0, bool)
     i = np.flatnonzero(head)
@@ -535,7 +540,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     digest is of the bytes left.
     """
     n = C.partitions(docs.sparkSession)
-    n_buckets, n_parts = 2 * n, 2 * n
+    n_buckets, n_parts = 2 * n, 4 * n
     dealt = _dealt(docs, doc_id, text, n_buckets)
     shared = _phase_ranks(dealt, n, n_parts, hot_docs)
     _release(shared)
