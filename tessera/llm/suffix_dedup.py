@@ -124,6 +124,11 @@ def runs_of(texts: pa.Array):
         yield data, ranks, number[text], first, last, anchor, (offset - starts)[text]
 
 
+def context_part(keys: np.ndarray, n_parts: int) -> np.ndarray:
+    """The partition where the contexts of a rank meet."""
+    return (C.mix(keys) >> U64(33)) % U64(n_parts)
+
+
 def keys_of(ranks: np.ndarray, n_parts: int) -> np.ndarray:
     """Rank partition (high 32 bits) and shortened rank (low 32); that two ranks fall together does no harm."""
     return (((ranks >> U64(33)) % U64(n_parts)) << U64(32)) | (ranks & U64(0xFFFFFFFF))
@@ -286,7 +291,7 @@ def _pair_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=_PAIR_NAMES)
 
 
-def _send_pairs(n_parts: int):
+def _send_pairs(n_ranks: int, n_parts: int):
     """Contexts of the windows whose anchor's rank is shared, once for equal ones in the bucket.
 
     ``numbers`` count the bucket's documents in order; a context that a smaller
@@ -315,7 +320,7 @@ def _send_pairs(n_parts: int):
                 for part in C.slices([batch], "text"):
                     ids = part.column("doc_id").to_numpy(zero_copy_only=False)
                     if len(known):
-                        _gather(part, ids, n, known, hot, n_parts, contexts, singles)
+                        _gather(part, ids, n, known, hot, n_ranks, n_parts, contexts, singles)
                     n += part.num_rows
             rows = [*_context_rows(bucket, contexts, n_parts), *_single_rows(bucket, singles, n_parts)]
             if rows:
@@ -324,9 +329,9 @@ def _send_pairs(n_parts: int):
     return run
 
 
-def _gather(batch, ids, n, known, hot, n_parts, contexts, singles) -> None:
+def _gather(batch, ids, n, known, hot, n_ranks, n_parts, contexts, singles) -> None:
     for data, ranks, number, first, last, anchor, shift in runs_of(C.texts_of(batch, "text")):
-        key = keys_of(ranks[anchor], n_parts)
+        key = keys_of(ranks[anchor], n_ranks)
         at = np.minimum(np.searchsorted(known, key), len(known) - 1)
         shared = known[at] == key
         if not shared.any():
@@ -336,7 +341,7 @@ def _gather(batch, ids, n, known, hot, n_parts, contexts, singles) -> None:
         if plain.any():
             a, z, k = first[plain], last[plain], length[plain]
             same = C.mix(ranks[a] + C.mix(ranks[a + HALF] + C.mix(ranks[z + HALF] + k.astype(U64))))
-            contexts.append((key[plain] >> U64(32), same, ids[number[plain]], number[plain] + n, a + shift[plain], k,
+            contexts.append((context_part(key[plain], n_parts), same, ids[number[plain]], number[plain] + n, a + shift[plain], k,
                              anchor[plain] - a, data[C.ragged(a, k)]))
         if dense.any():
             k = length[dense] - WINDOW + 1
@@ -483,9 +488,9 @@ def _settle_singles(rows: list[dict]):
     return row, start[row], start[row] + WINDOW
 
 
-def _phase_pairs(dealt: DataFrame, shared: DataFrame, n: int, n_parts: int) -> DataFrame:
+def _phase_pairs(dealt: DataFrame, shared: DataFrame, n: int, n_ranks: int, n_parts: int) -> DataFrame:
     rows = _matchable(dealt).unionByName(shared, allowMissingColumns=True)
-    sent = _in_buckets(rows, n).mapInArrow(_send_pairs(n_parts), _PAIR_SCHEMA)
+    sent = _in_buckets(rows, n).mapInArrow(_send_pairs(n_ranks, n_parts), _PAIR_SCHEMA)
     met = sent.repartition(n, "part").sortWithinPartitions("part", "kind", "bucket")
     return C.written(met.mapInArrow(_settle_pairs, "bucket int, kind int, numbers binary, starts binary, ends binary"),
                      "windows")
@@ -540,11 +545,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     digest is of the bytes left.
     """
     n = C.partitions(docs.sparkSession)
-    n_buckets, n_parts = 2 * n, 4 * n
+    n_buckets, n_ranks, n_parts = n, n, 2 * n
     dealt = _dealt(docs, doc_id, text, n_buckets)
-    shared = _phase_ranks(dealt, n, n_parts, hot_docs)
+    shared = _phase_ranks(dealt, n, n_ranks, hot_docs)
     _release(shared)
-    windows = _phase_pairs(dealt, shared, n, n_parts)
+    windows = _phase_pairs(dealt, shared, n, n_ranks, n_parts)
     _release(windows)
     rows = _dealt(docs, doc_id, text, n_buckets, F.struct(*[F.col(k) for k in keep]))
     schema = C.schema_of(rows, ["carried"], "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
