@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 U64 = np.uint64
+# Freed Arrow buffers go back to the system: workers are reused by many operators.
+pa.set_memory_pool(pa.system_memory_pool())
 # Text handled at a time inside a task; bounds memory whatever the batch size is.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -112,7 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, text: st
         schema, names = schema + ", ids array<int>", [*names, "ids"]
 
     def run(batches):
-        for batch in C.slices(batches, text, 10 << 20):
+        for batch in C.slices(batches, text, 2 * C.SLICE_BYTES):
             texts = C.texts_of(batch, text)
             ids, bounds = encoder(tokenizer).encode(texts)
             n = np.diff(bounds) + 1
