@@ -76,7 +76,7 @@ def normalize_source(col: Column | str) -> Column:
     c = F.translate(c, "\n\t", "  ")
     c = F.replace(c, F.lit("{"), F.lit(" { "))
     c = F.replace(c, F.lit("}"), F.lit(" } "))
-    c = F.regexp_replace(c, r"\s+", " ")
+    c = F.regexp_replace(c, r"(?U)\s+", " ")
     return F.trim(c)
 
 

@@ -74,7 +74,7 @@ def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame
     kept = merged.filter(F.col("name").isNotNull() & ((F.size("parents") > 0) | F.col("referenced")))
     # First appearance of each name, parents before the edge's own name
     occ = kept.select(*K, "pos", "rel", F.posexplode(F.concat("parents", F.array("name"))).alias("k", "nm"))
-    first = F.min(F.col("pos").cast("long") * 100000 + F.col("k")).over(Window.partitionBy(*K, "nm"))
+    first = F.min(F.struct(F.col("pos").cast("long"), F.col("k"))).over(Window.partitionBy(*K, "nm"))
     occ = occ.withColumn("_f", first)
     occ = occ.withColumn("_v", F.dense_rank().over(Window.partitionBy(*K).orderBy("_f")) - 1)
     per_edge = occ.groupBy(*K, "pos").agg(
@@ -112,10 +112,10 @@ def tag_tokens(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit("</?[a-z0-9]+"), 0)
 
 
-# One token per comment, string literal, or run of other text (same pattern in
-# the DuckDB oracle; written without look-arounds so RE2 accepts it too).
-COMMENT_LEX = (r"""(?s)//[^\n]*|/\*([^*]|\*+[^*/])*\*+/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
-               r"""|[^/"']+|.""")
+# One token per comment, string literal, or run of other text. Possessive runs and the
+# lazy comment body are matched in a loop, so long comments and literals need no stack.
+COMMENT_LEX = (r"""(?s)//[^\n]*+|/\*.*?\*/|"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
+               r"""|[^/"']++|.""")
 
 
 def comment_strip(code: Column) -> Column:

@@ -253,7 +253,7 @@ def v9_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("item", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     ex = ex.withColumn("depth", F.sum(F.when(F.col("tag").startswith("</"), -1).otherwise(1)).over(w))
     opens = ex.filter(~F.col("tag").startswith("</"))
-    return opens.select("item", "side", F.concat(F.substring("tag", 2, 100), F.lit(":"),
+    return opens.select("item", "side", F.concat(F.expr("substring(tag, 2)"), F.lit(":"),
                                                   F.col("depth").cast("string")).alias("subtree"),
                         F.col("depth").cast("long").alias("depth"))
 

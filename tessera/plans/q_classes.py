@@ -46,7 +46,7 @@ def q_method_row_ids(spark, sf_dir):
 
 def q_dedup_keep_last(spark, sf_dir):
     m = v6_members(spark, sf_dir).select(
-        "body", "params", "import_list", (F.col("class_id") * 100 + F.col("n")).alias("ord"),
+        "body", "params", "import_list", (F.col("class_id") * 1_000_000_000 + F.col("n")).alias("ord"),
         "class_id", "n")
     d = cl.dedup_keep_last(m, ["body", "params", "import_list"], "ord")
     return d.select("body", "first_pos", "class_id", "n")
@@ -172,7 +172,7 @@ SELECT class_id, n, start, "end" FROM o WHERE overlap""",
     "method_row_ids": f"""WITH m AS ({V6})
 SELECT class_id, n, row_number() OVER (PARTITION BY class_id ORDER BY start, n) - 1 AS id FROM m""",
     "dedup_keep_last": f"""WITH m AS ({V6}),
-k AS (SELECT body, params, import_list, class_id * 100 + n AS ord, class_id, n FROM m)
+k AS (SELECT body, params, import_list, class_id * 1000000000 + n AS ord, class_id, n FROM m)
 SELECT arg_max(body, ord) AS body, min(ord) AS first_pos, arg_max(class_id, ord) AS class_id, arg_max(n, ord) AS n
 FROM k GROUP BY body, params, import_list""",
     "class_inventory": f"""WITH m AS ({V6})

@@ -101,12 +101,14 @@ WITH s AS (
 ex AS (SELECT item, side, j - 1 AS pos, tags[j] AS tag FROM (SELECT item, side, tags, unnest(range(1, len(tags) + 1)) AS j FROM s)),
 d AS (SELECT *, sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY item, side ORDER BY pos
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM ex),
-st AS (SELECT item, side, substr(tag, 2, 100) || ':' || CAST(depth AS VARCHAR) AS subtree FROM d WHERE NOT starts_with(tag, '</')),
+st AS (SELECT item, side, substr(tag, 2) || ':' || CAST(depth AS VARCHAR) AS subtree FROM d WHERE NOT starts_with(tag, '</')),
 cand AS (SELECT DISTINCT item, subtree FROM st WHERE side = 'cand'),
 ref AS (SELECT r.item, r.subtree, c.subtree IS NOT NULL AS hit FROM st r LEFT JOIN cand c USING (item, subtree) WHERE r.side = 'ref')
 SELECT round(count_if(hit) / count(*), 6) AS syntax_match, count_if(hit) AS matched, count(*) AS total FROM ref"""
 
-_LEX = fl.COMMENT_LEX.replace("'", "''")
+# The same tokens without possessive runs, which RE2 does not have.
+_LEX = (r"""(?s)//[^\n]*|/\*([^*]|\*+[^*/])*\*+/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
+        r"""|[^/"']+|.""").replace("'", "''")
 _CODE = """
 WITH c AS (SELECT page_id, 'u="' || url || '"; // ' || regexp_extract(url, '//([^/]+)', 1) || chr(10) ||
                  '/* ad */ y();' || chr(10) || chr(10) || '/** doc */ z();' || chr(10) AS code FROM pages)

@@ -37,6 +37,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.legacy.javaCharsets", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.tessera.scanPartitions", str(parts))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -52,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     try:
@@ -62,24 +65,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediates."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan one driver table.
 
-    A scan gets one task per file split; when a table arrives as fewer splits
-    than the cluster has cores (e.g. a single-row-group file), rows are spread
-    round-robin so the per-row text work downstream runs in parallel. Large
-    inputs have plenty of splits and are left untouched.
+    A scan has one task per file split. Where files are single row groups, as
+    the small test files are, ``spark.tessera.scanPartitions`` (set by
+    ``local_session``, unset on a cluster) spreads the rows over that many
+    tasks; the plan follows from this setting, never from the input's size.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want)
-    except Exception:  # noqa: BLE001 - e.g. a Connect session without an RDD view
-        pass
-    return df
+    spread = spark.conf.get("spark.tessera.scanPartitions", None)
+    return df.repartition(int(spread)) if spread else df

@@ -37,7 +37,10 @@ def read_json_documents(spark: SparkSession, path: str, schema: str,
         F.col("value"), F.col("_metadata.file_path").alias("file_path"))
     text = F.col("value")
     if strip_surrogates:
-        text = F.regexp_replace(text, r"\\u[dD][89abAB][0-9a-fA-F]{2}", "")
+        # A high and a low half together are a character and stay; a half alone goes.
+        half = r"\\u[dD][{}][0-9a-fA-F]{{2}}"
+        pair = half.format("89abAB") + half.format("c-fC-F")
+        text = F.regexp_replace(text, f"({pair})|{half.format('89a-fA-F')}", "$1")
     arr = F.from_json(text, f"array<struct<{schema.replace(' string', ':string')}>>")
     parsed = raw.select("file_path", arr.alias("records"), F.col("value").alias("_raw"))
     ok = parsed.filter(F.col("records").isNotNull()).select("file_path", F.inline("records"))

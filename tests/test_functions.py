@@ -108,3 +108,17 @@ def test_pluggable_tokenizer_matches_default(spark):
                     pandas_token_ids(whitespace_encoder)("t").alias("ids")).collect()
     assert [r["c"] for r in got] == [r["d"] for r in got]
     assert got[0]["ids"] == [31 + 97, 62 + 98, 93 + 99]
+
+
+def test_comment_strip_long_comment_and_literal(spark):
+    from tessera.operators.flow import comment_strip
+    code = ['a /*' + "x * " * 250_000 + '*/ b', 's = "' + '\\"q/*' * 200_000 + '"; // c', "x /* open"]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c in code], "code string").select(
+        comment_strip(F.col("code"))).collect()]
+    assert got == ["a   b", code[1].replace("// c", " "), "x /* open"]
+
+
+def test_normalize_source_unicode_whitespace(spark):
+    from tessera.functions.text import normalize_source
+    row = spark.createDataFrame([("a\u00a0 b\u2003c {d}",)], "s string").select(normalize_source("s")).first()
+    assert row[0] == "a b c { d }"

@@ -6,10 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans import catalog
 from tessera.session import TABLES
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.queries())
+NAMES = sorted(catalog.queries())
 
 
 def _norm(v):
@@ -40,9 +41,7 @@ def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     cols = sorted(df.columns)
     srows = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
-    sql = E.oracle_sql().get(name)
-    if sql is None:
-        return
+    sql = E.oracle_sql()[name]
     cur = con.execute(sql)
     dcols = [d[0] for d in cur.description]
     assert sorted(dcols) == cols
