@@ -86,13 +86,17 @@ def filter_code(col: Column | str) -> Column:
     return F.regexp_replace(F.translate(c, "\r\n\t", "   "), " +", " ")
 
 
+# Characters below U+0100 that ``repr`` writes as \\xNN.
+CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0\xad]"
+
+
 def py_literal_body(col: Column | str) -> Column:
-    """the body of Python ``repr(s)`` for printable text.
+    """the body of Python ``repr(s)``.
 
     Backslash doubled; CR/LF/tab become two-character escapes; the single quote
     is escaped only when the text holds both quote kinds (``repr`` then keeps
-    single quotes as delimiters). Other control characters are rare in the
-    corpora and are rendered as ``\\xNN``.
+    single quotes as delimiters). Other control characters, the no-break space
+    and the soft hyphen become ``\\xNN``; unprintable characters above U+00FF stay.
     """
     c = F.col(col) if isinstance(col, str) else col
     c = F.replace(c, F.lit("\\"), F.lit("\\\\"))
@@ -100,15 +104,19 @@ def py_literal_body(col: Column | str) -> Column:
     c = F.replace(c, F.lit("\r"), F.lit("\\r"))
     c = F.replace(c, F.lit("\t"), F.lit("\\t"))
     both = c.contains("'") & c.contains('"')
-    return F.when(both, F.replace(c, F.lit("'"), F.lit("\\'"))).otherwise(c)
+    c = F.when(both, F.replace(c, F.lit("'"), F.lit("\\'"))).otherwise(c)
+    shown = F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(CONTROL), F.concat(
+        F.lit("\\x"), F.lower(F.lpad(F.hex(F.ascii(ch)), 2, "0")))).otherwise(ch))
+    return F.when(c.rlike(CONTROL), F.array_join(shown, "")).otherwise(c)
 
 
-# Placeholder pairs protecting brace literals inside code text.
-BRACE_PLACEHOLDERS = (("{", "<LBRACE>"), ("}", "<RBRACE>"))
+# The quoted brace literals of code text and the digits that stand for them.
+BRACE_PLACEHOLDERS = (("'{'", "6416864816840"), ("'}'", "6416864816841"))
 
 
 def escape_braces(col: Column | str) -> Column:
-    """replace brace literals by placeholders (inverse: ``restore_braces``)."""
+    """replace the character literals ``'{'`` and ``'}'``; structural braces stay
+    (inverse: ``restore_braces``)."""
     c = F.col(col) if isinstance(col, str) else col
     for raw, ph in BRACE_PLACEHOLDERS:
         c = F.replace(c, F.lit(raw), F.lit(ph))

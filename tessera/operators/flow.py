@@ -1,8 +1,8 @@
 """Data-flow and syntax-subtree matching (CodeBLEU components) over edge tables.
 
 Inputs are tables a parser emits: data-flow edges
-``(item, side, name, pos, rel, parents array<string>, parent_pos array<int>)``
-and syntax subtrees ``(item, side, subtree, depth)``; ``side`` is ``ref`` or
+``(item, side, ord, name, pos, rel, parents array<string>, parent_pos array<int>)``
+(``ord`` is the order in which the parser emitted the edges of an item's side) and syntax subtrees ``(item, side, subtree, depth)``; ``side`` is ``ref`` or
 ``cand``. All steps are joins and aggregates keyed by item (per-item windows
 cover one item's edges only).
 """
@@ -15,42 +15,15 @@ from pyspark.sql import functions as F
 K = ["item", "side"]
 
 
-def merge_duplicates(edges: DataFrame) -> DataFrame:
-    """W11 + U4: one edge per position; parent lists are unioned (sorted)."""
-    return edges.groupBy(*K, "pos").agg(
-        F.first("name").alias("name"), F.first("rel").alias("rel"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("parents")))).alias("parents"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("parent_pos")))).alias("parent_pos"))
-
-
-def prune_unreachable(edges: DataFrame) -> DataFrame:
-    """Keep edges that have parents or are somebody's parent."""
-    referenced = edges.select(*K, F.explode("parent_pos").alias("pos")).distinct()
-    with_parents = edges.filter(F.size("parents") > 0).select(*K, "pos")
-    keep = referenced.unionByName(with_parents).distinct()
-    return edges.join(keep, [*K, "pos"], "left_semi")
-
-
-def alpha_rename(edges: DataFrame) -> DataFrame:
-    """Variables become ``var_0, var_1 ...`` by first appearance in edge
-    order, parents before the edge's own name. Adds ``norm``: the normalised
-    edge text ``name|rel|parent,parent``."""
-    occ = edges.select(*K, "pos", F.posexplode(F.concat("parents", F.array("name"))).alias("k", "nm"))
-    first = occ.groupBy(*K, "nm").agg(F.min(F.struct("pos", "k")).alias("f"))
-    ids = first.withColumn("var", F.concat(F.lit("var_"), (F.dense_rank().over(
-        Window.partitionBy(*K).orderBy("f")) - 1).cast("string"))).select(*K, "nm", "var")
-    named = occ.join(ids, [*K, "nm"])
-    per_edge = named.groupBy(*K, "pos").agg(F.array_sort(F.collect_list(F.struct("k", "var"))).alias("v"))
-    norm = per_edge.select(*K, "pos", F.element_at(F.col("v"), -1)["var"].alias("nv"),
-                           F.transform(F.slice("v", 1, F.size("v") - 1), lambda s: s["var"]).alias("pv"))
-    return edges.join(norm, [*K, "pos"]).withColumn(
-        "norm", F.concat_ws("|", F.col("nv"), F.col("rel"), F.array_join("pv", ",")))
-
-
 def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame:
     """Matched normalised reference edges (each candidate edge used once)
     over all reference edges; 0 when there are no reference edges.
 
+    W11: edges of one position become one, with the parents of all and the name
+    and relation of the last by ``ord``. W12: a position without parents that is
+    nobody's parent goes. W8: variables become ``var_0, var_1 ...`` by first
+    appearance in edge order, parents before the edge's own name.
+
     The edges are hash-partitioned by item once; merge (W11), prune (W12),
     renaming (W8) and counting are then aggregates and windows keyed by item
     plus more columns, which that partitioning satisfies, so no further
@@ -61,17 +34,19 @@ def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame
     e = edges.repartition(n, "item")
     # W11 + W12 in one aggregate: every edge row plus one marker row per parent
     # position it references.
-    own = F.array(F.struct(F.col("pos").alias("p"), F.col("name").alias("nm"), F.col("rel").alias("rl"),
-                           F.col("parents").alias("ps"), F.lit(False).alias("ref")))
+    own = F.array(F.struct(F.col("pos").alias("p"), F.col("ord").cast("long").alias("o"), F.col("name").alias("nm"),
+                           F.col("rel").alias("rl"), F.col("parents").alias("ps"),
+                           (F.size("parent_pos") > 0).alias("linked")))
     marks = F.transform("parent_pos", lambda q: F.struct(
-        q.alias("p"), F.lit(None).cast("string").alias("nm"), F.lit(None).cast("string").alias("rl"),
-        F.array().cast("array<string>").alias("ps"), F.lit(True).alias("ref")))
+        q.alias("p"), F.lit(None).cast("long").alias("o"), F.lit(None).cast("string").alias("nm"),
+        F.lit(None).cast("string").alias("rl"), F.array().cast("array<string>").alias("ps"),
+        F.lit(True).alias("linked")))
     rows = e.select(*K, F.inline(F.concat(own, marks)))
     merged = rows.groupBy(*K, F.col("p").alias("pos")).agg(
-        F.first("nm", ignorenulls=True).alias("name"), F.first("rl", ignorenulls=True).alias("rel"),
+        F.max_by("nm", "o").alias("name"), F.max_by("rl", "o").alias("rel"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("parents"),
-        F.bool_or("ref").alias("referenced"))
-    kept = merged.filter(F.col("name").isNotNull() & ((F.size("parents") > 0) | F.col("referenced")))
+        F.bool_or("linked").alias("linked"))
+    kept = merged.filter(F.col("name").isNotNull() & F.col("linked"))
     # First appearance of each name, parents before the edge's own name
     occ = kept.select(*K, "pos", "rel", F.posexplode(F.concat("parents", F.array("name"))).alias("k", "nm"))
     first = F.min(F.struct(F.col("pos").cast("long"), F.col("k"))).over(Window.partitionBy(*K, "nm"))

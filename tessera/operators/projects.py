@@ -59,8 +59,10 @@ def match_classes_to_files(classes: DataFrame, files: DataFrame, cls: str = "cla
 def pick_test_dir(dirs: DataFrame, key: str, package: str, dir_col: str = "dir",
                   order: str = "walk_order") -> DataFrame:
     """Per key, the last (in walk order) test folder ending with the
-    package path and outside build outputs."""
+    package path and outside build outputs; a path with ``gson`` in it must lie
+    under ``gson/src/test/`` and only ``target`` is an output there."""
     d = F.col(dir_col)
-    ok = (d.endswith(package_path(F.col(package))) & d.contains("test")
-          & ~d.contains("test-classes") & ~d.contains("target") & ~d.contains("build"))
-    return dirs.filter(ok).groupBy(key).agg(F.max_by(d, F.col(order)).alias(dir_col))
+    plain = d.contains("test") & ~d.contains("test-classes") & ~d.contains("target") & ~d.contains("build")
+    gson = d.contains("gson/src/test/") & ~d.contains("target")
+    ok = F.when(d.contains("gson"), gson).otherwise(plain)
+    return dirs.filter(d.endswith(package_path(F.col(package))) & ok).groupBy(key).agg(F.max_by(d, F.col(order)).alias(dir_col))

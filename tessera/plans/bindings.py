@@ -238,6 +238,17 @@ def v10_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("pos") % 3 == 0).alias("is_def"))
 
 
+def v10_repeated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V10 edges in parser order (``ord``); every fifth position has a second edge, with another
+    relation and no parents, as branches of a program give."""
+    e = v10_edges(spark, sf_dir).drop("is_def")
+    one = F.struct((F.col("pos") * 2).alias("ord"), "rel", "parents", "parent_pos")
+    two = F.struct((F.col("pos") * 2 + 1).alias("ord"), F.lit("mergedFrom").alias("rel"),
+                   F.array().cast("array<string>").alias("parents"), F.array().cast("array<int>").alias("parent_pos"))
+    both = F.when(F.col("pos") % 5 == 4, F.array(one, two)).otherwise(F.array(one))
+    return e.select("item", "side", "name", "pos", F.inline(both))
+
+
 def v9_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tag subtrees per page: ``tag:depth`` for every opening tag, depth being
     the running open/close balance. The candidate side is the page with

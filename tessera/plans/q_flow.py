@@ -8,7 +8,7 @@ from tessera.functions.text import ASCII_WS
 from tessera.operators import flow as fl
 from tessera.operators import textmetrics as tm
 from tessera.plans import q_metrics
-from tessera.plans.bindings import v2_pairs, v9_code_text, v9_subtrees, v10_edges
+from tessera.plans.bindings import v2_pairs, v9_code_text, v9_subtrees, v10_edges, v10_repeated_edges
 from tessera.plans.sqlbind import V2, toks
 
 
@@ -17,7 +17,7 @@ def _r(c, name):
 
 
 def q_dataflow_match(spark, sf_dir):
-    d = fl.dataflow_match(v10_edges(spark, sf_dir).drop("is_def"))
+    d = fl.dataflow_match(v10_repeated_edges(spark, sf_dir))
     return d.select(_r(F.col("dataflow_match"), "dataflow_match"), "matched", "total")
 
 
@@ -51,7 +51,7 @@ def q_codebleu(spark, sf_dir):
     wst = tm.weighted_recall_stats(v2, "idx", "predict", ["label"], tm.keyword_table(spark), 4, ASCII_WS)
     wng = tm.weighted_ngram_match(wst).select(F.round("weighted_ngram_match", 6))
     syn = fl.syntax_match(v9_subtrees(spark, sf_dir)).select(F.round("syntax_match", 6))
-    dfm = fl.dataflow_match(v10_edges(spark, sf_dir).drop("is_def")).select(F.round("dataflow_match", 6))
+    dfm = fl.dataflow_match(v10_repeated_edges(spark, sf_dir)).select(F.round("dataflow_match", 6))
     parts = [bleu.scalar(), wng.scalar(), syn.scalar(), dfm.scalar()]
     names = ["ngram_match", "weighted_ngram_match", "syntax_match", "dataflow_match"]
     score = tm.codebleu(*parts)
@@ -72,17 +72,20 @@ e AS (SELECT item, side, CAST(i - 1 AS INTEGER) AS pos, t[i] AS name,
 """
 
 _DATAFLOW = _EDGES + """,
-m AS (SELECT item, side, pos, first(name) AS name, first(rel) AS rel,
+r AS (SELECT item, side, name, pos, pos * 2 AS ord, rel, parents, parent_pos FROM e
+      UNION ALL
+      SELECT item, side, name, pos, pos * 2 + 1, 'mergedFrom', [], [] FROM e WHERE pos % 5 = 4),
+m AS (SELECT item, side, pos, arg_max(name, ord) AS name, arg_max(rel, ord) AS rel,
         list_sort(list_distinct(flatten(list(parents)))) AS parents,
         list_sort(list_distinct(flatten(list(parent_pos)))) AS parent_pos
-      FROM e GROUP BY item, side, pos),
+      FROM r GROUP BY item, side, pos),
 keep AS (SELECT item, side, unnest(parent_pos) AS pos FROM m
-         UNION SELECT item, side, pos FROM m WHERE len(parents) > 0),
+         UNION SELECT item, side, pos FROM m WHERE len(parent_pos) > 0),
 k AS (SELECT m.* FROM m SEMI JOIN keep USING (item, side, pos)),
 occ AS (SELECT item, side, pos, l[j] AS nm, j - 1 AS kk
         FROM (SELECT item, side, pos, l, unnest(range(1, len(l) + 1)) AS j
               FROM (SELECT item, side, pos, list_concat(parents, [name]) AS l FROM k))),
-fo AS (SELECT item, side, nm, min(CAST(pos AS BIGINT) * 100000 + kk) AS f FROM occ GROUP BY item, side, nm),
+fo AS (SELECT item, side, nm, min({'pos': pos, 'kk': kk}) AS f FROM occ GROUP BY item, side, nm),
 ids AS (SELECT item, side, nm, 'var_' || CAST(dense_rank() OVER (PARTITION BY item, side ORDER BY f) - 1 AS VARCHAR) AS var FROM fo),
 pe AS (SELECT o.item, o.side, o.pos, list(i.var ORDER BY o.kk) AS v
        FROM occ o JOIN ids i USING (item, side, nm) GROUP BY o.item, o.side, o.pos),

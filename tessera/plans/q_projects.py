@@ -40,9 +40,12 @@ def q_changed_class_files(spark, sf_dir):
 
 def q_test_dir_selection(spark, sf_dir):
     f = v9_files(spark, sf_dir)
-    dirs = f.select("package", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("dir"),
-                    F.col("path").alias("walk_order"))
-    return pj.pick_test_dir(dirs, "package", "package")
+    # every sixth page belongs to a gson tree, every ninth to a build output
+    path = F.concat(F.when(F.col("page_id") % 9 == 2, "build/").otherwise(""),
+                    F.when(F.col("page_id") % 6 == 5, "gson/").otherwise(""), F.col("path"))
+    dirs = f.select(F.concat_ws(":", "package", (F.col("page_id") % 12).cast("string")).alias("class_key"), "package",
+                    F.regexp_extract(path, r"^(.*)/[^/]*$", 1).alias("dir"), path.alias("walk_order"))
+    return pj.pick_test_dir(dirs, "class_key", "package")
 
 
 SQL = {
@@ -67,11 +70,15 @@ SELECT c.class_name, c.package, s.path FROM c JOIN s
   ON string_split(s.path, '/')[-1] = c.class_name || '.java'
  AND contains(regexp_extract(s.path, '^(.*)/[^/]*$', 1), replace(c.package, '.', '/'))""",
     "test_dir_selection": f"""WITH f AS ({V9_FILES}),
-d AS (SELECT package, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, path AS walk_order FROM f)
-SELECT package, arg_max(dir, walk_order) AS dir FROM d
-WHERE ends_with(dir, replace(package, '.', '/')) AND contains(dir, 'test') AND NOT contains(dir, 'test-classes')
-  AND NOT contains(dir, 'target') AND NOT contains(dir, 'build')
-GROUP BY package""",
+p AS (SELECT package, package || ':' || CAST(page_id % 12 AS VARCHAR) AS class_key,
+        CASE WHEN page_id % 9 = 2 THEN 'build/' ELSE '' END || CASE WHEN page_id % 6 = 5 THEN 'gson/' ELSE '' END || path AS path
+      FROM f),
+d AS (SELECT package, class_key, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir, path AS walk_order FROM p)
+SELECT class_key, arg_max(dir, walk_order) AS dir FROM d
+WHERE ends_with(dir, replace(package, '.', '/')) AND NOT contains(dir, 'target')
+  AND CASE WHEN contains(dir, 'gson') THEN contains(dir, 'gson/src/test/')
+           ELSE contains(dir, 'test') AND NOT contains(dir, 'test-classes') AND NOT contains(dir, 'build') END
+GROUP BY class_key""",
 }
 
 QUERIES = {

@@ -53,9 +53,9 @@ def q_literal_filter_code(spark, sf_dir):
 
 def q_brace_placeholders(spark, sf_dir):
     v = v4_chat(spark, sf_dir)
-    esc = tx.escape_braces(F.concat(F.lit("{"), F.col("signature"), F.lit("}")))
-    return v.select("conv_id", "turn", esc.alias("escaped"),
-                    (tx.restore_braces(esc) == F.concat(F.lit("{"), F.col("signature"), F.lit("}"))).alias("round_trip"))
+    code = F.concat(F.lit("if (c == '{') { "), F.col("source"), F.lit(" } // '}'"))
+    esc = tx.escape_braces(code)
+    return v.select("conv_id", "turn", esc.alias("escaped"), (tx.restore_braces(esc) == code).alias("round_trip"))
 
 
 def q_token_length_histogram(spark, sf_dir):
@@ -94,12 +94,17 @@ SQL = {
     "normalize_source": f"""WITH c AS ({V1})
 SELECT id, trim(regexp_replace(replace(replace(translate(src, chr(10) || chr(9), '  '), '{{', ' {{ '), '}}', ' }} '), '\\s+', ' ', 'g')) AS norm FROM c""",
     "literal_filter_code": f"""WITH c AS ({V1}),
-e AS (SELECT id, replace(replace(replace(replace(src, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') AS s FROM c)
-SELECT id, regexp_replace(translate(CASE WHEN contains(s, '''') AND contains(s, '"') THEN replace(s, '''', '\\''') ELSE s END,
-                                    chr(13) || chr(10) || chr(9), '   '), ' +', ' ', 'g') AS code FROM e""",
-    "brace_placeholders": f"""WITH v AS ({V4})
-SELECT conv_id, turn, '<LBRACE>' || replace(replace(signature, '{{', '<LBRACE>'), '}}', '<RBRACE>') || '<RBRACE>' AS escaped,
-       true AS round_trip FROM v""",
+e AS (SELECT id, replace(replace(replace(replace(src, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t') AS s FROM c),
+q AS (SELECT id, CASE WHEN contains(s, '''') AND contains(s, '"') THEN replace(s, '''', '\\''') ELSE s END AS s FROM e),
+x AS (SELECT id, array_to_string(list_transform(string_split(s, ''), lambda c:
+        CASE WHEN c <> '' AND (unicode(c) < 32 OR unicode(c) BETWEEN 127 AND 160 OR unicode(c) = 173)
+             THEN '\\x' || printf('%02x', unicode(c)) ELSE c END), '') AS s FROM q)
+SELECT id, regexp_replace(translate(s, chr(13) || chr(10) || chr(9), '   '), ' +', ' ', 'g') AS code FROM x""",
+    "brace_placeholders": f"""WITH v AS ({V4}),
+c AS (SELECT conv_id, turn, 'if (c == ''{{'') {{ ' || source || ' }} // ''}}''' AS code FROM v),
+e AS (SELECT *, replace(replace(code, '''{{''', '6416864816840'), '''}}''', '6416864816841') AS escaped FROM c)
+SELECT conv_id, turn, escaped,
+       replace(replace(escaped, '6416864816840', '''{{'''), '6416864816841', '''}}''') = code AS round_trip FROM e""",
     "token_length_histogram": f"""WITH c AS ({V1}), n AS (SELECT len({toks('src')}) + 2 AS n FROM c)
 SELECT CAST(floor(n / 64) * 64 AS BIGINT) AS bucket, count(*) AS rows, CAST(max(n) AS BIGINT) AS max_tokens FROM n GROUP BY 1""",
 }

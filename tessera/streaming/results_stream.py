@@ -28,18 +28,29 @@ def result_stream(spark: SparkSession, folder: str, suffix: str = "_result.jsonl
 
 def running_outcome_counts(spark: SparkSession, folder: str, checkpoint: str, output: str,
                            available_now: bool = True) -> StreamingQuery:
-    """X1 + X2: per-model outcome counts, rewritten as a whole table per batch.
+    """X1 + X2: per-model outcome counts, published as a whole table per batch.
 
-    ``output`` receives the complete counts after every micro-batch (parquet,
-    overwrite), so readers always see a consistent snapshot.
+    Every micro-batch writes the complete counts to a folder of its own and then
+    names that folder in ``output/published``; ``latest_counts`` reads the last
+    one named, so a reader never meets a half-written table. The state holds one
+    key per distinct (model, id, revision): exact replay safety needs all of
+    them, so it grows with the distinct results, not with the rows read.
     """
     rows = result_stream(spark, folder).dropDuplicates(["model", "id", "revision"])
     counts = per_model(rows)
 
-    def publish(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(output)
+    def publish(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/counts/epoch-{epoch}")
+        batch.sparkSession.range(1).select(F.lit(epoch).cast("long").alias("epoch")) \
+            .write.mode("append").parquet(f"{output}/published")
 
     w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint) \
         .foreachBatch(publish)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def latest_counts(spark: SparkSession, output: str) -> DataFrame:
+    """The counts that were published last."""
+    epoch = spark.read.parquet(f"{output}/published").agg(F.max("epoch")).first()[0]
+    return spark.read.parquet(f"{output}/counts/epoch-{epoch}")

@@ -60,7 +60,7 @@ def test_text_rules(spark, texts):
 
 
 def test_literal_body_matches_repr(spark):
-    texts = ["a\nb", "it's", 'say "hi"', "both ' and \"", "back\\slash\t"]
+    texts = ["a\nb", "it's", 'say "hi"', "both ' and \"", "back\\slash\t", "bell\x07 del\x7f nbsp\xa0 shy\xad é", ""]
     assert _run(spark, texts, tx.py_literal_body) == [repr(t)[1:-1] for t in texts]
 
 
@@ -122,3 +122,21 @@ def test_normalize_source_unicode_whitespace(spark):
     from tessera.functions.text import normalize_source
     row = spark.createDataFrame([("a\u00a0 b\u2003c {d}",)], "s string").select(normalize_source("s")).first()
     assert row[0] == "a b c { d }"
+
+
+def test_brace_literals_only(spark):
+    texts = ["if (c == '{') { f(); } // '}'", "{ }", "'{ }'"]
+    got = _run(spark, texts, tx.escape_braces)
+    assert got == ["if (c == 6416864816840) { f(); } // 6416864816841", "{ }", "'{ }'"]
+    assert [_run(spark, [g], tx.restore_braces)[0] for g in got] == texts
+
+
+def test_dataflow_repeated_positions_in_any_row_order(spark):
+    from tessera.operators.flow import dataflow_match
+    schema = "item int, side string, ord int, name string, pos int, rel string, parents array<string>, parent_pos array<int>"
+    rows = [(1, "ref", 0, "a", 0, "comesFrom", [], []), (1, "ref", 1, "b", 1, "comesFrom", ["a"], [0]),
+            (1, "ref", 2, "b", 1, "computedFrom", [], []), (1, "cand", 0, "x", 0, "comesFrom", [], []),
+            (1, "cand", 1, "y", 1, "computedFrom", ["x"], [0])]
+    for some in (rows, rows[::-1], rows[2:] + rows[:2]):
+        r = dataflow_match(spark.createDataFrame(some, schema).coalesce(1), 2).first()
+        assert (r.dataflow_match, r.matched, r.total) == (1.0, 2, 2)
