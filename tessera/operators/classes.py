@@ -14,10 +14,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def signature(modifiers: Column, return_type: Column, name: Column, params: Column) -> Column:
-    """``<modifiers> <return or void> <name>(<params>)``."""
-    return F.concat_ws(" ", F.array_join(modifiers, " "), F.coalesce(return_type, F.lit("void")),
-                       F.concat(name, F.lit("("), F.array_join(params, ", "), F.lit(")")))
+def _listed(prefix: str, items: Column | None, separator: str = ", ", suffix: str = "") -> Column:
+    """``prefix``, the items and ``suffix``; nothing without items."""
+    if items is None:
+        return F.lit("")
+    text = F.concat(F.lit(prefix), F.array_join(items, separator), F.lit(suffix))
+    return F.when(F.size(items) > 0, text).otherwise(F.lit(""))
+
+
+def _head(modifiers: Column, annotations: Column | None = None) -> Column:
+    """Annotations, one a line, then the modifiers."""
+    return F.concat(_listed("", annotations, "\n", "\n"), _listed("", modifiers, " ", " "))
+
+
+def signature(modifiers: Column, return_type: Column, name: Column, params: Column,
+              annotations: Column | None = None, throws: Column | None = None) -> Column:
+    """F28, method: ``<modifiers> <return or void> <name>(<params>)throws <types>;``."""
+    return F.concat(_head(modifiers, annotations), F.coalesce(return_type, F.lit("void")), F.lit(" "), name, F.lit("("),
+                    F.array_join(params, ", "), F.lit(")"), _listed("throws ", throws), F.lit(";"))
+
+
+def constructor_signature(modifiers: Column, name: Column, params: Column,
+                          annotations: Column | None = None) -> Column:
+    """F28, constructor: ``<modifiers> <name>(<params>);``."""
+    return F.concat(_head(modifiers, annotations), name, F.lit("("), F.array_join(params, ", "), F.lit(");"))
+
+
+def field_signature(modifiers: Column, type_: Column, names: Column, annotations: Column | None = None) -> Column:
+    """F28, field: ``<modifiers> <type> <names>;``."""
+    return F.concat(_head(modifiers, annotations), type_, F.lit(" "), F.array_join(names, ", "), F.lit(";"))
+
+
+def enum_signature(modifiers: Column, name: Column, constants: Column) -> Column:
+    """F28, enum: ``<modifiers> enum <name>{<constants>}``."""
+    return F.concat(_head(modifiers), F.lit("enum "), name, F.lit("{"), F.array_join(constants, ", "), F.lit("}"))
+
+
+def class_signature(modifiers: Column, name: Column, extends: Column, implements: Column, members: Column) -> Column:
+    """F28, class: the header line, then its members' signatures, each indented by four and without line breaks."""
+    base = F.coalesce(F.concat(F.lit(" extends "), extends), F.lit(""))
+    body = F.array_join(F.transform(members, lambda m: F.concat(F.lit("    "), m)), "")
+    return F.concat(_head(modifiers), F.lit("class "), name, base, _listed(" implements ", implements),
+                    F.lit(" {\n"), body, F.lit("}"))
+
+
+def array_type(name: Column, dimensions: Column | int) -> Column:
+    """F28, type name with its array brackets."""
+    return F.concat(name, F.repeat(F.lit("[]"), dimensions))
 
 
 def with_siblings(members: DataFrame, cls: str, sig: str, order: str) -> DataFrame:

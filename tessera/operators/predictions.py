@@ -21,8 +21,8 @@ def _c(x: Column | str) -> Column:
 
 
 def strip_ws(col: Column | str) -> Column:
-    """Python ``str.strip()`` for whitespace."""
-    return F.regexp_replace(_c(col), r"^\s+|\s+$", "")
+    """Python ``str.strip()``: Unicode whitespace on either side."""
+    return F.regexp_replace(_c(col), r"(?U)^\s+|\s+$", "")
 
 
 def extract_fenced_code(text: Column | str, missing: str = "nothing") -> Column:
@@ -79,10 +79,11 @@ def attach_predictions(corpus: DataFrame, preds: DataFrame, keys: Sequence[str],
 def replace_by_label(corpus: DataFrame, preds: DataFrame, target: str, label: str,
                      value: str, order: str) -> DataFrame:
     """Where the corpus target equals a prediction's label, the target
-    becomes that prediction (single step; the last matching prediction wins)."""
-    last = preds.groupBy(F.col(label).alias("_lbl")).agg(
+    becomes that prediction (single step; the last matching prediction wins).
+    Texts meet by their SHA-256 digests."""
+    last = preds.groupBy(F.sha2(F.col(label), 256).alias("_lbl")).agg(
         F.max_by(F.col(value), F.col(order)).alias("_new"))
-    j = corpus.join(last, corpus[target] == last["_lbl"], "left")
+    j = corpus.withColumn("_lbl", F.sha2(F.col(target), 256)).join(last, "_lbl", "left")
     return j.withColumn(target, F.coalesce(F.col("_new"), F.col(target))).drop("_lbl", "_new")
 
 
@@ -157,7 +158,7 @@ def matching_close(text: Column | str, marker: str, open_: str = "{", close: str
 
 
 def _lstrip_ws(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+", "")
+    return F.regexp_replace(c, r"(?U)^\s+", "")
 
 
 def line_span(text: Column, start: Column, end: Column) -> Column:

@@ -1,9 +1,8 @@
 """Training-log analytics: keyed entries, EMA smoothing, best checkpoint, early stop.
 
 A log is the long table ``(run, step, metric, value)`` (``explode`` of the
-trainer's ``log_history``). Work is parallel over runs; one run's series is
-bounded by its number of logging steps, so the per-series fold below holds
-one run's series, never the table.
+trainer's ``log_history``). Work is parallel over runs and, for the EMA, over
+blocks of steps; the early-stop window holds one run's evaluations.
 """
 
 from __future__ import annotations
@@ -29,24 +28,42 @@ def ema_weight(n: Column) -> Column:
     return F.lit(1.8) * (F.lit(1.0) / (F.lit(1.0) + F.exp(F.lit(-0.05) * n)) - F.lit(0.5))
 
 
-def ema_smooth(df: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+def ema_smooth(df: DataFrame, keys: list[str], order: str, value: str, block: int = 256) -> DataFrame:
     """TensorBoard-style EMA per series; adds ``smoothed``.
 
     ``y = last * w + (1 - w) * x`` for every point, starting with ``last = x0``.
+    The recurrence is linear: each block of ``block`` steps is folded from zero
+    on its own, one summary row per block gives the value it starts from, and
+    that value decays through the block. ``keys`` and the integer ``order`` are
+    not null.
     """
-    s = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
-        F.col(order).alias("o"), F.col(value).cast("double").alias("x")))).alias("s"))
-    w = ema_weight(F.size("s"))
-    init = F.struct(F.col("s")[0]["x"].alias("last"), F.array().cast("array<double>").alias("out"))
+    s = df.groupBy(*keys, F.floor(F.col(order) / block).alias("_b")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("x")))).alias("s"))
+    total = s.groupBy(*keys).agg(F.sum(F.size("s")).alias("_n"))
+    s = s.join(total, keys).withColumn("_w", ema_weight(F.col("_n")))
+    nothing = F.array().cast("array<double>").alias("out")
 
     def step(acc, p):
-        y = acc["last"] * w + (F.lit(1.0) - w) * p["x"]
+        y = acc["last"] * F.col("_w") + (F.lit(1.0) - F.col("_w")) * p["x"]
         return F.struct(y.alias("last"), F.array_append(acc["out"], y).alias("out"))
 
-    folded = s.select(*keys, "s", F.aggregate("s", init, step)["out"].alias("y"))
-    z = folded.select(*keys, F.inline(F.arrays_zip(F.col("s").alias("p"), F.col("y").alias("y"))))
-    return z.select(*keys, F.col("p.o").alias(order), F.col("p.x").alias(value),
-                    F.col("y").alias("smoothed"))
+    folded = F.aggregate("s", F.struct(F.lit(0.0).alias("last"), nothing), step)["out"]
+    blocks = s.select(*keys, "_b", "_w", "s", folded.alias("y"))
+
+    def carry(acc, c):
+        return F.struct((acc["last"] * c["decay"] + c["end"]).alias("last"),
+                        F.array_append(acc["out"], acc["last"]).alias("out"))
+
+    chain = blocks.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "_b", F.element_at("y", -1).alias("end"), F.pow("_w", F.size("y")).alias("decay"),
+        F.col("s")[0]["x"].alias("x0")))).alias("c"))
+    starts = F.aggregate("c", F.struct(F.col("c")[0]["x0"].alias("last"), nothing), carry)["out"]
+    starts = chain.select(*keys, F.inline(F.arrays_zip(F.col("c").alias("c"), starts.alias("_start"))))
+    starts = starts.select(*keys, F.col("c._b").alias("_b"), "_start")
+    z = blocks.join(starts, [*keys, "_b"]).select(*keys, "_w", "_start", F.posexplode(
+        F.arrays_zip(F.col("s").alias("p"), F.col("y").alias("y"))).alias("_j", "_z"))
+    return z.select(*keys, F.col("_z.p.o").alias(order), F.col("_z.p.x").alias(value),
+                    (F.col("_z.y") + F.pow("_w", F.col("_j") + 1) * F.col("_start")).alias("smoothed"))
 
 
 def best_checkpoint(evals: DataFrame, run: str, step: str, value: str) -> DataFrame:

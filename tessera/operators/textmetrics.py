@@ -17,7 +17,7 @@ Scale notes
   counted inside the partition and never cross the network.
 * The corpus totals are a final tiny aggregate over ``order`` (<= 5 rows
   after partial aggregation).
-* Keyword weights (J12) join through a broadcast of a fixed list (~100 rows).
+* Keyword weights (J12) are a set test against a fixed list (~100 tokens).
 """
 
 from __future__ import annotations
@@ -38,7 +38,28 @@ JAVA_KEYWORDS = (
     "synchronized this throw throws transient try void volatile while"
 ).split()
 
-KEYWORDS = {"java": JAVA_KEYWORDS}
+# C# keyword list.
+C_SHARP_KEYWORDS = (
+    "abstract as base bool break byte case catch char checked class const "
+    "continue decimal default delegate do double else enum event explicit "
+    "extern false finally fixed float for foreach goto if implicit in int "
+    "interface internal is lock long namespace new null object operator out "
+    "override params private protected public readonly ref return sbyte sealed "
+    "short sizeof stackalloc static string struct switch this throw true try "
+    "typeof uint ulong unchecked unsafe ushort using virtual void volatile while "
+    "add alias ascending async await by descending dynamic equals from get "
+    "global group into join let nameof notnull on orderby partial remove select "
+    "set unmanaged value var when where yield"
+).split()
+
+# Python keyword list.
+PYTHON_KEYWORDS = (
+    "False None True and as assert async await break class continue def del "
+    "elif else except finally for from global if import in is lambda nonlocal "
+    "not or pass raise return try while with yield"
+).split()
+
+KEYWORDS = {"java": JAVA_KEYWORDS, "c_sharp": C_SHARP_KEYWORDS, "python": PYTHON_KEYWORDS}
 
 
 def keyword_table(spark: SparkSession, lang: str = "java") -> DataFrame:
@@ -201,19 +222,54 @@ def brevity_penalty(ref_len: Column, hyp_len: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 def item_stats(pairs: DataFrame, item: str, hyp: str, refs: Sequence[str],
-               max_order: int = 4, pattern: str = UNICODE_WS) -> DataFrame:
+               max_order: int = 4, pattern: str = UNICODE_WS,
+               keywords: Sequence[str] | None = None) -> DataFrame:
     """``(item, hyp_len, ref_lens, m1..mN)`` with ``mk`` the clipped k-gram matches.
 
+    With ``keywords`` also A10's recall numerators ``n1..nN`` and denominators
+    ``d1..dN``, from the same gram table. Per reference, each order contributes
+    ``sum min(rc, h)`` over the reference's grams and ``max(1, sum rc)``;
+    unigrams are weighted by 1 for a keyword, else 0.2. Sums run over all
+    references of the item.
+
     Both inputs of the final join are partitioned by ``item`` already, so the
     join and all aggregates here run without another exchange.
     """
+    orders = range(1, max_order + 1)
     sides = sides_frame(pairs, item, hyp, refs, pattern)
     gt = gram_table(gram_rows(sides, max_order), len(refs))
-    m = gt.groupBy("item").agg(*[
-        F.sum(F.when(F.col("order") == k, clipped(F.col("h"), ref_cols(len(refs))))).alias(f"m{k}")
-        for k in range(1, max_order + 1)])
-    out = lengths(sides).join(m, "item", "left")
-    return out.fillna(0, [f"m{k}" for k in range(1, max_order + 1)])
+    order, h, counts = F.col("order"), F.col("h"), ref_cols(len(refs))
+    sums = [F.sum(F.when(order == k, clipped(h, counts))).alias(f"m{k}") for k in orders]
+    if keywords is not None:
+        weight = F.when((order != 1) | F.col("gram").isin(list(keywords)), F.lit(1.0)).otherwise(F.lit(0.2))
+        shared = _total([F.least(c, h) for c in counts])
+        sums += [F.sum(F.when(order == k, shared * weight)).alias(f"n{k}") for k in orders]
+        sums += [F.sum(F.when(order == 1, c * weight)).alias(f"w{j}") for j, c in enumerate(counts)]
+    out = lengths(sides).join(gt.groupBy("item").agg(*sums), "item", "left")
+    out = out.fillna(0, [f"m{k}" for k in orders])
+    if keywords is None:
+        return out
+    # A null reference has no length and counts nowhere.
+    d1 = (_total([F.greatest(F.coalesce(f"w{j}", F.lit(0.0)), F.lit(1.0)) for j in range(len(refs))])
+          - (F.lit(len(refs)) - F.size("ref_lens")))
+    return out.select(
+        "item", "hyp_len", "ref_lens", *[f"m{k}" for k in orders],
+        *[F.coalesce(f"n{k}", F.lit(0.0)).alias(f"n{k}") for k in orders], d1.alias("d1"),
+        *[F.aggregate("ref_lens", F.lit(0).cast("long"), _grams_at_least_one(k)).cast("double").alias(f"d{k}")
+          for k in orders[1:]])
+
+
+def _total(columns: Sequence[Column]) -> Column:
+    out = columns[0]
+    for c in columns[1:]:
+        out = out + c
+    return out
+
+
+def _grams_at_least_one(k: int):
+    def step(acc, r):
+        return acc + F.greatest(r - (k - 1), F.lit(1))
+    return step
 
 
 def _grams(hyp_len: Column, k: int) -> Column:
@@ -327,22 +383,34 @@ def _bleu_expr(nums, dens, weights, method, hyp_len, ref_len, extra_p=None):
 
 def corpus_bleu_v2(stats: DataFrame, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25),
                    smoothing: int = 1, auto_reweigh: bool = False) -> DataFrame:
-    """Corpus BLEU, closest reference length, method-1 smoothing by default."""
-    n = len(weights)
-    tot = stats.agg(
-        F.sum("hyp_len").alias("c"),
-        F.sum(closest_ref_len(F.col("ref_lens"), F.col("hyp_len"))).alias("r"),
-        *[F.sum(f"m{k}").alias(f"M{k}") for k in range(1, n + 1)],
-        *[F.sum(F.greatest(_grams(F.col("hyp_len"), k), F.lit(1))).alias(f"D{k}")
-          for k in range(1, n + 1)])
-    nums = [F.col(f"M{k}").cast("double") for k in range(1, n + 1)]
-    dens = [F.col(f"D{k}").cast("double") for k in range(1, n + 1)]
+    """Corpus BLEU, closest reference length, method-1 smoothing by default.
+
+    ``auto_reweigh``: with the default weights and hypotheses of ``c < 4`` tokens
+    in all, the first ``c`` orders count ``1 / c`` each and the others nothing.
+    """
     if auto_reweigh and tuple(weights) == (0.25, 0.25, 0.25, 0.25):
-        raise NotImplementedError("auto_reweigh changes the order count at run time")
-    score, bp = _bleu_expr(nums, dens, weights, smoothing, F.col("c"), F.col("r"))
-    return tot.select(score.alias("bleu"), bp.alias("bp"),
-                      F.col("c").cast("long").alias("hyp_length"),
-                      F.col("r").cast("long").alias("ref_length"))
+        if smoothing == 7:
+            raise ValueError("method 7 mixes in the next order, which auto_reweigh leaves out")
+        c = F.col("c")
+        weights = [F.when(c >= 4, F.lit(w)).when(c >= k, 1.0 / c).otherwise(F.lit(0.0))
+                   for k, w in enumerate(weights, 1)]
+    score, bp = _bleu_score(weights, smoothing)
+    return stats.agg(*_bleu_sums(len(weights))).select(
+        score.alias("bleu"), bp.alias("bp"), F.col("c").cast("long").alias("hyp_length"),
+        F.col("r").cast("long").alias("ref_length"))
+
+
+def _bleu_sums(n: int) -> list[Column]:
+    hyp_len = F.col("hyp_len")
+    return [F.sum(hyp_len).alias("c"), F.sum(closest_ref_len(F.col("ref_lens"), hyp_len)).alias("r"),
+            *[F.sum(f"m{k}").alias(f"M{k}") for k in range(1, n + 1)],
+            *[F.sum(F.greatest(_grams(hyp_len, k), F.lit(1))).alias(f"D{k}") for k in range(1, n + 1)]]
+
+
+def _bleu_score(weights: Sequence[float | Column], smoothing: int) -> tuple[Column, Column]:
+    orders = range(1, len(weights) + 1)
+    return _bleu_expr([F.col(f"M{k}").cast("double") for k in orders], [F.col(f"D{k}").cast("double") for k in orders],
+                      weights, smoothing, F.col("c"), F.col("r"))
 
 
 def sentence_bleu_expr(columns: Sequence[str], weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25),
@@ -372,64 +440,32 @@ def sentence_bleu_v2(stats: DataFrame, weights: Sequence[float] = (0.25, 0.25, 0
 # Weighted n-gram recall (A10)
 # ---------------------------------------------------------------------------
 
-def weighted_recall_stats(pairs: DataFrame, item: str, hyp: str, refs: Sequence[str],
-                          keywords: DataFrame, max_order: int = 4,
-                          pattern: str = UNICODE_WS) -> DataFrame:
-    """Per item: recall numerators ``n1..nN`` and denominators ``d1..dN``.
-
-    Per reference, each order contributes ``sum min(rc, h)`` over the
-    reference's grams and ``max(1, sum rc)``; unigrams are weighted by 1 for a
-    keyword, else 0.2. Sums run over all references of the item.
-    """
-    sides = sides_frame(pairs, item, hyp, refs, pattern)
-    gt = gram_table(gram_rows(sides, max_order), len(refs))
-    kw = F.broadcast(keywords.select(F.col("token").alias("gram"), F.lit(True).alias("_kw")))
-    per_ref_rows = F.array(*[F.struct(F.lit(k).alias("ref_idx"), F.col(f"r{k}").alias("rc"))
-                             for k in range(len(refs))])
-    x = gt.select("item", "order", "gram", "h", F.explode(per_ref_rows).alias("r")) \
-        .filter(F.col("r.rc") > 0).join(kw, "gram", "left")
-    w = F.when(F.col("order") == 1,
-               F.when(F.col("_kw"), F.lit(1.0)).otherwise(F.lit(0.2))).otherwise(F.lit(1.0))
-    rc = F.col("r.rc")
-    per_ref = x.groupBy("item", F.col("r.ref_idx").alias("ref_idx")).agg(
-        *[F.sum(F.when(F.col("order") == k, F.least(rc, F.col("h")) * w)).alias(f"n{k}")
-          for k in range(1, max_order + 1)],
-        F.sum(F.when(F.col("order") == 1, rc * w)).alias("w1"))
-    per_item = per_ref.groupBy("item").agg(
-        *[F.sum(F.coalesce(f"n{k}", F.lit(0.0))).alias(f"n{k}") for k in range(1, max_order + 1)],
-        F.sum(F.greatest(F.coalesce("w1", F.lit(0.0)), F.lit(1.0))).alias("_d1"),
-        F.count(F.lit(1)).alias("_present"))
-    out = lengths(sides).join(per_item, "item", "left")
-    cols = [F.col("item"), F.col("hyp_len"), F.col("ref_lens")]
-    for k in range(1, max_order + 1):
-        cols.append(F.coalesce(F.col(f"n{k}"), F.lit(0.0)).alias(f"n{k}"))
-    cols.append((F.coalesce(F.col("_d1"), F.lit(0.0))
-                 + (F.size("ref_lens") - F.coalesce(F.col("_present"), F.lit(0)))).alias("d1"))
-    for k in range(2, max_order + 1):
-        cols.append(F.aggregate("ref_lens", F.lit(0).cast("long"), _grams_at_least_one(k))
-                    .cast("double").alias(f"d{k}"))
-    return out.select(*cols)
+def _recall_sums(n: int, compat: bool) -> list[Column]:
+    ref_len = F.lit(2) if compat else closest_ref_len(F.col("ref_lens"), F.col("hyp_len"))
+    return [F.sum(ref_len).alias("wr"), *[F.sum(f"n{k}").alias(f"N{k}") for k in range(1, n + 1)],
+            *[F.sum(f"d{k}").alias(f"E{k}") for k in range(1, n + 1)]]
 
 
-def _grams_at_least_one(k: int):
-    def step(acc, r):
-        return acc + F.greatest(r - (k - 1), F.lit(1))
-    return step
+def _recall_score(weights: Sequence[float]) -> tuple[Column, Column]:
+    orders = range(1, len(weights) + 1)
+    return _bleu_expr([F.col(f"N{k}") for k in orders], [F.col(f"E{k}") for k in orders], weights, 1,
+                      F.col("c"), F.col("wr"))
 
 
 def weighted_ngram_match(stats: DataFrame, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25),
                          compat: bool = True) -> DataFrame:
-    """A10 corpus score. ``compat`` reproduces the reference quirk where each
-    reference length is 2 (the length of the ``[tokens, weights]`` pair)."""
+    """A10 corpus score from ``item_stats`` with keywords. ``compat`` reproduces the reference quirk
+    where each reference length is 2 (the length of the ``[tokens, weights]`` pair)."""
+    score, bp = _recall_score(weights)
+    return stats.agg(F.sum("hyp_len").alias("c"), *_recall_sums(len(weights), compat)).select(
+        score.alias("weighted_ngram_match"), bp.alias("bp"))
+
+
+def ngram_scores(stats: DataFrame, weights: Sequence[float] = (0.25, 0.25, 0.25, 0.25)) -> DataFrame:
+    """A8 and A10 of one pass over ``item_stats`` with keywords: ``(ngram_match, weighted_ngram_match)``."""
     n = len(weights)
-    ref_len = F.lit(2) if compat else closest_ref_len(F.col("ref_lens"), F.col("hyp_len"))
-    tot = stats.agg(F.sum("hyp_len").alias("c"), F.sum(ref_len).alias("r"),
-                    *[F.sum(f"n{k}").alias(f"N{k}") for k in range(1, n + 1)],
-                    *[F.sum(f"d{k}").alias(f"D{k}") for k in range(1, n + 1)])
-    nums = [F.col(f"N{k}") for k in range(1, n + 1)]
-    dens = [F.col(f"D{k}") for k in range(1, n + 1)]
-    score, bp = _bleu_expr(nums, dens, weights, 1, F.col("c"), F.col("r"))
-    return tot.select(score.alias("weighted_ngram_match"), bp.alias("bp"))
+    return stats.agg(*_bleu_sums(n), *_recall_sums(n, True)).select(
+        _bleu_score(weights, 1)[0].alias("ngram_match"), _recall_score(weights)[0].alias("weighted_ngram_match"))
 
 
 def codebleu(ngram: Column, weighted: Column, syntax: Column, dataflow: Column,

@@ -26,31 +26,39 @@ def ws_tokens(col: Column | str) -> Column:
 
 
 def v1_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated pairs: the whole document is the source, its lead paragraph the target."""
+    """Curated pairs: the whole document is the source, its lead paragraph the target.
+
+    A repo is one source's share of a thousand ids, so repos grow in number with
+    the table and keep their size.
+    """
     d = table(spark, sf_dir, "documents")
+    repo = F.concat(F.col("source"), F.lit("_"), F.floor(F.col("doc_id") / 1000).cast("string"))
     return d.select(
         F.col("doc_id").alias("id"),
-        F.col("source").alias("repo"),
-        F.concat(F.col("source"), F.lit("/"),
+        repo.alias("repo"),
+        F.concat(repo, F.lit("/"),
                  F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".json")).alias("path"),
         F.col("text").alias("src"),
         F.element_at(F.split(F.col("text"), "\n"), 1).alias("target"),
     )
 
 
-def v2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def v2_pairs(spark: SparkSession, sf_dir: str, second_ref: bool = False) -> DataFrame:
     """Gold/prediction pairs over whole documents.
 
     ``label`` is the text; ``predict`` by ``doc_id % 4``: 0 same, 1 first five
     tokens dropped, 2 the text of document ``doc_id - 1`` (empty if none),
-    3 ``the`` -> ``of``. ``ref2`` (second reference) is the text of document
-    ``doc_id + 1`` (empty if none). Neighbours come from equi-joins, not from a
-    global window, so nothing is funnelled through one task.
+    3 ``the`` -> ``of``. ``ref2``, only with ``second_ref``, is the text of
+    document ``doc_id + 1`` (empty if none). Neighbours come from equi-joins, not
+    from a global window, so nothing is funnelled through one task; the previous
+    side holds only the documents that a row of remainder 2 asks for.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    prev = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("_prev"))
-    nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("_next"))
-    j = d.join(prev, "doc_id", "left").join(nxt, "doc_id", "left")
+    prev = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("_prev")).filter("doc_id % 4 = 2")
+    j = d.join(prev, "doc_id", "left")
+    if second_ref:
+        nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("_next"))
+        j = j.join(nxt, "doc_id", "left")
     toks = ws_tokens("text")
     pred = (F.when(F.col("doc_id") % 4 == 0, F.col("text"))
             .when(F.col("doc_id") % 4 == 1, F.array_join(F.slice(toks, 6, 2147483647), " "))
@@ -62,7 +70,7 @@ def v2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("source"), F.lit("_"), (F.col("doc_id") % 7).cast("string")).alias("revision"),
         F.col("text").alias("label"),
         pred.alias("predict"),
-        F.coalesce(F.col("_next"), F.lit("")).alias("ref2"),
+        *([F.coalesce(F.col("_next"), F.lit("")).alias("ref2")] if second_ref else []),
     )
 
 

@@ -11,8 +11,36 @@ from tessera.plans.bindings import v6_members
 from tessera.plans.sqlbind import V6
 
 
+def _some(condition, *items):
+    return F.when(condition, F.array(*[F.lit(i) for i in items])).otherwise(F.array().cast("array<string>"))
+
+
 def _sig():
-    return cl.signature(F.col("modifiers"), F.col("return_type"), F.col("name"), F.col("params"))
+    line = F.col("l_linenumber")
+    return cl.signature(F.col("modifiers"), F.col("return_type"), F.col("name"), F.col("params"),
+                        _some(line % 3 == 0, "@Override"), _some(line % 4 == 0, "IOException", "SQLException"))
+
+
+def q_declaration_signatures(spark, sf_dir):
+    m = v6_members(spark, sf_dir)
+    mods, name, line = F.col("modifiers"), F.col("name"), F.col("l_linenumber")
+    type_ = cl.array_type(F.coalesce("return_type", F.lit("long")), (line % 3).cast("int"))
+    return m.select(
+        "class_id", "n",
+        cl.field_signature(mods, type_, F.array(name, F.concat(name, F.lit("Old"))),
+                           _some(line % 2 == 0, "@Deprecated", "@Nullable")).alias("field"),
+        cl.constructor_signature(_some(line % 2 == 1, "protected"), name, F.col("params")).alias("constructor"),
+        cl.enum_signature(mods, name, F.col("import_list")).alias("enum"))
+
+
+def q_class_signature(spark, sf_dir):
+    m = v6_members(spark, sf_dir).withColumn("signature", _sig())
+    c = m.groupBy("class_id").agg(F.array_sort(F.collect_list(F.struct("n", "signature"))).alias("m"))
+    odd = F.col("class_id") % 2 == 1
+    text = cl.class_signature(_some(odd, "public", "final"), F.concat(F.lit("C"), F.col("class_id").cast("string")),
+                              F.when(F.col("class_id") % 3 == 0, F.lit("Base")),
+                              _some(odd, "Closeable", "Runnable"), F.col("m.signature"))
+    return c.select("class_id", text.alias("signature"))
 
 
 def _code():
@@ -112,8 +140,10 @@ def q_class_end_position(spark, sf_dir):
     return m.select("class_id", "n", pr.matching_close(_test_class(m), "public class").cast("long").alias("end_pos"))
 
 
-_SIG = ("concat_ws(' ', array_to_string(modifiers, ' '), coalesce(return_type, 'void'), "
-        "name || '(' || array_to_string(params, ', ') || ')')")
+_SIG = ("CASE WHEN l_linenumber % 3 = 0 THEN '@Override' || chr(10) ELSE '' END || "
+        "array_to_string(modifiers, ' ') || ' ' || coalesce(return_type, 'void') || ' ' || "
+        "name || '(' || array_to_string(params, ', ') || ')' || "
+        "CASE WHEN l_linenumber % 4 = 0 THEN 'throws IOException, SQLException' ELSE '' END || ';'")
 _CODE = ("CASE WHEN l_linenumber % 2 = 0 THEN regexp_replace(full_code, '\\n\\}$', '') ELSE full_code END")
 _M = f"""WITH m0 AS ({V6}),
 m AS (SELECT *, '@Test' || chr(10) || 'public void ' || name || '() {{' || chr(10) || '    use(' || body || ');' || chr(10) || '}}' AS full_code FROM m0),
@@ -154,6 +184,20 @@ tt AS (SELECT class_id, n,
 
 SQL = {
     "method_signatures": f"WITH m AS ({V6}) SELECT class_id, n, {_SIG} AS signature FROM m",
+    "declaration_signatures": f"""WITH m AS ({V6})
+SELECT class_id, n,
+  CASE WHEN l_linenumber % 2 = 0 THEN '@Deprecated' || chr(10) || '@Nullable' || chr(10) ELSE '' END ||
+    array_to_string(modifiers, ' ') || ' ' || coalesce(return_type, 'long') || repeat('[]', l_linenumber % 3) || ' ' ||
+    name || ', ' || name || 'Old;' AS field,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'protected ' ELSE '' END || name || '(' || array_to_string(params, ', ') || ');' AS constructor,
+  array_to_string(modifiers, ' ') || ' enum ' || name || '{{' || array_to_string(import_list, ', ') || '}}' AS enum
+FROM m""",
+    "class_signature": f"""WITH m AS ({V6}), s AS (SELECT class_id, n, {_SIG} AS signature FROM m)
+SELECT class_id, CASE WHEN class_id % 2 = 1 THEN 'public final ' ELSE '' END || 'class C' || CAST(class_id AS VARCHAR) ||
+  CASE WHEN class_id % 3 = 0 THEN ' extends Base' ELSE '' END ||
+  CASE WHEN class_id % 2 = 1 THEN ' implements Closeable, Runnable' ELSE '' END || ' {{' || chr(10) ||
+  string_agg('    ' || signature, '' ORDER BY n) || '}}' AS signature
+FROM s GROUP BY class_id""",
     "sibling_signatures": f"""WITH m AS ({V6}),
 s AS (SELECT *, {_SIG} AS signature FROM m),
 sib AS (SELECT a.class_id, a.n, a.body,
@@ -216,6 +260,8 @@ SELECT class_id, n, CAST(start AS BIGINT) AS start,
 
 QUERIES = {
     "method_signatures": q_method_signatures,
+    "declaration_signatures": q_declaration_signatures,
+    "class_signature": q_class_signature,
     "sibling_signatures": q_sibling_signatures,
     "method_overlap": q_method_overlap,
     "method_row_ids": q_method_row_ids,

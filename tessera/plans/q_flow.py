@@ -45,18 +45,13 @@ def q_block_comment_strip(spark, sf_dir):
 
 
 def q_codebleu(spark, sf_dir):
-    v2 = v2_pairs(spark, sf_dir)
-    st = tm.item_stats(v2, "idx", "predict", ["label"], 4, ASCII_WS)
-    bleu = tm.corpus_bleu_v2(st).select(F.round("bleu", 6))
-    wst = tm.weighted_recall_stats(v2, "idx", "predict", ["label"], tm.keyword_table(spark), 4, ASCII_WS)
-    wng = tm.weighted_ngram_match(wst).select(F.round("weighted_ngram_match", 6))
-    syn = fl.syntax_match(v9_subtrees(spark, sf_dir)).select(F.round("syntax_match", 6))
-    dfm = fl.dataflow_match(v10_repeated_edges(spark, sf_dir)).select(F.round("dataflow_match", 6))
-    parts = [bleu.scalar(), wng.scalar(), syn.scalar(), dfm.scalar()]
-    names = ["ngram_match", "weighted_ngram_match", "syntax_match", "dataflow_match"]
-    score = tm.codebleu(*parts)
-    return spark.range(1).select(*[p.alias(n) for p, n in zip(parts, names)],
-                                 F.round(score, 6).alias("codebleu"))
+    st = tm.item_stats(v2_pairs(spark, sf_dir), "idx", "predict", ["label"], 4, ASCII_WS, tm.KEYWORDS["java"])
+    syn = fl.syntax_match(v9_subtrees(spark, sf_dir)).select("syntax_match")
+    dfm = fl.dataflow_match(v10_repeated_edges(spark, sf_dir)).select("dataflow_match")
+    parts = tm.ngram_scores(st).select("ngram_match", "weighted_ngram_match", syn.scalar().alias("syntax_match"),
+                                       dfm.scalar().alias("dataflow_match"))
+    score = tm.codebleu(*[F.col(c) for c in parts.columns])
+    return parts.select(*[_r(F.col(c), c) for c in parts.columns], _r(score, "codebleu"))
 
 
 _EDGES = f"""
@@ -109,6 +104,11 @@ cand AS (SELECT DISTINCT item, subtree FROM st WHERE side = 'cand'),
 ref AS (SELECT r.item, r.subtree, c.subtree IS NOT NULL AS hit FROM st r LEFT JOIN cand c USING (item, subtree) WHERE r.side = 'ref')
 SELECT round(count_if(hit) / count(*), 6) AS syntax_match, count_if(hit) AS matched, count(*) AS total FROM ref"""
 
+def _unrounded(sql):
+    """A component's statement with its result to 15 decimals."""
+    return sql.replace(", 6) AS ", ", 15) AS ")
+
+
 # The same tokens without possessive runs, which RE2 does not have.
 _LEX = (r"""(?s)//[^\n]*|/\*([^*]|\*+[^*/])*\*+/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'"""
         r"""|[^/"']+|.""").replace("'", "''")
@@ -134,10 +134,11 @@ SELECT page_id, array_to_string(list_filter(string_split(array_to_string(list_tr
 FROM c""",
     "block_comment_strip": _CODE + "SELECT page_id, regexp_replace(code, '(?s)/\\*\\*?\\s.*?\\*/', '', 'g') AS code FROM c",
     "codebleu": f"""
-SELECT a.bleu AS ngram_match, b.weighted_ngram_match, c.syntax_match, d.dataflow_match,
+SELECT round(a.bleu, 6) AS ngram_match, round(b.weighted_ngram_match, 6) AS weighted_ngram_match,
+       round(c.syntax_match, 6) AS syntax_match, round(d.dataflow_match, 6) AS dataflow_match,
        round(0.25 * a.bleu + 0.25 * b.weighted_ngram_match + 0.25 * c.syntax_match + 0.25 * d.dataflow_match, 6) AS codebleu
-FROM ({q_metrics._bleu_v2_sql(("label",))}) a, ({q_metrics.SQL["weighted_ngram_match"]}) b,
-     ({_SYNTAX}) c, ({_DATAFLOW}) d""",
+FROM ({_unrounded(q_metrics._bleu_v2_sql(("label",)))}) a, ({_unrounded(q_metrics.SQL["weighted_ngram_match"])}) b,
+     ({_unrounded(_SYNTAX)}) c, ({_unrounded(_DATAFLOW)}) d""",
 }
 
 QUERIES = {

@@ -32,7 +32,7 @@ def q_xmatch_rate(spark, sf_dir):
 
 
 def q_ngram_overlap_by_order(spark, sf_dir):
-    v2 = v2_pairs(spark, sf_dir)
+    v2 = v2_pairs(spark, sf_dir, second_ref=True)
     sides = tm.sides_frame(v2, "idx", "predict", ["label", "ref2"], ASCII_WS)
     gt = tm.gram_table(tm.gram_rows(sides, 4), 2)
     refs = tm.ref_cols(2)
@@ -45,8 +45,9 @@ def q_ngram_overlap_by_order(spark, sf_dir):
              "ref_union", "clipped")
 
 
-def _stats(spark, sf_dir, refs, max_order=4):
-    return tm.item_stats(v2_pairs(spark, sf_dir), "idx", "predict", refs, max_order, ASCII_WS)
+def _stats(spark, sf_dir, refs, max_order=4, keywords=None):
+    v2 = v2_pairs(spark, sf_dir, second_ref="ref2" in refs)
+    return tm.item_stats(v2, "idx", "predict", refs, max_order, ASCII_WS, keywords)
 
 
 def q_bleu_v1_corpus(spark, sf_dir):
@@ -78,18 +79,12 @@ def q_sentence_bleu_smoothing(spark, sf_dir):
 
 
 def q_weighted_ngram_match(spark, sf_dir):
-    v2 = v2_pairs(spark, sf_dir)
-    st = tm.weighted_recall_stats(v2, "idx", "predict", ["label"], tm.keyword_table(spark),
-                                  4, ASCII_WS)
-    w = tm.weighted_ngram_match(st, compat=True)
+    w = tm.weighted_ngram_match(_stats(spark, sf_dir, ["label"], keywords=tm.KEYWORDS["java"]), compat=True)
     return w.select(_r(F.col("weighted_ngram_match"), "weighted_ngram_match"), _r(F.col("bp"), "bp"))
 
 
 def q_weighted_ngram_match_exact_bp(spark, sf_dir):
-    v2 = v2_pairs(spark, sf_dir)
-    st = tm.weighted_recall_stats(v2, "idx", "predict", ["label", "ref2"],
-                                  tm.keyword_table(spark), 4, ASCII_WS)
-    w = tm.weighted_ngram_match(st, compat=False)
+    w = tm.weighted_ngram_match(_stats(spark, sf_dir, ["label", "ref2"], keywords=tm.KEYWORDS["java"]), compat=False)
     return w.select(_r(F.col("weighted_ngram_match"), "weighted_ngram_match"), _r(F.col("bp"), "bp"))
 
 

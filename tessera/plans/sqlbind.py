@@ -13,8 +13,8 @@ def toks(expr: str) -> str:
 
 
 V1 = """
-SELECT doc_id AS id, source AS repo,
-       source || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.json' AS path,
+SELECT doc_id AS id, source || '_' || CAST(doc_id // 1000 AS VARCHAR) AS repo,
+       source || '_' || CAST(doc_id // 1000 AS VARCHAR) || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.json' AS path,
        text AS src, string_split(text, chr(10))[1] AS target
 FROM documents
 """

@@ -72,6 +72,21 @@ def test_identical_and_disjoint(spark):
     assert tm.corpus_bleu_v2(st).first()["bleu"] == 0.0
 
 
+def test_auto_reweigh(spark):
+    st = _stats(spark, [(1, "a b", "a b")], 1)
+    assert tm.corpus_bleu_v2(st, auto_reweigh=True).first()["bleu"] == pytest.approx(1.0)
+    assert tm.corpus_bleu_v2(st).first()["bleu"] == pytest.approx(0.1 ** 0.5)
+    st = _stats(spark, [(1, hyp1, ref1a)], 1)
+    assert tm.corpus_bleu_v2(st, auto_reweigh=True).first()["bleu"] == tm.corpus_bleu_v2(st).first()["bleu"]
+
+
+def test_weighted_recall_by_hand(spark):
+    df = spark.createDataFrame([(1, "if x y", "if x z", None)], "item int, hyp string, r0 string, r1 string")
+    st = tm.item_stats(df, "item", "hyp", ["r0", "r1"], 2, keywords=tm.KEYWORDS["python"]).first()
+    assert (st["n1"], st["d1"]) == (pytest.approx(1.2), pytest.approx(1.4))
+    assert (st["n2"], st["d2"]) == (1.0, 2.0)
+
+
 def test_ngram_regex_matches_python(spark):
     toks = "x yy x zzz x yy x".split()
     df = spark.createDataFrame([(" ".join(toks),)], "s string")

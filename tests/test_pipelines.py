@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.operators import curate, runlogs, splits
+from tessera.operators import classes, curate, runlogs, splits
 from tessera.plans.bindings import V1_PARAMS, v1_corpus, v3_results, v5_curves
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,26 @@ def test_project_total_is_sum(spark):
     p = {r["project"]: r for r in per_project(v3_results(spark, SF), PROJECTS).collect()}
     for c in ("correct", "pass", "te", "ce", "se", "total"):
         assert p["total"][c] == sum(p[x][c] for x in PROJECTS)
+
+
+def test_ema_blocks_match_one_fold(spark):
+    rows = [("a", i, float((i * 7) % 11)) for i in range(3, 40)] + [("b", 9, 2.5)]
+    df = spark.createDataFrame(rows, "run string, step int, value double")
+    got = {(r["run"], r["step"]): r["smoothed"] for r in runlogs.ema_smooth(df, ["run"], "step", "value", block=4).collect()}
+    for run in ("a", "b"):
+        points = [r for r in rows if r[0] == run]
+        w = 1.8 * (1 / (1 + math.exp(-0.05 * len(points))) - 0.5)
+        last = points[0][2]
+        for _, step, x in points:
+            last = last * w + (1 - w) * x
+            assert math.isclose(got[run, step], last, rel_tol=1e-12)
+    assert len(got) == len(rows)
+
+
+def test_signatures_without_optional_parts(spark):
+    none = F.array().cast("array<string>")
+    row = spark.range(1).select(
+        classes.signature(none, F.lit(None).cast("string"), F.lit("f"), none).alias("m"),
+        classes.constructor_signature(none, F.lit("C"), none).alias("c"),
+        classes.class_signature(none, F.lit("C"), F.lit(None).cast("string"), none, none).alias("k")).first()
+    assert (row["m"], row["c"], row["k"]) == ("void f();", "C();", "class C {\n}")
