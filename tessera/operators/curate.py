@@ -94,6 +94,11 @@ def filter_reason(target: Column, src: Column, p: CurationParams) -> Column:
             .when(~F.coalesce(length, F.lit(False)), F.lit("token_length")))
 
 
+def length_percentiles(df: DataFrame, length: Column, percents: tuple[int, ...] = (50, 90, 95, 99)) -> DataFrame:
+    """Exact, interpolated percentiles of a length as ``p50 ...``; a task holds one count per distinct length."""
+    return df.select(length.alias("_n")).agg(*[F.percentile("_n", F.lit(p / 100)).alias(f"p{p}") for p in percents])
+
+
 def repo_policy(survivors: DataFrame, p: CurationParams, repo: str = "repo") -> DataFrame:
     """A1: survivor count per repo and its decision (under / over / keep)."""
     return (survivors.groupBy(repo).agg(F.count(F.lit(1)).alias("survivors"))

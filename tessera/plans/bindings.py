@@ -91,16 +91,17 @@ def v3_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ``revision`` is ``<project>_<n>``; every 97th event has a revision without
     ``_`` and every 89th an unknown project, to exercise those rules.
-    ``run`` is ``fixed`` for even event ids, ``buggy`` for odd ones.
+    ``run`` is ``fixed`` for even event ids, ``buggy`` for odd ones. ``n`` counts
+    stretches of 400 events, so revisions grow in number with the table.
     """
     e = table(spark, sf_dir, "events")
+    bug = F.floor(F.col("event_id") / 400).cast("string")
     res = F.lit(None).cast("string")
     for et, r in reversed(EVENT_RESULT):
         res = F.when(F.col("event_type") == et, F.lit(r)).otherwise(res)
     rev = (F.when(F.col("event_id") % 97 == 0, F.lit("unknown"))
-           .when(F.col("event_id") % 89 == 0, F.concat(F.lit("math_"), (F.col("event_id") % 40).cast("string")))
-           .otherwise(F.concat(_project_of(F.col("user_id")), F.lit("_"),
-                               (F.col("event_id") % 40).cast("string"))))
+           .when(F.col("event_id") % 89 == 0, F.concat(F.lit("math_"), bug))
+           .otherwise(F.concat(_project_of(F.col("user_id")), F.lit("_"), bug)))
     return e.select(
         F.col("event_id"), F.col("ts"),
         F.concat(F.lit("m"), (F.col("user_id") % 6).cast("string")).alias("model"),
@@ -123,13 +124,14 @@ def v8_tool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v5_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Training logs: ``run = user_id % 20``, steps in time order, every 4th
-    event an ``eval_loss`` point, the rest ``loss``."""
+    """Training logs: twenty runs (``user_id % 20``) for each stretch of 10,000
+    events, steps in time order, every 4th event an ``eval_loss`` point, the rest
+    ``loss``."""
     e = table(spark, sf_dir, "events")
-    run = (F.col("user_id") % 20).alias("run")
-    w = Window.partitionBy(F.col("user_id") % 20).orderBy("ts", "event_id")
+    run = F.col("user_id") % 20 + F.floor(F.col("event_id") / 10000) * 20
+    w = Window.partitionBy(run).orderBy("ts", "event_id")
     return e.select(
-        run, F.row_number().over(w).cast("long").alias("step"),
+        run.alias("run"), F.row_number().over(w).cast("long").alias("step"),
         F.when(F.col("event_id") % 4 == 0, F.lit("eval_loss")).otherwise(F.lit("loss")).alias("metric"),
         F.col("value"))
 

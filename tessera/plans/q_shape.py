@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import prompts as pm
 from tessera.functions import text as tx
+from tessera.operators.curate import length_percentiles
 from tessera.plans.bindings import v1_corpus, v4_chat
 from tessera.plans.sqlbind import V1, V4, toks
 
@@ -65,6 +66,11 @@ def q_token_length_histogram(spark, sf_dir):
         F.count(F.lit(1)).alias("rows"), F.max(n).cast("long").alias("max_tokens"))
 
 
+def q_token_length_percentiles(spark, sf_dir):
+    p = length_percentiles(v1_corpus(spark, sf_dir), tx.token_count("src", tx.ASCII_WS))
+    return p.select(*[F.round(c, 6).alias(c) for c in p.columns])
+
+
 def _fill_sql(template: str, **cols: str) -> str:
     out, rest = [], template
     while "{" in rest:
@@ -107,6 +113,9 @@ SELECT conv_id, turn, escaped,
        replace(replace(escaped, '6416864816840', '''{{'''), '6416864816841', '''}}''') = code AS round_trip FROM e""",
     "token_length_histogram": f"""WITH c AS ({V1}), n AS (SELECT len({toks('src')}) + 2 AS n FROM c)
 SELECT CAST(floor(n / 64) * 64 AS BIGINT) AS bucket, count(*) AS rows, CAST(max(n) AS BIGINT) AS max_tokens FROM n GROUP BY 1""",
+    "token_length_percentiles": f"""WITH c AS ({V1}), n AS (SELECT len({toks('src')}) + 2 AS n FROM c)
+SELECT round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90,
+       round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99 FROM n""",
 }
 
 QUERIES = {
@@ -119,4 +128,5 @@ QUERIES = {
     "literal_filter_code": q_literal_filter_code,
     "brace_placeholders": q_brace_placeholders,
     "token_length_histogram": q_token_length_histogram,
+    "token_length_percentiles": q_token_length_percentiles,
 }

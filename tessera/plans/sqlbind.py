@@ -38,8 +38,8 @@ V3 = """
 SELECT event_id, ts,
   'm' || CAST(user_id % 6 AS VARCHAR) AS model,
   CASE WHEN event_id % 97 = 0 THEN 'unknown'
-       WHEN event_id % 89 = 0 THEN 'math_' || CAST(event_id % 40 AS VARCHAR)
-       ELSE (['chart', 'cli', 'csv', 'gson', 'lang'])[user_id % 5 + 1] || '_' || CAST(event_id % 40 AS VARCHAR)
+       WHEN event_id % 89 = 0 THEN 'math_' || CAST(event_id // 400 AS VARCHAR)
+       ELSE (['chart', 'cli', 'csv', 'gson', 'lang'])[user_id % 5 + 1] || '_' || CAST(event_id // 400 AS VARCHAR)
   END AS revision,
   CASE WHEN event_id % 2 = 0 THEN 'fixed' ELSE 'buggy' END AS run,
   CASE event_type WHEN 'purchase' THEN 'CORRECT' WHEN 'view' THEN 'PASS' WHEN 'click' THEN 'TE'
@@ -57,8 +57,8 @@ FROM events
 """
 
 V5 = """
-SELECT user_id % 20 AS run,
-  row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) AS step,
+SELECT user_id % 20 + 20 * (event_id // 10000) AS run,
+  row_number() OVER (PARTITION BY user_id % 20 + 20 * (event_id // 10000) ORDER BY ts, event_id) AS step,
   CASE WHEN event_id % 4 = 0 THEN 'eval_loss' ELSE 'loss' END AS metric,
   value
 FROM events
