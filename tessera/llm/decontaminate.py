@@ -6,8 +6,8 @@ run of words: the words at its ones are hashed, those at its zeros may differ.
 The seeds of every benchmark item are joined with the seeds of every document;
 around each hit, document and item are laid over each other along the hit's
 diagonal. If three quarters of the item's words agree there, all of it is the
-overlap; else the best stretch is (one for an equal word, three off for a
-different one, so that at least three words in four agree). An
+overlap; else it is the stretch with the most equal words among those in which
+at least three words in four agree. An
 overlap counts as a leak when it has ``min_words`` equal words or, in short
 items, three fifths of the item's words.
 
@@ -143,17 +143,21 @@ class SeedIndex:
 
 
 def overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """(equal words, start, end in the text) of the best stretch of the two along a diagonal."""
+    """(equal words, start, end in the text) of the overlap of the two along a diagonal."""
     low, high = max(0, -diagonal), min(len(item), len(text) - diagonal)
     equal = text[diagonal + low : diagonal + high] == item[low:high]
     if 4 * equal.sum() >= 3 * len(item):
         at = np.flatnonzero(equal)
         return len(at), diagonal + low + int(at[0]), diagonal + low + int(at[-1]) + 1
-    total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
-    floor = np.minimum.accumulate(total)
-    end = int((total - floor).argmax())
-    start = int(total[: end + 1].argmin())
-    return int(equal[start:end].sum()), diagonal + low + start, diagonal + low + end
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, diagonal + low, diagonal + low
+    # From equal word a to equal word b at least three in four agree if level[a] <= level[b] + 1.
+    level = 4 * np.arange(len(at)) - 3 * at
+    first = np.searchsorted(-np.minimum.accumulate(level), -(level + 1))
+    b = int((np.arange(len(at)) - first).argmax())
+    a = int(first[b])
+    return b - a + 1, diagonal + low + int(at[a]), diagonal + low + int(at[b]) + 1
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),

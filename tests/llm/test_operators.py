@@ -157,6 +157,25 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(docs, bench).count() == 0
 
 
+def test_decontamination_takes_the_stretch_with_most_equal_words(spark):
+    item = [f"q{k}" for k in range(40)]
+    pattern = "=" * 9 + "x" * 8 + "=" * 6 + "x" + "=" * 5 + "x" * 11
+    text = ["so", *(w if p == "=" else "other" for w, p in zip(item, pattern))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, " ".join(text))], "doc_id bigint, text string")
+    assert [tuple(r) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 1, 11, 12, 18, 30)]
+    rng = np.random.default_rng(4)
+    for _ in range(500):
+        item = np.arange(rng.integers(5, 45), dtype=np.uint64)
+        equal = rng.random(len(item)) < rng.choice([0.2, 0.5, 0.7])
+        if not equal.any() or 4 * equal.sum() >= 3 * len(item):
+            continue
+        got = decontaminate.overlap(np.where(equal, item, 99).astype(np.uint64), item, 0)
+        want = min((-equal[a:b].sum(), a, b) for a in range(len(item)) for b in range(a + 1, len(item) + 1)
+                   if 4 * equal[a:b].sum() >= 3 * (b - a) and equal[a] and equal[b - 1])
+        assert got == (-want[0], want[1], want[2])
+
+
 def test_packing_is_best_fit_decreasing_and_gapless(docs, rows):
     library = Tokenizer.from_file(BYTE_BPE)
     got = packing.pack(docs, BYTE_BPE, 64).collect()
