@@ -20,8 +20,9 @@ stream in order and only the open window is held.
 Rows: null texts and roles are empty; a null conv_id is a conversation of its
 own; null turn numbers come first; turns with equal numbers are ordered by role
 and text; repeated rows are turns like any other; an empty table gives no
-windows; extra columns are ignored. A turn longer than the budget is a window's
-only new turn and is kept whole.
+windows; extra columns are ignored. History gives way to a window's first new
+turn, from the oldest. A turn that exceeds the budget together with the system
+turn is a window's only new turn, without history, and is kept whole.
 """
 
 from __future__ import annotations
@@ -90,7 +91,7 @@ def windows_of(rows: Iterator[dict], rules: WindowRules) -> Iterator[dict]:
     upto = [0]  # prefix sums of the tokens of the window's new turns
     room, n = 0, 0
 
-    def open_window():
+    def open_window(first):
         nonlocal repeats, room
         taken, tokens = [], 0
         for row in reversed(before):
@@ -98,8 +99,11 @@ def windows_of(rows: Iterator[dict], rules: WindowRules) -> Iterator[dict]:
             if tokens > rules.history_tokens:
                 break
             taken.append(row)
-        repeats = [system] * (system is not None) + taken[::-1]
-        room = rules.budget - sum(r["n_tokens"] for r in repeats)
+        start = [system] * (system is not None)
+        room = rules.budget - sum(r["n_tokens"] for r in start + taken)
+        while taken and first["n_tokens"] > room:  # the oldest repeated turns make way
+            room += taken.pop()["n_tokens"]
+        repeats = start + taken[::-1]
 
     def window():
         text, masks, at = [], [], 0
@@ -127,7 +131,7 @@ def windows_of(rows: Iterator[dict], rules: WindowRules) -> Iterator[dict]:
                     before.append(r)
             new, upto = [], [0]
         if not new:
-            open_window()
+            open_window(row)
         new.append(row)
         upto.append(upto[-1] + row["n_tokens"])
         if row["first"] and row["role"] == "system" and system is None:

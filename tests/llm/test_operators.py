@@ -258,6 +258,30 @@ def test_chat_round_trip(spark):
             assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def test_chat_history_gives_way_to_the_first_new_turn(spark):
+    rng = random.Random(6)
+    turns = [(c, t, ("user", "assistant")[t % 2] if t else "system", "w " * (6 if t == 0 else rng.choice([1, 9, 25, 33, 70])))
+             for c in range(6) for t in range(40)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    library = Tokenizer.from_file(BYTE_BPE)
+
+    def count(role, text):
+        return len(library.encode(chat.format_turn(role, text)[0], add_special_tokens=False).ids)
+
+    for rules in (chat.WindowRules(budget=60, history_tokens=40),
+                  chat.WindowRules(budget=60, history_tokens=40, history_turns=4, block_turns=8)):
+        windows = chat.format_windows(df, BYTE_BPE, rules).collect()
+        assert sum(w.n_new for w in windows) == len(turns)
+        over = 0
+        for w in windows:
+            parsed = chat.parse_turns(w.formatted)
+            if w.n_tokens > rules.budget:
+                assert w.n_new == 1 and len(parsed) <= 2 and sum(count(*p) for p in parsed) > rules.budget
+                over += 1
+        assert 0 < over < len(windows)
+        assert any(w.n_repeated > 1 for w in windows)
+
+
 def test_url_rules(spark):
     rules = [url_filter.parse_rule(*r) for r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "a.b/c+d"))]
     urls = [None, "", "x", "http://NET/", "https://m.example.net/en/1?q#f", "http://example.net/enx", "http://net",
