@@ -12,8 +12,8 @@ tables would need. Two sets of similarity s meet in a table with probability
 Half-keys that nobody shares are dropped before any table key is formed, so a
 text unlike all others sends its half-keys and nothing else. Whatever meets in
 a table is confirmed on the full sets. Equal sets are one class from the start.
-In every table each class is compared with the smallest id that has the same
-key; keys that meet within a batch are tied there already and cross the shuffle
+In every table each class is compared with the first one (by smallest doc_id)
+that has the same key; keys that meet within a batch are tied there already and cross the shuffle
 once, so that a very large group of near copies does not fill one task.
 
 After the components of those links are known, only keys that still hold
@@ -92,14 +92,19 @@ def half_keys(sets: list[np.ndarray], halves: int, rows: int) -> np.ndarray:
     return out
 
 
+def digests(sets: list[np.ndarray]) -> np.ndarray:
+    """A 128-bit digest of each set, as two numbers."""
+    flat = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
+    return np.frombuffer(flat, np.int64).reshape(-1, 2)
+
+
 def signatures(docs: DataFrame, text: str, halves: int, rows: int) -> DataFrame:
     """(doc_id, n, d1, d2, halves): set size, 128-bit digest of the set and its half-keys."""
 
     def run(batches):
         for batch in C.slices(batches, text):
             sets = shingle_sets(C.texts_of(batch, text))
-            digests = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
-            d = np.frombuffer(digests, np.int64).reshape(-1, 2)
+            d = digests(sets)
             keys = half_keys(sets, halves, rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
@@ -208,21 +213,28 @@ def sizes_allow(n: str, m: str, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
-    """(id, members): the full sets of the texts named, written to the shared folder.
+def full_sets(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
+    """(id, members): the full set of each class given (id, least, d1, d2), once, written to the shared folder.
 
-    The ids grow with the input, so they are never broadcast.
+    The texts are those under the classes' smallest doc_ids; a set belongs to
+    the class of its digest, however many rows have it. The classes grow with
+    the input, so they are never broadcast.
     """
 
     def run(batches):
-        for batch in C.slices(batches, text):
-            sets = shingle_sets(C.texts_of(batch, text))
+        for batch in C.slices(batches, "text"):
+            sets = shingle_sets(C.texts_of(batch, "text"))
+            d = digests(sets)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "members"])
+                [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())],
+                names=["d1", "d2", "members"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), text)
-    chosen = texts.join(ids.hint("merge"), "id", "left_semi")
-    return C.written(chosen.mapInArrow(run, "id bigint, members binary"), "sets")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), F.col(text).alias("text"))
+    chosen = texts.join(classes.select("least").hint("merge"), "least", "left_semi")
+    sets = chosen.select("text").mapInArrow(run, "d1 bigint, d2 bigint, members binary")
+    sets = sets.groupBy("d1", "d2").agg(F.first("members").alias("members"))
+    sets = sets.join(classes.select("d1", "d2", "id").hint("merge"), ["d1", "d2"])
+    return C.written(sets.select("id", "members"), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -264,7 +276,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     """(doc_id, n_shingles, component_id, kept, d1, d2) of every row; d1, d2 identify its set."""
     signed = C.written(signatures(docs, text, halves, rows), "signatures")
     classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+        F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("halves").alias("halves"))
+    # Numbered in the order of their smallest doc_ids: two texts under one doc_id are two classes.
+    classes = classes.orderBy("least", "d1", "d2").withColumn("id", F.monotonically_increasing_id())
     classes = C.written(classes, "classes")
     live = C.written(shared_halves(classes, halves), "live")
 
@@ -275,13 +289,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     met = C.written(met.select(F.col("hub.id").alias("a"), F.col("id").alias("b"),
                                sizes_allow("n", "hub.n", percent).alias("possible")).distinct(), "met")
     suspects = met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct()
+    suspects = C.written(live.join(suspects, "id", "left_semi"), "suspects")
     sets = full_sets(docs, suspects, text)
     links = C.written(confirmed(met.filter("possible").select("a", "b"), sets, percent), "links")
     labels = C.written(components(links), "components")
 
     # Keys that still hold several components: the pairs across components that were not looked at.
-    suspects = live.join(suspects, "id", "left_semi").join(labels, "id", "left")
-    keys = explode_keys(suspects.withColumn("component", F.coalesce("component", "id")), halves)
+    keys = explode_keys(suspects.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), halves)
     mixed = keys.groupBy("k").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = C.written(keys.join(mixed.filter("low < high").select("k"), "k"), "open")
     rare = C.written(rare_members(sets.join(open_.select("id").distinct(), "id", "left_semi")), "rare")
@@ -306,8 +320,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     more = C.written(confirmed(C.written(across, "across"), sets, percent), "links")
     labels = C.written(components(links.unionByName(more)), "components")
 
-    names = classes.select("d1", "d2", "id").join(labels, "id", "left")
-    names = names.select("d1", "d2", F.coalesce("component", "id").alias("component"))
+    # The smallest number of a component is that of its smallest doc_id.
+    first = classes.select(F.col("id").alias("component"), F.col("least").alias("first"))
+    names = classes.select("d1", "d2", "id", "least").join(labels.join(first, "component"), "id", "left")
+    names = names.select("d1", "d2", F.coalesce("first", "least").alias("component"))
     found = signed.join(names, ["d1", "d2"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

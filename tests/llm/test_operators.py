@@ -105,6 +105,30 @@ def test_minhash_groups(docs, rows):
                 len(sets[r.doc_id]), find(r.doc_id), find(r.doc_id) == r.doc_id), r
 
 
+def _bent(words, start, length, tag):
+    return " ".join([*words[:start], *(f"{tag}x{k}" for k in range(length)), *words[start + length :]])
+
+
+def test_minhash_links_repeated_outliers_of_a_large_family(spark):
+    base = [f"w{k}" for k in range(104)]
+    rng = random.Random(8)
+    # The hubs come first in every key, and are similar to nobody.
+    rows = [(i, _bent(base, rng.randrange(84), 21, f"h{i}")) for i in range(300)]
+    rows += [(1000, " ".join(base))] + [(2000, _bent(base, 50, 8, "o"))] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(docs).collect())
+    assert got == Counter([*((i, i) for i in range(300)), (1000, 1000), *[(2000, 1000)] * 3])
+
+
+def test_minhash_links_texts_under_one_id_by_their_texts(spark):
+    one, two = ([f"{p}{k}" for k in range(60)] for p in "ab")
+    rows = [(3, _bent(two, 0, 2, "x")), (5, " ".join(one)), (5, " ".join(two)), (5, _bent(one, 58, 2, "y")),
+            (7, _bent(one, 0, 2, "z"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect())
+    assert got == Counter([(3, 3, True), (5, 5, True), (5, 3, False), (5, 5, True), (7, 5, False)])
+
+
 @pytest.mark.parametrize("hot_docs", [4096, 1])
 def test_suffix_dedup(docs, rows, hot_docs):
     first = {}
