@@ -24,6 +24,7 @@ are passed over unless named in ``keep``.
 from __future__ import annotations
 
 import json
+import unicodedata
 from functools import lru_cache
 from itertools import islice
 
@@ -42,8 +43,6 @@ _PLAIN = regex.compile("[\x00-\u012f\u0131-\u024f]*")
 _MARKS = frozenset(".,;:!?()*#%&$\"|-")
 _CACHE_PIECES = 400_000
 _CACHE_PAIRS = 800_000
-# Inner prefixes of words that normalisation may change are encoded one by one up to this length.
-_ODD_WORD = 256
 
 
 def _byte_letters() -> dict[int, str]:
@@ -53,6 +52,19 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=1)
+def _seconds() -> frozenset[str]:
+    """Characters that may compose with the one before."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x20000))
+    marks = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    return frozenset(marks | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
+def _joins(ch: str) -> bool:
+    """May normalisation change ``ch`` together with what stands before it?"""
+    return unicodedata.combining(ch) > 0 or ch in _seconds() or unicodedata.category(ch) == "Cn"
+
+
 class PrefixCounter:
     """Prefix token counts of words, for a byte-level BPE vocabulary file of ``tokenizers``."""
 
@@ -67,6 +79,8 @@ class PrefixCounter:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.rank = {pair: k for k, pair in enumerate(merges)}
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        by_length = sorted(self.special, key=len, reverse=True)
+        self.specials = regex.compile("|".join(map(regex.escape, by_length)) or "(?!)")
         self.letters = [_byte_letters()[b] for b in range(256)]
         words = list(model["vocab"])
         self.open = {t for t in words if not (self.end and t.endswith(self.end))}
@@ -176,6 +190,16 @@ class PrefixCounter:
             return out
         return ["".join([self.letters[b] for b in x.encode("utf-8")]) for x in out]
 
+    def _cut(self, text: str) -> list[tuple[str, tuple[int, int]]]:
+        """Byte-level pieces of a normalised text and where they stand in it."""
+        return self.library.pre_tokenizer.pre_tokenize_str(text) if text else []
+
+    def _odd_pieces(self, word: str) -> tuple[list[str], int]:
+        """Byte-level pieces of any word, and the number of special strings between them."""
+        parts = self.specials.split(word)
+        normal = self.library.normalizer.normalize_str
+        return [piece for part in parts if part for piece, _ in self._cut(normal(part))], len(parts) - 1
+
     def whole(self, words: list[str]) -> np.ndarray:
         """Token counts of distinct words; new pieces run through the programme in sorted order."""
         totals = self.totals
@@ -186,39 +210,82 @@ class PrefixCounter:
             if self._is_plain(word):
                 cut.append(self._pieces(word))
             else:
-                odd[k] = len(self.library.encode(word, add_special_tokens=False).ids)
-                cut.append(())
+                pieces, odd[k] = self._odd_pieces(word)
+                cut.append(pieces)
         for piece in sorted({p for pieces in cut for p in pieces if p not in totals}):
             totals[piece] = self.piece_total(piece)
         out = np.fromiter((sum([totals[p] for p in pieces]) for pieces in cut), np.int64, len(cut))
         for k, n in odd.items():
-            out[k] = n
+            out[k] += n
         return out
 
     def prefixes(self, word: str) -> list[int]:
         """Token count of word[:1], word[:2], ..., by characters, each as the library counts it.
 
-        Words with special strings or characters that normalisation may change
-        are encoded prefix by prefix up to 256 characters; beyond that such a
-        word is not cut inside (its inner prefixes count as the whole word).
+        A special string is one token once it is complete; until then its
+        characters belong to the text before it.
         """
-        if not self._is_plain(word):
-            def encode(text):
-                return len(self.library.encode(text, add_special_tokens=False).ids)
-
-            if len(word) > _ODD_WORD:
-                return [encode(word)] * len(word)
-            return [encode(word[: k + 1]) for k in range(len(word))]
         out: list[int] = []
-        base = 0
-        for piece in self.split.findall(word.lower()):
-            counts = self.piece_prefixes("".join([self.letters[b] for b in piece.encode("utf-8")]))
-            ends = np.cumsum([len(ch.encode("utf-8")) for ch in piece])
-            if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
-                # A contraction cut short is an apostrophe and letters of their own.
-                counts = [1, *[1 + n for n in self.piece_prefixes(piece[1:])][:-1], counts[-1]]
-            out += [base + counts[e - 1] for e in ends]
-            base = out[-1]
+        if self._is_plain(word):
+            for piece in self.split.findall(word.lower()):
+                base = out[-1] if out else 0
+                out += [base + n for n in self._piece_counts(piece)]
+            return out
+        base = at = 0
+        for m in self.specials.finditer(word):
+            counts = self._odd_prefixes(word[at : m.end() - 1])
+            before = counts[m.start() - at - 1] if m.start() > at else 0
+            out += [base + n for n in counts]
+            base, at = base + before + 1, m.end()
+            out.append(base)
+        return out + [base + n for n in self._odd_prefixes(word[at:])]
+
+    def _piece_counts(self, piece: str) -> list[int]:
+        """Token count of every prefix of a piece, by characters."""
+        counts = self.piece_prefixes("".join([self.letters[b] for b in piece.encode("utf-8")]))
+        ends = np.cumsum([len(ch.encode("utf-8")) for ch in piece])
+        if piece[0] == "'" and len(piece) > 1 and piece[1].isalpha():
+            # A contraction cut short is an apostrophe and letters of their own.
+            counts = [1, *[1 + n for n in self.piece_prefixes(piece[1:])][:-1], counts[-1]]
+        return [counts[e - 1] for e in ends]
+
+    def _odd_prefixes(self, text: str) -> list[int]:
+        """Token count of every prefix of a text without special strings.
+
+        The text is normalised in blocks that do not change each other, and the
+        programme runs over the normalised text. Only a prefix that ends inside
+        a composing sequence differs from it, and is cut again from its last two pieces.
+        """
+        normal = lru_cache(maxsize=1 << 16)(self.library.normalizer.normalize_str)
+        cuts = [k for k, ch in enumerate(text) if not k or not _joins(ch)] + [len(text)]
+        blocks = [text[a:b] for a, b in zip(cuts, cuts[1:])]
+        whole = "".join([normal(block) for block in blocks])
+        if whole != self.library.normalizer.normalize_str(text):  # composed in a way this Python does not know
+            return [len(self.library.encode(text[: k + 1], add_special_tokens=False).ids) for k in range(len(text))]
+        count, first = [0], [0]  # by place in the normalised text; first: where its last piece starts
+        for _, (a, b) in self._cut(whole):
+            while len(count) <= a:
+                first.append(len(count))
+                count.append(count[-1])
+            base = count[a]
+            count += [base + n for n in self._piece_counts(whole[a:b])]
+            first += [a] * (b - a)
+        while len(count) <= len(whole):
+            first.append(len(count))
+            count.append(count[-1])
+        out: list[int] = []
+        at = 0
+        for block in blocks:
+            done = normal(block)
+            for k in range(1, len(block)):
+                part = normal(block[:k])
+                if done.startswith(part):
+                    out.append(count[at + len(part)])
+                else:
+                    p = first[first[at]]  # an apostrophe before the last piece may join it
+                    out.append(count[p] + sum(self.piece_total(x) for x, _ in self._cut(whole[p:at] + part)))
+            at += len(done)
+            out.append(count[at])
         return out
 
 

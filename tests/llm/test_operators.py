@@ -260,6 +260,28 @@ def test_token_counts_at_every_prefix(docs, rows):
         assert r.fit_chars == len(text) or count(text[: r.fit_chars + 1]) > 20
 
 
+def test_token_counts_inside_long_words_of_any_script(spark):
+    library = Tokenizer.from_file(WORD_BPE)
+
+    def count(text):
+        return len(library.encode(text, add_special_tokens=False).ids)
+
+    rng = random.Random(9)
+    alphabets = ["日本語テスト漢字、。", "абвгдеёжзиЙ", "αβγδΣσς", "“a’s”—…x1", "e\u0301\u0323o\u0308", "ก\u0e33ข\u0e49", "กิ한글각",
+                 "\u1112\u1161\u11ab\u1100", "कि\u093cख", "İéB'ſK", "😀👍🏽"]
+    texts = ["".join(rng.choices(a, k=300)) for a in alphabets]
+    texts += ["".join(rng.choices("".join(alphabets), k=400)), "日" * 130 + "<|endoftext|>本<|endof" + "語'll" * 40,
+              "x<|startoftext|><|endoftext|>'re\u0301" * 12]
+    assert min(map(len, texts)) > 256
+    for text in texts:
+        assert token_counts.prefix_counts(text, WORD_BPE).tolist() == [count(text[:k]) for k in range(len(text) + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in token_counts.token_counts(docs, WORD_BPE, budget=40).collect():
+        text = texts[r.doc_id]
+        assert (r.n_tokens, r.over_limit) == (count(text), True)
+        assert r.fit_chars == max(k for k in range(len(text) + 1) if count(text[:k]) <= 40)
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(2)
     parts = ["### ", "</turn>", "\\", "user: ", "é", "\n", "a b", "</tur", "#", ":"]
