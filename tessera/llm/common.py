@@ -78,6 +78,59 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return encode_flat(flat, offsets)
 
 
+def byte_words(texts: pa.Array, separators: bytes, breaks: bytes = b"") -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Words of texts: runs of bytes that are neither ASCII ``separators`` nor ASCII ``breaks``.
+
+    Returns (codes, words, bounds, joined): the words of text i are
+    ``words[codes[bounds[i]:bounds[i + 1]]]``; ``joined`` tells of each word
+    whether it follows another of its text without a break between them.
+    """
+    kind = np.zeros(256, np.uint8)
+    kind[list(separators)], kind[list(breaks)] = 1, 2
+    _, offsets, data = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    kinds = kind[data]
+    inside = kinds == 0
+    fresh = np.append(True, ~inside)  # whether a word may start at a byte: after another kind or a text's end
+    fresh[offsets] = True
+    starts = np.flatnonzero(inside & fresh[:-1])
+    cut = np.append(np.cumsum(inside)[starts] - 1, inside.sum()).astype(np.int32)
+    flat = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cut), pa.py_buffer(data[inside]))
+    encoded = flat.dictionary_encode()
+    codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds = np.searchsorted(starts, offsets)
+    n_breaks = np.cumsum(kinds == 2)[starts] if len(breaks) else np.zeros(len(starts), np.int64)
+    joined = np.zeros(len(starts), bool)
+    joined[1:] = n_breaks[1:] == n_breaks[:-1]
+    joined[bounds[:-1][bounds[:-1] < len(starts)]] = False
+    return codes, encoded.dictionary, bounds, joined
+
+
+def combined(batches: Iterable[pa.RecordBatch], keys: list[str], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Rows of equal ``keys`` summed up (all other columns) as far as ``most`` rows in memory allow."""
+    held, n = [], 0
+
+    def merged(held):
+        table = pa.Table.from_batches(held)
+        sums = [c for c in table.column_names if c not in keys]
+        out = table.group_by(keys).aggregate([(c, "sum") for c in sums])
+        return out.rename_columns([c.removesuffix("_sum") for c in out.column_names]).select(table.column_names)
+
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= most:
+            table = merged(held)
+            held, n = table.to_batches(), table.num_rows
+            if n > most // 2:
+                yield from held
+                held, n = [], 0
+    if held:
+        yield from merged(held).to_batches(max_chunksize=1 << 16)
+
+
 def encode_flat(flat: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Dictionary codes of the non-empty strings of ``flat`` and the bounds moved accordingly."""
     full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
@@ -131,8 +184,14 @@ def crc_bucket(column, modulus: int):
 
 
 def schema_of(df: DataFrame, keep: Iterable[str], more: str) -> T.StructType:
-    """The schema of ``keep`` columns (whatever their names) followed by the columns of ``more`` (DDL)."""
-    return T.StructType([T.StructField(k, df.schema[k].dataType) for k in keep] + T.StructType.fromDDL(more).fields)
+    """The schema of ``keep`` columns followed by the columns of ``more`` (DDL).
+
+    A kept column whose name is among the others' (whatever its case) is called ``<name>_kept``.
+    """
+    own = T.StructType.fromDDL(more).fields
+    taken = {f.name.lower() for f in own}
+    kept = [T.StructField(k + "_kept" * (k.lower() in taken), df.schema[k].dataType) for k in keep]
+    return T.StructType(kept + own)
 
 
 def unsigned_crc32(data: bytes) -> int:

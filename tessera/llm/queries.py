@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, minhash, packing, quality_gam, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
+from . import (chat, collocations, common, decontaminate, divergence, minhash, packing, personal_data, quality_gam,
+               quality_rules, suffix_dedup, token_counts, toxicity, url_filter)
 
 # (verdict, host and path)
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -71,10 +72,30 @@ def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                      public_tokenizers.path("word_bpe_49k.json"), MAX_TOKENS)
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(common.read_table(spark, sf_dir, "documents"))
+
+    def of(*kinds):
+        return F.filter("personal", lambda s: s["kind"].isin(*kinds))
+
+    base = of(*personal_data.BASE)
+    counts = [F.size(of(kind)).cast("bigint").alias(f"n_{kind}") for kind in personal_data.BASE]
+    return found.select("doc_id", *counts, F.sha2(personal_data.written_out(base), 256).alias("base_sha256"),
+                        personal_data.written_out(F.col("personal")).alias("spans"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(common.read_table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(common.read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_line_quality_rules, op2_toxicity_trees, op3_spaced_seed_leaks, op4_quality_gam, op5_tensored_minhash,
     op6_suffix_dedup, op7_best_fit_packing, op8_chat_windows,
-    op9_url_rules, op10_prefix_token_counts)}
+    op9_url_rules, op10_prefix_token_counts, op11_personal_data, op12_source_divergence, op13_collocations)}
 
 SQL = {
     "op9_url_rules": """
@@ -92,4 +113,65 @@ judged AS (
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM parts)
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM judged""",
+    "op12_source_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+words AS (SELECT d, lang, source, unnest(terms) AS term FROM docs),
+terms AS (SELECT lang, term, count(*) AS total FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 10),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM words w JOIN terms USING (lang, term) GROUP BY ALL),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n_lang FROM terms GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(l.v, 0) AS v, coalesce(l.n_lang, 0) AS n_lang,
+         coalesce((SELECT sum(n) FROM counts c WHERE c.lang = g.lang AND c.source = g.source), 0)::HUGEINT AS n_group
+  FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN langs l USING (lang)),
+shares AS (
+  SELECT g.lang, g.source, t.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.n_group + 2 * g.v) AS p,
+         1 + (1000000000::HUGEINT * (t.total + 2)) // (g.n_lang + 2 * g.v) AS q
+  FROM groups g JOIN terms t USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, b.source, 0 FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0),
+own AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE "binary") AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE "binary") FROM own
+  QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item COLLATE "binary") <= 10)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked""",
+    "op13_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 6) t(k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM grams WHERE k = 1 GROUP BY lang),
+frequent AS (SELECT * FROM grams WHERE a >= 100),
+candidates AS (
+  SELECT c.*, string_split(phrase, ' ') AS w FROM frequent c
+  WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM frequent x WHERE x.lang = c.lang AND x.k > c.k AND x.a >= c.a
+                              AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, cut, array_to_string(w[1:cut], ' ') AS first, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM candidates c, range(1, 5) t(cut) WHERE cut < k),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, n,
+         (1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a) AS score
+  FROM cuts c JOIN totals USING (lang) JOIN frequent x ON x.lang = c.lang AND x.phrase = c.first
+  JOIN frequent y ON y.lang = c.lang AND y.phrase = c.rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase COLLATE "binary") AS rank FROM scored)
+WHERE rank <= 2000""",
 }
