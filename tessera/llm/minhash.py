@@ -99,19 +99,23 @@ def digests(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str, halves: int, rows: int) -> DataFrame:
-    """(doc_id, n, d1, d2, halves): set size, 128-bit digest of the set and its half-keys."""
+    """(doc_id, n, d1, d2, halves, text_sha): set size, 128-bit digest of the set, its half-keys, digest of the text."""
 
     def run(batches):
         for batch in C.slices(batches, text):
-            sets = shingle_sets(C.texts_of(batch, text))
+            texts = C.texts_of(batch, text)
+            sets = shingle_sets(texts)
             d = digests(sets)
             keys = half_keys(sets, halves, rows)
+            sha = [hashlib.sha256(t).digest() for t in texts.cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([k.tobytes() for k in keys], pa.binary())],
-                names=["doc_id", "n", "d1", "d2", "halves"])
+                 pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([k.tobytes() for k in keys], pa.binary()),
+                 pa.array(sha, pa.binary())],
+                names=["doc_id", "n", "d1", "d2", "halves", "text_sha"])
 
-    return docs.select("doc_id", text).mapInArrow(run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, halves binary")
+    return docs.select("doc_id", text).mapInArrow(
+        run, "doc_id bigint, n bigint, d1 bigint, d2 bigint, halves binary, text_sha binary")
 
 
 def table_keys(halves_column: pa.Array, halves: int) -> np.ndarray:
@@ -273,7 +277,10 @@ def rare_members(sets: DataFrame, most: int = RARE) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT, halves: int = HALVES,
                     rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, d1, d2) of every row; d1, d2 identify its set."""
+    """(doc_id, n_shingles, component_id, kept, d1, d2, text_sha) of every row.
+
+    d1, d2 identify the row's set, text_sha (SHA-256) its text.
+    """
     signed = C.written(signatures(docs, text, halves, rows), "signatures")
     classes = signed.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("halves").alias("halves"))
@@ -328,4 +335,28 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "d1", "d2")
+                        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "d1", "d2", "text_sha")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stand for their groups, with all their columns.
+
+    Of a group one row stays: of the rows with its smallest id the one whose
+    text has the least set and digest, and of equal texts the one whose other
+    columns hash least. Rows without an id or without a word are in no group
+    and stay as they are. Texts are shuffled once, by (id, digest); of rows that
+    repeat only one leaves each task.
+    """
+    whole = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), whole)
+    found = near_duplicates(rows.select("doc_id", "text"))
+    chosen = found.filter("kept AND doc_id IS NOT NULL AND n_shingles > 0").groupBy(F.col("doc_id").alias("id")).agg(
+        F.min(F.struct("d1", "d2", "text_sha"))["text_sha"].alias("sha"))
+    grouped = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = rows.withColumn("grouped", grouped)
+    sha = F.unhex(F.sha2("text", 256))
+    own = rows.filter("grouped").select(F.col("doc_id").alias("id"), sha.alias("sha"), "row",
+                                        F.xxhash64("row").alias("tie"))
+    first = F.row_number().over(Window.partitionBy("id", "sha").orderBy("tie"))
+    own = own.withColumn("nth", first).filter("nth = 1").join(chosen, ["id", "sha"], "left_semi")
+    return own.select("row.*").unionByName(rows.filter(~F.col("grouped")).select("row.*"))

@@ -3,6 +3,10 @@
 Each takes (spark, docs, sf_dir) and returns rows with the columns of ``docs``
 (the last one packed pieces). The other columns travel in one struct, so their
 names cannot clash with an operator's own.
+
+Rows: null texts count as empty; an empty table gives none at every stage; a
+null doc_id, repeated rows, ties and very long texts are as the stage's operator
+has them.
 """
 
 from __future__ import annotations
@@ -41,12 +45,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (the smallest doc_id); rows without doc_id stay."""
-    found = minhash.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull())
-    digest = F.xxhash64("text")
-    kept = docs.join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    kept = kept.withColumn("__digest", digest).dropDuplicates(["doc_id", "__digest"]).drop("__digest")
-    return kept.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each near-duplicate group; rows without doc_id or without a word stay."""
+    return minhash.one_of_each(docs)
 
 
 def suffix_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
