@@ -111,8 +111,15 @@ def best_beam(beams: DataFrame, sample: str, beam: str, tokens: str, label: str)
 
 
 def top1(returned: Column | str) -> Column:
-    """The first returned sequence."""
-    return F.element_at(_c(returned), 1)
+    """The first returned sequence; NULL if there is none."""
+    return F.try_element_at(_c(returned), F.lit(1))
+
+
+def returned(sequences: Column | str) -> tuple[Column, Column]:
+    """``(predict, items)`` of the returned sequences: the item itself if there is one, else
+    the whole list (an empty one included) and no single prediction."""
+    s = _c(sequences)
+    return F.when(F.size(s) == 1, F.try_element_at(s, F.lit(1))), F.when(F.size(s) != 1, s)
 
 
 def test_class(package: Column, imports: Column, class_name: Column, code: Column,

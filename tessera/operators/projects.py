@@ -23,8 +23,8 @@ def version_ranges(max_versions: DataFrame, project: str = "project", n: str = "
 
 
 def leaf_dir(path: Column) -> Column:
-    """name of the folder holding the file."""
-    return F.element_at(F.split(path, "/"), -2)
+    """name of the folder holding the file; NULL for a bare file name."""
+    return F.try_element_at(F.split(path, "/"), F.lit(-2))
 
 
 def stem(path: Column) -> Column:
