@@ -102,13 +102,31 @@ def dedup_keep_last(df: DataFrame, key: Sequence[str], order: str) -> DataFrame:
     return g.select("first_pos", "_last.*")
 
 
-def inventory(members: DataFrame, project: str, cls: str, modifiers: str, start: str,
-              end: str) -> DataFrame:
-    """Classes, public methods and covered lines per project."""
-    return members.groupBy(project).agg(
-        F.count_distinct(cls).alias("classes"),
-        F.count_if(F.array_contains(modifiers, "public")).alias("public_methods"),
-        F.sum(F.col(end) - F.col(start) + 1).cast("long").alias("lines"))
+# Line ends as Python's ``str.splitlines`` has them.
+LINE_END = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+
+
+def file_lines(text: Column) -> Column:
+    """Lines of a text: every line end closes one, and what follows the last is one more if it is not empty."""
+    open_end = (F.length(text) > 0) & ~text.rlike(f"(?:{LINE_END})\\z")
+    return F.regexp_count(text, F.lit(LINE_END)) + open_end.cast("int")
+
+
+def inventory(members: DataFrame, files: DataFrame, project: str, cls: str, modifiers: str,
+              path: str = "path", text: str = "text") -> DataFrame:
+    """Classes, public methods and lines of the classes' files per project.
+
+    Lines are counted once per file, where the text is; only the counts travel
+    to the classes, each of which adds the lines of its file (a class without
+    one adds none).
+    """
+    lines = files.select(path, file_lines(F.col(text)).cast("long").alias("_lines")).groupBy(path).agg(
+        F.max("_lines").alias("_lines"))
+    classes = members.groupBy(project, cls).agg(F.min(path).alias(path), F.count_if(
+        F.array_contains(modifiers, "public")).alias("_public"))
+    return classes.join(lines, path, "left").groupBy(project).agg(
+        F.count(F.lit(1)).alias("classes"), F.sum("_public").alias("public_methods"),
+        F.coalesce(F.sum("_lines"), F.lit(0)).alias("lines"))
 
 
 def invocations(calls: DataFrame, keys: Sequence[str], call: str) -> DataFrame:

@@ -3,7 +3,7 @@
 Inputs are tables a parser emits: data-flow edges
 ``(item, side, ord, name, pos, rel, parents array<string>, parent_pos array<int>)``
 (``ord`` is the order in which the parser emitted the edges of an item's side) and syntax subtrees ``(item, side, subtree, depth)``; ``side`` is ``ref`` or
-``cand``. All steps are joins and aggregates keyed by item (per-item windows
+``cand``. ``subtrees`` makes the latter from a node table. All steps are joins and aggregates keyed by item (per-item windows
 cover one item's edges only).
 """
 
@@ -64,13 +64,70 @@ def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame
                       F.col("m").cast("long").alias("matched"), F.col("t").cast("long").alias("total"))
 
 
+# Fixed primes below 2**31, so that products of two remainders fit 64 bits; a base for each.
+_MODULI = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 392_875_441))
+_DIGIT_BITS = 10
+
+
+def _power(base: int, exponent: Column, modulus: int) -> Column:
+    """base ** exponent modulo a prime for exponents below 2**30: the product of three tabled powers."""
+    out = None
+    for k in range(3):
+        step = pow(base, 1 << (_DIGIT_BITS * k), modulus)
+        powers = ",".join(str(pow(step, d, modulus)) for d in range(1 << _DIGIT_BITS))
+        table = F.split(F.lit(powers), ",").cast("array<bigint>")
+        digit = F.shiftright(exponent, _DIGIT_BITS * k).bitwiseAND(F.lit((1 << _DIGIT_BITS) - 1)).cast("int")
+        factor = F.get(table, digit)
+        out = factor if out is None else (out * factor) % modulus
+    return out
+
+
+def subtrees(nodes: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``(item, side, pos, depth, subtree)``: what hangs below every node, as a string that equal
+    subtrees share.
+
+    ``nodes`` is ``(item, side, pos, depth, label)`` in document order, ``pos``
+    counting from 0 and ``depth`` growing by one at most from a node to the
+    next. A subtree is the stretch of nodes from its root to the next node that
+    is not deeper; labels and steps of depth inside it tell its nesting. Its
+    digest is the difference of two prefix sums of ``hash(label, step) *
+    base ** pos``, shifted back to its root, modulo two primes; with it go the
+    root's label and the number of nodes. Everything is windows over an item's
+    own nodes after one shuffle, and the work is linear in the nodes at any depth.
+    """
+    from tessera.operators.textmetrics import _parallelism
+    e = nodes.repartition(partitions or _parallelism(nodes), "item")
+    in_order = Window.partitionBy(*K).orderBy("pos")
+    e = e.withColumn("_last", F.coalesce(F.lag("depth").over(in_order), F.col("depth")))
+    pos = F.col("pos").cast("long")
+    step = F.xxhash64("label", F.col("depth") - F.col("_last"))
+    e = e.withColumns({f"_t{m}": (F.pmod(step, F.lit(m)) * _power(x, pos, m)) % m for m, x in _MODULI}
+                      | {f"_i{m}": _power(pow(x, -1, m), pos, m) for m, x in _MODULI})
+    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    e = e.withColumns({f"_p{m}": F.sum(f"_t{m}").over(upto) for m, _ in _MODULI} | {"_n": F.row_number().over(in_order)})
+    # A node ends the subtrees of all levels from its own down to the one before it.
+    ends = e.select("*", F.explode(F.sequence("depth", F.greatest("depth", "_last"))).alias("_level"))
+    level = Window.partitionBy(*K, "_level").orderBy("pos")
+    whole = Window.partitionBy(*K)
+
+    def at_end(column, before):
+        return F.coalesce(F.lead(before).over(level), F.max(column).over(whole))
+
+    ends = ends.withColumns({f"_e{m}": at_end(F.col(f"_p{m}"), F.col(f"_p{m}") - F.col(f"_t{m}")) for m, _ in _MODULI})
+    digests = [(((F.col(f"_e{m}") - F.col(f"_p{m}")) % m) * F.col(f"_i{m}")) % m for m, _ in _MODULI]
+    ends = ends.withColumn("_size", at_end(F.col("_n"), F.col("_n") - 1) - F.col("_n") + 1)
+    own = ends.filter(F.col("_level") == F.col("depth"))
+    return own.select(*K, "pos", "depth", F.concat_ws(":", "label", F.col("_size").cast("string"),
+                                                      *[d.cast("string") for d in digests]).alias("subtree"))
+
+
 def syntax_match(subtrees: DataFrame) -> DataFrame:
     """Reference subtrees found anywhere among the item's candidate
     subtrees (no consumption), over all reference subtrees."""
-    cand = subtrees.filter(F.col("side") == "cand").select("item", "subtree").distinct() \
-        .withColumn("_hit", F.lit(1))
-    ref = subtrees.filter(F.col("side") == "ref").join(cand, ["item", "subtree"], "left")
-    tot = ref.agg(F.count(F.col("_hit")).alias("m"), F.count(F.lit(1)).alias("t"))
+    of_ref, of_cand = F.col("side") == "ref", F.col("side") == "cand"
+    met = subtrees.groupBy("item", "subtree").agg(F.count_if(of_ref).alias("r"), F.bool_or(of_cand).alias("hit"))
+    tot = met.agg(F.coalesce(F.sum(F.when(F.col("hit"), F.col("r")).otherwise(0)), F.lit(0)).alias("m"),
+                  F.coalesce(F.sum("r"), F.lit(0)).alias("t"))
     return tot.select(F.try_divide(F.col("m"), F.col("t")).alias("syntax_match"),
                       F.col("m").cast("long").alias("matched"), F.col("t").cast("long").alias("total"))
 

@@ -10,20 +10,27 @@ digits of the digest (uniform for distinct keys), a bucket table of at most
 65,536 rows yields each bucket's starting offset, and the rank inside a
 bucket is a window over that bucket only (about n/65,536 rows).
 
-The greedy split (O5) is sequential by definition: it walks repos in seeded
-order and each decision depends on all earlier ones. It runs as one fold over
-the per-repo summary (one ``(repo, rows)`` pair per repo, computed in
-parallel), so its input is bounded by the number of repos, never by rows.
+The greedy split (O5) is sequential by definition: each decision depends on
+all earlier ones, but only through how much room train and eval have left. So
+repos fall into ``16 ** WALK_HEX`` buckets of the seeded order, and the driver walks over a
+summary of the buckets (counts, sums and extremes by power of two of the size:
+a fixed number of rows at any input). A bucket whose repos fit whole is settled
+by the rooms it starts with; only a bucket in which a limit could be crossed is
+folded repo by repo, in one task that holds two numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.curate import hash_order
 
 BUCKET_HEX = 4  # 16^4 = 65,536 buckets
+WALK_HEX = 3
 
 
 def hash_rank(df: DataFrame, key: str, seed: str = "42", rank: str = "rank") -> DataFrame:
@@ -65,29 +72,73 @@ def greedy_split(sizes: DataFrame, key: str, size: str, seed: str = "42",
                  train: float = 0.8, valid: float = 0.1) -> DataFrame:
     """Walk repos in seeded order; a repo goes to train if train still fits
     ``round(train * total)`` rows, else to eval if eval fits
-    ``round(valid * total)``, else to test. Returns ``(key, size, split)``."""
-    arr = sizes.agg(
-        F.array_sort(F.collect_list(F.struct(
-            hash_order(F.col(key), seed).alias("h"), F.col(key).alias("k"),
-            F.col(size).cast("long").alias("n")))).alias("repos"),
-        F.sum(size).cast("long").alias("total"))
-    t_cap = F.bround(F.col("total") * train, 0).cast("long")
-    v_cap = F.bround(F.col("total") * valid, 0).cast("long")
-    init = F.struct(F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("v"),
-                    F.array().cast("array<string>").alias("out"))
-
-    def step(acc, r):
-        to_train = acc["t"] + r["n"] <= t_cap
-        to_eval = ~to_train & (acc["v"] + r["n"] <= v_cap)
-        label = F.when(to_train, F.lit("train")).when(to_eval, F.lit("eval")).otherwise(F.lit("test"))
-        return F.struct(
-            F.when(to_train, acc["t"] + r["n"]).otherwise(acc["t"]).alias("t"),
-            F.when(to_eval, acc["v"] + r["n"]).otherwise(acc["v"]).alias("v"),
-            F.array_append(acc["out"], label).alias("out"))
-
-    folded = arr.select("repos", F.aggregate("repos", init, step)["out"].alias("labels"))
-    z = folded.select(F.inline(F.arrays_zip(F.col("repos").alias("r"), F.col("labels").alias("s"))))
-    return z.select(F.col("r.k").alias(key), F.col("r.n").alias(size), F.col("s").alias("split"))
+    ``round(valid * total)``, else to test. Returns ``(key, size, split)``.
+
+    ``sizes`` has one row per repo; a null size counts as 0. The summary per repo
+    is checkpointed, as it is read once for the buckets and once for the result.
+    """
+    h = hash_order(F.col(key), seed)
+    repos = sizes.select(h.alias("h"), F.substring(h, 1, WALK_HEX).alias("bucket"), F.col(key).alias("k"),
+                         F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("n")).checkpoint()
+    power = F.when(F.col("n") > 0, F.floor(F.log2("n"))).otherwise(-1).cast("int")
+    summary = repos.groupBy("bucket", power.alias("p")).agg(
+        F.count(F.lit(1)).alias("repos"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most"))
+    buckets: dict[str, list] = {}
+    for row in summary.collect():  # at most 16 ** WALK_HEX * 64 rows
+        buckets.setdefault(row["bucket"], []).append(row)
+    total = sum(r["total"] for rows in buckets.values() for r in rows)
+    rooms = (round(train * total), round(valid * total))
+    settled, folded = [], []
+    for bucket in sorted(buckets):
+        taken = _whole_bucket(buckets[bucket], *rooms)
+        if taken is None:
+            walked = repos.filter(F.col("bucket") == bucket).repartition(1).sortWithinPartitions("h", "k")
+            walked = walked.select("k", "n").mapInPandas(_walk(*rooms), walked.select("k", "n", F.lit("").alias("split")).schema)
+            folded.append(walked.checkpoint())
+            sums = folded[-1].groupBy("split").agg(F.sum("n").alias("n")).collect()
+            by_split = {r["split"]: r["n"] for r in sums}
+            taken = (by_split.get("train", 0), by_split.get("eval", 0))
+        else:
+            settled.append((bucket, *rooms))
+        rooms = (rooms[0] - taken[0], rooms[1] - taken[1])
+    # At most 16 ** WALK_HEX rows, so broadcasting them is safe.
+    rule = F.broadcast(sizes.sparkSession.createDataFrame(settled, "bucket string, t long, v long"))
+    split = F.when(F.col("n") <= F.col("t"), "train").when(F.col("n") <= F.col("v"), "eval").otherwise("test")
+    out = repos.join(rule, "bucket").select("k", "n", split.alias("split"))
+    for part in folded:
+        out = out.unionByName(part)
+    return out.select(F.col("k").alias(key), F.col("n").alias(size), "split")
+
+
+def _whole_bucket(rows: list, train: int, valid: int) -> tuple[int, int] | None:
+    """What train and eval take of a bucket if every repo that fits its room at the start still
+    fits in the end, whatever the order; None if that is not sure."""
+    taken = [0, 0]
+    for r in rows:
+        for which, room in enumerate((train, valid)):
+            if r["most"] <= room:
+                taken[which] += r["total"]
+                break
+            if r["least"] <= room:
+                return None  # some of these fit and some do not
+    return (taken[0], taken[1]) if taken[0] <= train and taken[1] <= valid else None
+
+
+def _walk(train: int, valid: int):
+    """Label repos that come in seeded order, from the given rooms."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        room = [train, valid]
+        for frame in frames:
+            labels = []
+            for n in frame["n"].tolist():
+                at = 0 if n <= room[0] else 1 if n <= room[1] else 2
+                if at < 2:
+                    room[at] -= n
+                labels.append(("train", "eval", "test")[at])
+            yield frame.assign(split=labels)
+
+    return run
 
 
 def assign_split(rows: DataFrame, repo_split: DataFrame, key: str) -> DataFrame:

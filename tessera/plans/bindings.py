@@ -226,6 +226,15 @@ def v6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("org.example.p"), (F.col("class_id") % 3).cast("string")).alias("package_info"))
 
 
+def v6_files(members: DataFrame) -> DataFrame:
+    """The files of the classes ``(path, text)``: their methods' bodies one after the other, with
+    line ends of four kinds; every other file has a last line without one."""
+    end = F.element_at(F.array(*[F.lit(x) for x in ("\n", "\r\n", "\r ", "\f")]), (F.col("n") % 4 + 1).cast("int"))
+    lines = F.array_sort(F.collect_list(F.struct("class_id", "n", F.concat("body", end).alias("line"))))
+    last = F.when(F.max("class_id") % 2 == 0, "}").otherwise("")
+    return members.groupBy("path").agg(F.concat(F.array_join(lines["line"], ""), last).alias("text"))
+
+
 def v10_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Data-flow edges over whole V2 texts: one edge per token position whose
     parent is the previous token; every third position is a definition."""
@@ -259,10 +268,10 @@ def v10_repeated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("item", "side", "name", "pos", F.inline(both))
 
 
-def v9_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tag subtrees per page: ``tag:depth`` for every opening tag, depth being
-    the running open/close balance. The candidate side is the page with
-    ``<b>`` rewritten as ``<strong>``."""
+def v9_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tag trees of pages as nodes ``(item, side, pos, depth, label)``: one node for every opening
+    tag, depth being the running open/close balance. The candidate side is the
+    page with ``<b>`` rewritten as ``<strong>``."""
     from tessera.operators.flow import tag_tokens
     p = table(spark, sf_dir, "pages").select("page_id", "html")
     sides = p.select(F.col("page_id").alias("item"), F.inline(F.array(
@@ -270,13 +279,13 @@ def v9_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("cand").alias("side"), tag_tokens(
             F.regexp_replace(F.regexp_replace("html", "<b>", "<strong>"), "</b>", "</strong>")).alias("tags")))))
     # depth = running open/close balance over the page's tags (one page per window)
-    ex = sides.select("item", "side", F.posexplode("tags").alias("pos", "tag"))
-    w = Window.partitionBy("item", "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    ex = ex.withColumn("depth", F.sum(F.when(F.col("tag").startswith("</"), -1).otherwise(1)).over(w))
-    opens = ex.filter(~F.col("tag").startswith("</"))
-    return opens.select("item", "side", F.concat(F.expr("substring(tag, 2)"), F.lit(":"),
-                                                  F.col("depth").cast("string")).alias("subtree"),
-                        F.col("depth").cast("long").alias("depth"))
+    ex = sides.select("item", "side", F.posexplode("tags").alias("at", "tag"))
+    w = Window.partitionBy("item", "side").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    opens = ~F.col("tag").startswith("</")
+    ex = ex.withColumn("depth", F.sum(F.when(opens, 1).otherwise(-1)).over(w))
+    ex = ex.withColumn("pos", F.sum(F.when(opens, 1).otherwise(0)).over(w) - 1)
+    return ex.filter(opens).select("item", "side", F.col("pos").cast("int").alias("pos"),
+                                   F.col("depth").cast("int").alias("depth"), F.expr("substring(tag, 2)").alias("label"))
 
 
 def v9_code_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import normalize_source
 from tessera.operators import classes as cl
 from tessera.operators import predictions as pr
-from tessera.plans.bindings import v6_members
+from tessera.plans.bindings import v6_files, v6_members
 from tessera.plans.sqlbind import V6
 
 
@@ -81,7 +81,8 @@ def q_dedup_keep_last(spark, sf_dir):
 
 
 def q_class_inventory(spark, sf_dir):
-    return cl.inventory(v6_members(spark, sf_dir), "project", "class_id", "modifiers", "start", "end")
+    m = v6_members(spark, sf_dir).withColumn("path", F.concat(F.lit("F"), F.floor(F.col("class_id") / 3).cast("string")))
+    return cl.inventory(m, v6_files(m), "project", "class_id", "modifiers")
 
 
 def q_public_methods(spark, sf_dir):
@@ -219,10 +220,15 @@ SELECT class_id, n, row_number() OVER (PARTITION BY class_id ORDER BY start, n)
 k AS (SELECT body, params, import_list, class_id * 1000000000 + n AS ord, class_id, n FROM m)
 SELECT arg_max(body, ord) AS body, min(ord) AS first_pos, arg_max(class_id, ord) AS class_id, arg_max(n, ord) AS n
 FROM k GROUP BY body, params, import_list""",
-    "class_inventory": f"""WITH m AS ({V6})
-SELECT project, count(DISTINCT class_id) AS classes, count_if(list_contains(modifiers, 'public')) AS public_methods,
-       CAST(sum("end" - start + 1) AS BIGINT) AS lines
-FROM m GROUP BY project""",
+    "class_inventory": f"""WITH v6 AS (SELECT *, 'F' || CAST(class_id // 3 AS VARCHAR) AS path FROM ({V6})),
+files AS (SELECT path, string_agg(body || CASE n % 4 WHEN 0 THEN chr(10) WHEN 1 THEN chr(13) || chr(10)
+                                    WHEN 2 THEN chr(13) || ' ' ELSE chr(12) END, '' ORDER BY class_id, n)
+                 || CASE WHEN max(class_id) % 2 = 0 THEN '}}' ELSE '' END AS text FROM v6 GROUP BY path),
+lines AS (SELECT path, len(regexp_extract_all(text, '\\r\\n|[\\n\\f\\r]'))
+                 + CASE WHEN regexp_matches(text, '[\\n\\f\\r]$') THEN 0 ELSE 1 END AS n FROM files),
+classes AS (SELECT project, class_id, path, count_if(list_contains(modifiers, 'public')) AS p FROM v6 GROUP BY ALL)
+SELECT project, count(*) AS classes, CAST(sum(p) AS BIGINT) AS public_methods, CAST(sum(lines.n) AS BIGINT) AS lines
+FROM classes JOIN lines USING (path) GROUP BY project""",
     "public_methods": f"WITH m AS ({V6}) SELECT class_id, n FROM m WHERE list_contains(modifiers, 'public')",
     "invocation_set": f"""WITH m AS ({V6}),
 c AS (SELECT class_id, n, unnest(string_split(body, ' ')) AS call FROM m)

@@ -8,7 +8,7 @@ from tessera.functions.text import ASCII_WS
 from tessera.operators import flow as fl
 from tessera.operators import textmetrics as tm
 from tessera.plans import q_metrics
-from tessera.plans.bindings import v2_pairs, v9_code_text, v9_subtrees, v10_edges, v10_repeated_edges
+from tessera.plans.bindings import v2_pairs, v9_code_text, v9_nodes, v10_edges, v10_repeated_edges
 from tessera.plans.sqlbind import V2, toks
 
 
@@ -22,7 +22,7 @@ def q_dataflow_match(spark, sf_dir):
 
 
 def q_syntax_match(spark, sf_dir):
-    s = fl.syntax_match(v9_subtrees(spark, sf_dir))
+    s = fl.syntax_match(fl.subtrees(v9_nodes(spark, sf_dir)))
     return s.select(_r(F.col("syntax_match"), "syntax_match"), "matched", "total")
 
 
@@ -46,7 +46,7 @@ def q_block_comment_strip(spark, sf_dir):
 
 def q_codebleu(spark, sf_dir):
     st = tm.item_stats(v2_pairs(spark, sf_dir), "idx", "predict", ["label"], 4, ASCII_WS, tm.KEYWORDS["java"])
-    syn = fl.syntax_match(v9_subtrees(spark, sf_dir)).select("syntax_match")
+    syn = fl.syntax_match(fl.subtrees(v9_nodes(spark, sf_dir))).select("syntax_match")
     dfm = fl.dataflow_match(v10_repeated_edges(spark, sf_dir)).select("dataflow_match")
     parts = tm.ngram_scores(st).select("ngram_match", "weighted_ngram_match", syn.scalar().alias("syntax_match"),
                                        dfm.scalar().alias("dataflow_match"))
@@ -99,7 +99,12 @@ WITH s AS (
 ex AS (SELECT item, side, j - 1 AS pos, tags[j] AS tag FROM (SELECT item, side, tags, unnest(range(1, len(tags) + 1)) AS j FROM s)),
 d AS (SELECT *, sum(CASE WHEN starts_with(tag, '</') THEN -1 ELSE 1 END) OVER (PARTITION BY item, side ORDER BY pos
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS depth FROM ex),
-st AS (SELECT item, side, substr(tag, 2) || ':' || CAST(depth AS VARCHAR) AS subtree FROM d WHERE NOT starts_with(tag, '</')),
+nodes AS (SELECT item, side, pos, depth, substr(tag, 2) AS label FROM d WHERE NOT starts_with(tag, '</')),
+ends AS (SELECT a.item, a.side, a.pos, a.depth, min(b.pos) AS stop FROM nodes a
+         LEFT JOIN nodes b ON b.item = a.item AND b.side = a.side AND b.pos > a.pos AND b.depth <= a.depth GROUP BY ALL),
+st AS (SELECT a.item, a.side, a.pos, string_agg(n.label || ':' || CAST(n.depth - a.depth AS VARCHAR), ',' ORDER BY n.pos) AS subtree
+       FROM ends a JOIN nodes n ON n.item = a.item AND n.side = a.side AND n.pos >= a.pos AND (a.stop IS NULL OR n.pos < a.stop)
+       GROUP BY a.item, a.side, a.pos),
 cand AS (SELECT DISTINCT item, subtree FROM st WHERE side = 'cand'),
 ref AS (SELECT r.item, r.subtree, c.subtree IS NOT NULL AS hit FROM st r LEFT JOIN cand c USING (item, subtree) WHERE r.side = 'ref')
 SELECT round(count_if(hit) / count(*), 6) AS syntax_match, count_if(hit) AS matched, count(*) AS total FROM ref"""
