@@ -73,6 +73,16 @@ def with_siblings(members: DataFrame, cls: str, sig: str, order: str) -> DataFra
         F.filter(allsigs, lambda x: x["o"] != me), lambda x: x["s"]))
 
 
+def with_fields(members: DataFrame, fields: DataFrame, cls: str, declaration: str, order: str,
+                name: str = "fields") -> DataFrame:
+    """each row gets its class's field declarations (in ``order``), an empty list without any."""
+    listed = fields.groupBy(cls).agg(F.array_sort(F.collect_list(
+        F.struct(F.col(order).alias("o"), F.col(declaration).alias("d")))).alias("_f"))
+    names = F.transform("_f", lambda x: x["d"])
+    return members.join(listed, cls, "left").withColumn(
+        name, F.coalesce(names, F.array().cast("array<string>"))).drop("_f")
+
+
 def assemble_source(class_name: Column, body: Column, siblings: Column, fields: Column) -> Column:
     """``Class { body  sibling signatures  fields }`` (normalise with F1)."""
     return F.concat(class_name, F.lit(" { "), body, F.lit("  "), F.array_join(siblings, "  "),

@@ -62,25 +62,33 @@ def hash_order(key: Column, seed: str = "42") -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key))
 
 
-def first_copy_flag(df: DataFrame, src: str = "src", order: str = "path") -> DataFrame:
-    """Flag the first copy (smallest ``order``) of each non-blank ``src``.
-
-    Adds ``_nonempty`` and ``is_first`` (NULL for blank keys)."""
+def _keyed(df: DataFrame, src: str, order: str) -> DataFrame:
+    """``(order, _src_key)``: SHA-256 of each non-blank source, computed where the text is."""
     nonempty = F.col(src).isNotNull() & (F.col(src) != "")
-    keyed = df.withColumn("_nonempty", nonempty).withColumn(
-        "_src_key", F.when(nonempty, F.sha2(F.col(src), 256)))
-    firsts = (keyed.filter("_nonempty")
-              .groupBy("_src_key").agg(F.min(order).alias(order))
-              .withColumn("_first", F.lit(True)))
-    joined = keyed.join(firsts, ["_src_key", order], "left")
-    return joined.withColumn(
-        "is_first", F.when(F.col("_nonempty"), F.coalesce(F.col("_first"), F.lit(False))))\
-        .drop("_first", "_src_key")
+    return df.select(F.col(order), F.when(nonempty, F.sha2(F.col(src), 256)).alias("_src_key"))
+
+
+def _firsts(keyed: DataFrame, order: str) -> DataFrame:
+    return keyed.filter(F.col("_src_key").isNotNull()).groupBy("_src_key").agg(F.min(order).alias(order))
+
+
+def first_copy_flag(df: DataFrame, src: str = "src", order: str = "path") -> DataFrame:
+    """``(order, is_first)`` of every row: whether it is the first copy (smallest ``order``) of
+    its source, NULL for blank ones. Only digests and ``order`` are shuffled."""
+    keyed = _keyed(df, src, order)
+    joined = keyed.join(_firsts(keyed, order).withColumn("_first", F.lit(True)), ["_src_key", order], "left")
+    flag = F.when(F.col("_src_key").isNotNull(), F.coalesce(F.col("_first"), F.lit(False)))
+    return joined.select(order, flag.alias("is_first"))
 
 
 def dedup_keep_first(df: DataFrame, src: str = "src", order: str = "path") -> DataFrame:
-    """W1 as a filter: keep the first copy of every non-blank source text."""
-    return first_copy_flag(df, src, order).filter("is_first").drop("is_first", "_nonempty")
+    """W1 as a filter: keep the first copy of every non-blank source text.
+
+    The winners are found from digests alone; then the rows are semi-joined with
+    the winners' ``order``, so no text meets its copies. Rows that share an
+    ``order`` value must share the text.
+    """
+    return df.join(_firsts(_keyed(df, src, order), order).select(order), order, "left_semi").select(*df.columns)
 
 
 def filter_reason(target: Column, src: Column, p: CurationParams) -> Column:

@@ -110,6 +110,16 @@ def best_beam(beams: DataFrame, sample: str, beam: str, tokens: str, label: str)
     return pick.select(sample, "best.beam", "best.tokens", "best.xmatch")
 
 
+def head_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """O2: the first ``n`` rows by ``order`` (a distributed top-k); fails if there are fewer.
+
+    The check is a job of its own and reads no more than it needs.
+    """
+    if df.select(order).limit(n).count() < n:
+        raise ValueError(f"fewer than {n} rows")
+    return df.orderBy(order).limit(n)
+
+
 def top1(returned: Column | str) -> Column:
     """The first returned sequence; NULL if there is none."""
     return F.try_element_at(_c(returned), F.lit(1))

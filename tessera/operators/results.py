@@ -17,15 +17,17 @@ from pyspark.sql import functions as F
 OUTCOMES = ("CORRECT", "PASS", "TE", "CE", "SE")
 
 
-def classify_run(exit_code: Column, stdout: Column, code: Column) -> Column:
-    """SE if the code holds ``Syntax Error``; CE on non-zero exit; TE
-    unless ``Failing tests: 0`` is printed; else CORRECT when
-    ``Lines covered: N`` has N != 0, otherwise PASS."""
-    covered = F.regexp_extract(stdout, r"Lines covered:\s*(\d+)", 1)
+def classify_run(exit_code: Column, stdout: Column, code: Column, coverage_exit: Column,
+                 coverage_stdout: Column) -> Column:
+    """SE if the code holds ``Syntax Error``; CE if the test run exits with another code
+    than 0; TE unless it prints ``Failing tests: 0``. Then the coverage run, a
+    call of its own, tells CORRECT (``Lines covered: N`` with N != 0) from PASS;
+    one that fails or prints no such line is PASS."""
+    covered = F.regexp_extract(coverage_stdout, r"Lines covered:\s*(\d+)", 1)
     return (F.when(code.contains("Syntax Error"), F.lit("SE"))
             .when(exit_code != 0, F.lit("CE"))
             .when(~stdout.contains("Failing tests: 0"), F.lit("TE"))
-            .when((covered != "") & (covered != "0"), F.lit("CORRECT"))
+            .when((coverage_exit == 0) & (covered != "") & (covered != "0"), F.lit("CORRECT"))
             .otherwise(F.lit("PASS")))
 
 
@@ -69,29 +71,71 @@ def per_project(results: DataFrame, projects: Sequence[str], revision: str = "re
     dim = spark.createDataFrame([(p, i) for i, p in enumerate(projects)], "project string, pos int")
     known = results.withColumn("project", project_of(F.col(revision))) \
         .join(F.broadcast(dim.select("project")), "project", "left_semi")
-    agg = known.rollup("project").agg(*_counts(F.col(result))) \
+    # Rows are counted once; the total comes from the few rows of the projects.
+    agg = known.groupBy("project").agg(*_counts(F.col(result)))
+    agg = agg.rollup("project").agg(*[F.sum(c).alias(c) for c in ("correct", "pass", "te", "ce", "se", "total")]) \
         .withColumn("project", F.coalesce(F.col("project"), F.lit("total")))
     full = dim.unionByName(spark.createDataFrame([("total", len(projects))], "project string, pos int"))
-    out = F.broadcast(full).join(agg, "project", "left")
+    out = full.join(agg, "project", "left")
     return out.select("project", "pos", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                           for c in ("correct", "pass", "te", "ce", "se", "total")])
 
 
+# The columns of the outcome report.
+REPORT_COLUMNS = ("Model Name", "CORRECT Count", "PASS Count", "TE Count", "CE Count", "SE Count", "Total",
+                  "CORRECT %", "PASS %", "TE %", "CE %", "SE %")
+REPORT_RULE = ("|------------|---------------|------------|----------|----------|----------|-------"
+               "|-----------|--------|------|------|------|")
+
+
+def markdown_table(rows: DataFrame, columns: Sequence[str], order: Sequence[str], titles: Sequence[str] | None = None,
+                   rule: str | None = None) -> DataFrame:
+    """One row ``report`` with a pipe table of a small frame, its rows in the given order.
+
+    NULL cells are empty; a pipe inside a cell is escaped and a line end becomes a space.
+    """
+    titles = list(titles or columns)
+    cells = [F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\R", " ")
+             for c in columns]
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    head = f"| {' | '.join(titles)} |\n" + (rule or "|" + "|".join("-" * (len(t) + 2) for t in titles) + "|") + "\n"
+    rows = rows.select(F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)]).alias("_o"), line.alias("_l"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_l"))), lambda s: F.concat(s["_l"], F.lit("\n")))
+    return rows.agg(F.concat(F.lit(head), F.array_join(lines, "")).alias("report"))
+
+
+def markdown_heading(text: Column, level: int = 1) -> Column:
+    """A heading between blank lines' ends."""
+    return F.concat(F.lit(f"\n{'#' * level} "), text, F.lit("\n"))
+
+
+def markdown_code(text: Column, language: str = "java") -> Column:
+    """A fenced code cell."""
+    return F.concat(F.lit(f"```{language}\n"), text, F.lit("\n```\n"))
+
+
+def markdown_text(text: Column) -> Column:
+    """A line of text."""
+    return F.concat(text, F.lit("\n"))
+
+
+def markdown_document(blocks: Sequence[DataFrame]) -> DataFrame:
+    """One row ``report``: the blocks (one-row frames ``report``) one after the other, a
+    blank line after each table."""
+    numbered = [b.select(F.lit(i).alias("_i"), F.when(F.col("report").startswith("| "), F.concat("report", F.lit("\n")))
+                         .otherwise(F.col("report")).alias("_b")) for i, b in enumerate(blocks)]
+    rows = numbered[0]
+    for b in numbered[1:]:
+        rows = rows.unionByName(b)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_b"))), lambda s: s["_b"]), "")
+    return rows.agg(joined.alias("report"))
+
+
 def markdown_report(summary: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """One-row Markdown table built from the (small) summary frame."""
-    cells = F.concat_ws(" | ", F.col(key), *[F.col(c).cast("string") for c in
-                                             ("correct", "pass", "te", "ce", "se", "total")],
-                        *[F.col(f"{c}_pct") for c in ("correct", "pass", "te", "ce", "se")])
-    line = F.concat(F.lit("| "), cells, F.lit(" |"))
-    header = ("| Model Name | CORRECT Count | PASS Count | TE Count | CE Count | SE Count | Total "
-              "| CORRECT % | PASS % | TE % | CE % | SE % |\n"
-              "|------------|---------------|------------|----------|----------|----------|-------"
-              "|-----------|--------|------|------|------|")
-    ordering = F.col(order) if order else F.col(key)
-    rows = with_percentages(summary).select(ordering.alias("_o"), line.alias("_l"))
-    return rows.agg(F.concat(F.lit(header + "\n"), F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("_o", "_l"))), lambda s: s["_l"]),
-        "\n"), F.lit("\n")).alias("report"))
+    """The outcome report of a (small) summary frame as a one-row Markdown table."""
+    counts = ["correct", "pass", "te", "ce", "se"]
+    columns = [key, *counts, "total", *[f"{c}_pct" for c in counts]]
+    return markdown_table(with_percentages(summary), columns, [order or key], REPORT_COLUMNS, REPORT_RULE)
 
 
 def method_runs(results: DataFrame, item: Sequence[str], run: str = "run",

@@ -38,7 +38,8 @@ def v1_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         repo.alias("repo"),
         F.concat(repo, F.lit("/"),
                  F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".json")).alias("path"),
-        F.col("text").alias("src"),
+        # some sources are blank or missing, as in collected corpora
+        F.when(F.col("doc_id") % 53 == 7, F.lit("")).when(F.col("doc_id") % 59 != 11, F.col("text")).alias("src"),
         F.element_at(F.split(F.col("text"), "\n"), 1).alias("target"),
     )
 
@@ -111,14 +112,19 @@ def v3_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v8_tool_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tool output per run: exit code, stdout text and the generated code."""
+    """Tool output per run: exit code and stdout of the test run and of the coverage run, and the
+    generated code."""
     e = table(spark, sf_dir, "events")
     k = F.get_json_object(F.col("props"), "$.k")
     return e.select(
         F.col("event_id"),
         F.when(F.col("event_type") == "signup", F.lit(1)).otherwise(F.lit(0)).alias("exit_code"),
         F.concat(F.lit("Running tests...\nFailing tests: "), (F.col("event_id") % 3).cast("string"),
-                 F.lit("\nLines covered: "), F.coalesce(k, F.lit("0")), F.lit("\n")).alias("stdout"),
+                 F.lit("\n")).alias("stdout"),
+        # the coverage run is a call of its own; one in eleven fails, one in thirteen prints no count
+        F.when(F.col("event_id") % 11 == 3, F.lit(1)).otherwise(F.lit(0)).alias("coverage_exit"),
+        F.when(F.col("event_id") % 13 == 6, F.lit("")).otherwise(
+            F.concat(F.lit("Lines covered: "), F.coalesce(k, F.lit("0")), F.lit("\n"))).alias("coverage_stdout"),
         F.when(F.col("event_type") == "error", F.lit("class T { Syntax Error }"))
         .otherwise(F.lit("class T { void t() {} }")).alias("code"))
 
@@ -289,12 +295,13 @@ def v9_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v9_code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A code-like text per page holding a line comment, a block comment and
-    a string literal containing ``//`` (from the URL)."""
-    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    """A code-like text per page: a line comment, block comments and a string literal holding ``//``
+    (from the URL), then the page's whole html, once as it is and once inside a comment."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     host = F.regexp_extract("url", "//([^/]+)", 1)
-    return p.select("page_id", "url", F.concat(F.lit('u="'), F.col("url"), F.lit('"; // '), host,
-                                               F.lit("\n/* ad */ y();\n\n/** doc */ z();\n")).alias("code"))
+    return p.select("page_id", F.concat(
+        F.lit('u="'), F.col("url"), F.lit('"; // '), host, F.lit("\n/* ad */ y();\n\n/** doc */ z();\n"),
+        F.col("html"), F.lit("\n/** "), F.col("html"), F.lit(" */\nend();\n")).alias("code"))
 
 
 def v4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,12 @@ def _sig():
                         _some(line % 3 == 0, "@Override"), _some(line % 4 == 0, "IOException", "SQLException"))
 
 
+def _field():
+    """A field next to every third method, of the method's return type."""
+    type_ = F.coalesce("return_type", F.lit("long"))
+    return cl.field_signature(F.array(F.lit("private")), type_, F.array(F.concat(F.lit("f"), F.col("n").cast("string"))))
+
+
 def q_declaration_signatures(spark, sf_dir):
     m = v6_members(spark, sf_dir)
     mods, name, line = F.col("modifiers"), F.col("name"), F.col("l_linenumber")
@@ -57,8 +63,9 @@ def q_method_signatures(spark, sf_dir):
 def q_sibling_signatures(spark, sf_dir):
     m = v6_members(spark, sf_dir).withColumn("signature", _sig())
     s = cl.with_siblings(m, "class_id", "signature", "n")
+    s = cl.with_fields(s, m.filter("l_linenumber % 3 = 1").withColumn("field", _field()), "class_id", "field", "n")
     src = normalize_source(cl.assemble_source(F.concat(F.lit("C"), F.col("class_id").cast("string")),
-                                              F.col("body"), F.col("siblings"), F.array()))
+                                              F.col("body"), F.col("siblings"), F.col("fields")))
     return s.select("class_id", "n", F.size("siblings").cast("long").alias("n_siblings"),
                     src.alias("source"))
 
@@ -74,10 +81,10 @@ def q_method_row_ids(spark, sf_dir):
 
 def q_dedup_keep_last(spark, sf_dir):
     m = v6_members(spark, sf_dir).select(
-        "body", "params", "import_list", (F.col("class_id") * 1_000_000_000 + F.col("n")).alias("ord"),
-        "class_id", "n")
+        "body", "params", "import_list", F.struct("class_id", "n").alias("ord"), "class_id", "n")
     d = cl.dedup_keep_last(m, ["body", "params", "import_list"], "ord")
-    return d.select("body", "first_pos", "class_id", "n")
+    return d.select("body", F.col("first_pos.class_id").alias("first_class"), F.col("first_pos.n").alias("first_n"),
+                    "class_id", "n")
 
 
 def q_class_inventory(spark, sf_dir):
@@ -205,9 +212,12 @@ sib AS (SELECT a.class_id, a.n, a.body,
           coalesce(list(b.signature ORDER BY b.n) FILTER (WHERE b.n IS NOT NULL), []) AS siblings
         FROM s a LEFT JOIN s b ON a.class_id = b.class_id AND a.n <> b.n
         GROUP BY a.class_id, a.n, a.body),
+fld AS (SELECT class_id, list('private ' || coalesce(return_type, 'long') || ' f' || CAST(n AS VARCHAR) || ';' ORDER BY n) AS fields
+        FROM m WHERE l_linenumber % 3 = 1 GROUP BY class_id),
 src AS (SELECT class_id, n, len(siblings) AS n_siblings,
-   'C' || CAST(class_id AS VARCHAR) || ' {{ ' || body || '  ' || array_to_string(siblings, '  ') || '  ' || '' || ' }}' AS raw
-   FROM sib)
+   'C' || CAST(class_id AS VARCHAR) || ' {{ ' || body || '  ' || array_to_string(siblings, '  ') || '  '
+     || coalesce(array_to_string(fields, '  '), '') || ' }}' AS raw
+   FROM sib LEFT JOIN fld USING (class_id))
 SELECT class_id, n, CAST(n_siblings AS BIGINT) AS n_siblings,
   trim(regexp_replace(replace(replace(translate(raw, chr(10) || chr(9), '  '), '{{', ' {{ '), '}}', ' }} '), '\\s+', ' ', 'g')) AS source
 FROM src""",
@@ -217,8 +227,9 @@ SELECT class_id, n, start, "end" FROM o WHERE overlap""",
     "method_row_ids": f"""WITH m AS ({V6})
 SELECT class_id, n, row_number() OVER (PARTITION BY class_id ORDER BY start, n) - 1 AS id FROM m""",
     "dedup_keep_last": f"""WITH m AS ({V6}),
-k AS (SELECT body, params, import_list, class_id * 1000000000 + n AS ord, class_id, n FROM m)
-SELECT arg_max(body, ord) AS body, min(ord) AS first_pos, arg_max(class_id, ord) AS class_id, arg_max(n, ord) AS n
+k AS (SELECT body, params, import_list, (class_id, n) AS ord, class_id, n FROM m)
+SELECT arg_max(body, ord) AS body, arg_min(class_id, ord) AS first_class, arg_min(n, ord) AS first_n,
+       arg_max(class_id, ord) AS class_id, arg_max(n, ord) AS n
 FROM k GROUP BY body, params, import_list""",
     "class_inventory": f"""WITH v6 AS (SELECT *, 'F' || CAST(class_id // 3 AS VARCHAR) AS path FROM ({V6})),
 files AS (SELECT path, string_agg(body || CASE n % 4 WHEN 0 THEN chr(10) WHEN 1 THEN chr(13) || chr(10)

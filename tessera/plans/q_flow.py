@@ -119,7 +119,8 @@ _LEX = (r"""(?s)//[^\n]*|/\*([^*]|\*+[^*/])*\*+/|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\
         r"""|[^/"']+|.""").replace("'", "''")
 _CODE = """
 WITH c AS (SELECT page_id, 'u="' || url || '"; // ' || regexp_extract(url, '//([^/]+)', 1) || chr(10) ||
-                 '/* ad */ y();' || chr(10) || chr(10) || '/** doc */ z();' || chr(10) AS code FROM pages)
+                 '/* ad */ y();' || chr(10) || chr(10) || '/** doc */ z();' || chr(10) || html || chr(10) ||
+                 '/** ' || html || ' */' || chr(10) || 'end();' || chr(10) AS code FROM pages)
 """
 
 SQL = {

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import ASCII_WS
 from tessera.operators import textmetrics as tm
-from tessera.plans.bindings import v2_pairs
+from tessera.plans.bindings import v2_pairs, ws_tokens
 from tessera.plans.sqlbind import V2, toks
 
 R6 = 6  # scores are compared at 6 decimals in both engines
@@ -45,6 +45,21 @@ def q_ngram_overlap_by_order(spark, sf_dir):
              "ref_union", "clipped")
 
 
+def q_padded_ngrams(spark, sf_dir):
+    """n-grams of the labels' lines padded on both sides, per order."""
+    lines = v2_pairs(spark, sf_dir).select(F.explode(F.split("label", "\n")).alias("line"))
+    toks = F.col("toks")
+    lines = lines.select(ws_tokens("line").alias("toks"))
+    by_order = F.array(*[F.struct(F.lit(n).cast("long").alias("ord"), tm.ngram_array(
+        tm.pad_sequence(toks, n, "<s>", "</s>"), n).alias("grams")) for n in (1, 2, 3)])
+    grams = lines.select(F.inline(by_order)).select("ord", F.explode("grams").alias("gram"))
+    counts = grams.groupBy("ord", "gram").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("ord").agg(
+        F.count(F.lit(1)).alias("distinct_grams"), F.sum("n").alias("grams"),
+        F.sum(F.when(F.col("gram").startswith("<s>"), F.col("n")).otherwise(0)).alias("left_padded"),
+        F.sum(F.when(F.col("gram").endswith("</s>"), F.col("n")).otherwise(0)).alias("right_padded"))
+
+
 def _stats(spark, sf_dir, refs, max_order=4, keywords=None):
     v2 = v2_pairs(spark, sf_dir, second_ref="ref2" in refs)
     return tm.item_stats(v2, "idx", "predict", refs, max_order, ASCII_WS, keywords)
@@ -270,6 +285,17 @@ FROM v2""",
     "xmatch_rate": f"""WITH v2 AS ({V2})
 SELECT round_even(avg(CASE WHEN label = predict THEN 1.0 ELSE 0.0 END) * 100.0, 4) AS xmatch FROM v2""",
     "ngram_overlap_by_order": _OVERLAP_SQL,
+    "padded_ngrams": f"""WITH v2 AS ({V2}),
+lines AS (SELECT {toks('line')} AS t FROM (SELECT unnest(string_split(label, chr(10))) AS line FROM v2)),
+padded AS (SELECT n, list_concat(list_concat([CAST('<s>' AS VARCHAR) FOR x IN range(n - 1)], t),
+                                 [CAST('</s>' AS VARCHAR) FOR x IN range(n - 1)]) AS t FROM lines, range(1, 4) o(n)),
+g AS (SELECT n, array_to_string(list_slice(t, i, i + n - 1), ' ') AS gram
+      FROM (SELECT n, t, unnest(range(1, len(t) - n + 2)) AS i FROM padded WHERE len(t) >= n)),
+c AS (SELECT n, gram, count(*) AS k FROM g GROUP BY n, gram)
+SELECT n AS ord, count(*) AS distinct_grams, CAST(sum(k) AS BIGINT) AS grams,
+       CAST(sum(CASE WHEN starts_with(gram, '<s>') THEN k ELSE 0 END) AS BIGINT) AS left_padded,
+       CAST(sum(CASE WHEN ends_with(gram, '</s>') THEN k ELSE 0 END) AS BIGINT) AS right_padded
+FROM c GROUP BY n""",
     "bleu_v1_corpus": _bleu_v1_sql(False, "round_even(geo * bp * 100.0, 2) AS bleu, "
                                    + ", ".join(f"round(p{k}, 6) AS precision_{k}" for k in range(1, 5))
                                    + ", round(bp, 6) AS bp, round(ratio, 6) AS ratio, "
@@ -290,6 +316,7 @@ QUERIES = {
     "xmatch_rows": q_xmatch_rows,
     "xmatch_rate": q_xmatch_rate,
     "ngram_overlap_by_order": q_ngram_overlap_by_order,
+    "padded_ngrams": q_padded_ngrams,
     "bleu_v1_corpus": q_bleu_v1_corpus,
     "bleu_v1_smooth": q_bleu_v1_smooth,
     "bleu_v2_corpus": q_bleu_v2_corpus,

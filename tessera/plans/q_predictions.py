@@ -49,9 +49,12 @@ def q_nothing_predictions(spark, sf_dir):
     return p.filter(F.col("predict") == "nothing").select("id", "revision", "ord")
 
 
+HEAD = 150  # every table has more pairs than that
+
+
 def q_head_in_file_order(spark, sf_dir):
-    """O2: the first 500 pairs in file order (a distributed top-k, not a scan cap)."""
-    return v2_pairs(spark, sf_dir).orderBy("idx").limit(500).select("idx", "revision")
+    """O2: the first pairs in file order (a distributed top-k, not a scan cap)."""
+    return pr.head_rows(v2_pairs(spark, sf_dir), "idx", HEAD).select("idx", "revision")
 
 
 def q_resume_filter(spark, sf_dir):
@@ -68,7 +71,7 @@ corpus AS (SELECT id, revision, label AS target FROM ({V2}))
 """
 
 SQL = {
-    "head_in_file_order": f"WITH v2 AS ({V2}) SELECT idx, revision FROM v2 ORDER BY idx LIMIT 500",
+    "head_in_file_order": f"WITH v2 AS ({V2}) SELECT idx, revision FROM v2 ORDER BY idx LIMIT {HEAD}",
     "extract_fenced_code": f"""WITH r AS ({V8_CHAT})
 SELECT conv_id, turn,
   CASE WHEN regexp_matches(reply, '(?s)```java\\s+(.*?)\\s+```')

@@ -13,8 +13,20 @@ _COUNTS = ["correct", "pass", "te", "ce", "se"]
 
 def q_run_classifier(spark, sf_dir):
     logs = v8_tool_logs(spark, sf_dir)
-    return logs.select("event_id", rs.classify_run(F.col("exit_code"), F.col("stdout"),
-                                                   F.col("code")).alias("result"))
+    return logs.select("event_id", rs.classify_run(
+        F.col("exit_code"), F.col("stdout"), F.col("code"), F.col("coverage_exit"), F.col("coverage_stdout")).alias("result"))
+
+
+def q_markdown_document(spark, sf_dir):
+    """Heading, text, the table of the models and a code cell with the run that came last."""
+    results = v3_results(spark, sf_dir)
+    summary = rs.per_model(results).select("model", "pass", "total")
+    table = rs.markdown_table(summary, ["model", "pass", "total"], ["total", "model"])
+    rows = results.agg(F.count(F.lit(1)).alias("n"), F.max_by("revision", "event_id").alias("last"))
+    return rs.markdown_document([
+        rows.select(rs.markdown_heading(F.lit("Results"), 2).alias("report")),
+        rows.select(rs.markdown_text(F.concat(F.col("n").cast("string"), F.lit(" runs"))).alias("report")),
+        table, rows.select(rs.markdown_code(F.col("last"), "text").alias("report"))])
 
 
 def q_results_per_model(spark, sf_dir):
@@ -110,9 +122,16 @@ SELECT event_id,
   CASE WHEN code LIKE '%Syntax Error%' THEN 'SE'
        WHEN exit_code <> 0 THEN 'CE'
        WHEN stdout NOT LIKE '%Failing tests: 0%' THEN 'TE'
-       WHEN regexp_extract(stdout, 'Lines covered:\\s*(\\d+)', 1) NOT IN ('', '0') THEN 'CORRECT'
+       WHEN coverage_exit = 0 AND regexp_extract(coverage_stdout, 'Lines covered:\\s*(\\d+)', 1) NOT IN ('', '0') THEN 'CORRECT'
        ELSE 'PASS' END AS result
 FROM l""",
+    "markdown_document": f"""
+WITH v3 AS ({V3}), s AS (SELECT model, {_COUNT_SQL} FROM v3 GROUP BY model)
+SELECT chr(10) || '## Results' || chr(10) || (SELECT CAST(count(*) AS VARCHAR) || ' runs' FROM v3) || chr(10)
+    || '| model | pass | total |' || chr(10) || '|-------|------|-------|' || chr(10)
+    || string_agg('| ' || model || ' | ' || pass || ' | ' || total || ' |' || chr(10), '' ORDER BY total, model) || chr(10)
+    || '```text' || chr(10) || (SELECT arg_max(revision, event_id) FROM v3) || chr(10) || '```' || chr(10) AS report
+FROM s""",
     "results_per_model": f"""
 WITH v3 AS ({V3}), s AS (SELECT model, {_COUNT_SQL} FROM v3 GROUP BY model)
 SELECT *, {_PCT_SQL} FROM s""",
@@ -135,6 +154,7 @@ QUERIES = {
     "results_per_model": q_results_per_model,
     "results_per_project": q_results_per_project,
     "results_markdown": q_results_markdown,
+    "markdown_document": q_markdown_document,
     "project_markdown": q_project_markdown,
     "bug_detection": q_bug_detection,
     "env_elapsed": q_env_elapsed,

@@ -15,7 +15,8 @@ def toks(expr: str) -> str:
 V1 = """
 SELECT doc_id AS id, source || '_' || CAST(doc_id // 1000 AS VARCHAR) AS repo,
        source || '_' || CAST(doc_id // 1000 AS VARCHAR) || '/' || lpad(CAST(doc_id AS VARCHAR), 8, '0') || '.json' AS path,
-       text AS src, string_split(text, chr(10))[1] AS target
+       CASE WHEN doc_id % 53 = 7 THEN '' WHEN doc_id % 59 <> 11 THEN text END AS src,
+       string_split(text, chr(10))[1] AS target
 FROM documents
 """
 
@@ -50,8 +51,10 @@ FROM events
 V8_LOGS = """
 SELECT event_id,
   CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS exit_code,
-  'Running tests...' || chr(10) || 'Failing tests: ' || CAST(event_id % 3 AS VARCHAR) || chr(10)
-    || 'Lines covered: ' || coalesce(json_extract_string(props, '$.k'), '0') || chr(10) AS stdout,
+  'Running tests...' || chr(10) || 'Failing tests: ' || CAST(event_id % 3 AS VARCHAR) || chr(10) AS stdout,
+  CASE WHEN event_id % 11 = 3 THEN 1 ELSE 0 END AS coverage_exit,
+  CASE WHEN event_id % 13 = 6 THEN ''
+       ELSE 'Lines covered: ' || coalesce(json_extract_string(props, '$.k'), '0') || chr(10) END AS coverage_stdout,
   CASE WHEN event_type = 'error' THEN 'class T { Syntax Error }' ELSE 'class T { void t() {} }' END AS code
 FROM events
 """
