@@ -187,7 +187,8 @@ def explode_keys(classes: DataFrame, halves: int) -> DataFrame:
     """(k, id, n, component, halves, left, right) of every class given and every live table."""
 
     def run(batches):
-        for batch in batches:
+        # A row becomes up to halves ** 2, so only a few are opened at a time.
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
             live = live_tables(batch, halves)
             k = table_keys(batch.column("halves"), halves)[live]
             row, table = np.nonzero(live)
