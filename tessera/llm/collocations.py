@@ -11,7 +11,7 @@ not had ``support`` times by all; so each shard is mined completely at that
 lowered support, level by level: a phrase is counted only if its first and last
 words but one were locally frequent somewhere. Mining goes by 64-bit hashes of
 (language, phrase), where a collision adds a candidate and loses none. The
-union of what is locally frequent is kept as bitmaps of ``1 << BITS`` bits, a
+union of what is locally frequent is kept as bitmaps of ``1 << C.BITS`` bits, a
 fixed size at any input; the last pass counts, word for word, every phrase
 whose bit is set, over all texts, and keeps those with the support.
 
@@ -41,7 +41,7 @@ from . import common as C
 
 U64 = np.uint64
 SUPPORT, LONGEST, TOP = 100, 5, 2000
-SHARDS, BITS = 8, 26
+SHARDS = 8
 _BREAKS, _SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 
 
@@ -75,23 +75,6 @@ def in_row(joined: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = keys >> U64(64 - BITS)
-    return (bits[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1
-
-
-def bitmap_of(keys: DataFrame) -> np.ndarray:
-    """``1 << BITS`` bits, those of the keys (a bigint column) set: whatever the keys, the driver gets so many bits."""
-    slot = F.shiftrightunsigned("key", 64 - BITS) + 1
-    chunks = keys.groupBy(F.bitmap_bucket_number(slot).alias("chunk")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for chunk in chunks.collect():
-        at = (chunk["chunk"] - 1) * len(chunk["bits"])
-        out[at : at + len(chunk["bits"])] = np.frombuffer(chunk["bits"], np.uint8)
-    return out
-
-
 def word_counts(rows: DataFrame) -> DataFrame:
     """(lang, phrase, a) of all single words."""
 
@@ -125,7 +108,7 @@ def locally_frequent(rows: DataFrame, k: int, shorter, least: int) -> DataFrame:
         for batch in C.slices(batches, "text"):
             codes, words, joined, lang, langs = tokens_of(batch)
             values, of_lang = word_values(words)[codes], C.hash_words(langs.to_pylist())[lang]
-            ok = marked(bits, phrase_keys(values, of_lang, k - 1))
+            ok = C.marked(bits, phrase_keys(values, of_lang, k - 1))
             at = np.flatnonzero(in_row(joined, k) & ok[:-1] & ok[1:]) if len(codes) >= k else np.empty(0, np.int64)
             keys, n = np.unique(phrase_keys(values, of_lang, k)[at], return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -148,7 +131,7 @@ def phrase_counts(rows: DataFrame, maps, longest: int) -> DataFrame:
             number = lang * width + codes  # of the phrase that starts at each word; equal phrases have equal numbers
             at = np.arange(len(codes))
             for k, bits in zip(range(2, longest + 1), maps.value):
-                whole = in_row(joined, k) & marked(bits, phrase_keys(values, of_lang, k)) if len(codes) >= k else np.empty(0, bool)
+                whole = in_row(joined, k) & C.marked(bits, phrase_keys(values, of_lang, k)) if len(codes) >= k else np.empty(0, bool)
                 stays = (at < len(whole)) & np.append(whole, False)[np.minimum(at, len(whole))]
                 at, number = at[stays], number[stays]
                 if not len(at):
@@ -170,10 +153,10 @@ def frequent_phrases(rows: DataFrame, support: int, longest: int) -> tuple[DataF
     words = C.written(word_counts(rows), "words")
     totals = words.groupBy("lang").agg(F.sum("a").alias("n"))
     frequent = words.filter(F.col("a") >= support)
-    shorter, maps = bitmap_of(word_keys(frequent)), []
+    shorter, maps = C.bitmap_of(word_keys(frequent)), []
     for k in range(2, longest + 1):
         sent = context.broadcast(shorter)
-        shorter = bitmap_of(locally_frequent(rows, k, sent, -(-support // SHARDS)))
+        shorter = C.bitmap_of(locally_frequent(rows, k, sent, -(-support // SHARDS)))
         sent.unpersist()
         maps.append(shorter)
     phrases = phrase_counts(rows, context.broadcast(maps), longest).filter(F.col("a") >= support)

@@ -178,6 +178,31 @@ def sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+# Bits of a bitmap of hashes: 8 MB, whatever the number of hashes; with very many it fills up and spares less.
+BITS = 26
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """``1 << BITS`` bits, those of the keys (64-bit hashes in a bigint column ``key``) set.
+
+    Bits are combined within the tasks; the driver gets the bits and nothing else.
+    """
+    slot = F.shiftrightunsigned("key", 64 - BITS) + 1
+    chunks = keys.groupBy(F.bitmap_bucket_number(slot).alias("chunk")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    out = np.zeros(1 << (BITS - 3), np.uint8)
+    for chunk in chunks.collect():
+        at = (chunk["chunk"] - 1) * len(chunk["bits"])
+        out[at : at + len(chunk["bits"])] = np.frombuffer(chunk["bits"], np.uint8)
+    return out
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each key (unsigned) is set: always for the bitmap's own, by chance for others."""
+    slot = keys >> U64(64 - BITS)
+    return (bits[(slot >> U64(3)).astype(np.int64)] >> (slot & U64(7)).astype(np.uint8)) & 1 == 1
+
+
 def crc_bucket(column, modulus: int):
     """crc32 of the value written as text, modulo ``modulus`` (the held-out rule)."""
     return F.crc32(column.cast("string")) % modulus

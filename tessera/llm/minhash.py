@@ -222,23 +222,37 @@ def full_sets(docs: DataFrame, classes: DataFrame, text: str) -> DataFrame:
     """(id, members): the full set of each class given (id, least, d1, d2), once, written to the shared folder.
 
     The texts are those under the classes' smallest doc_ids; a set belongs to
-    the class of its digest, however many rows have it. The classes grow with
-    the input, so they are never broadcast.
+    the class of its digest, however many rows have it. A bitmap of those ids,
+    of a fixed size, tells the tasks which texts to look at, so no text is
+    shuffled; the classes grow with the input and are joined.
     """
 
+    def hashed(ids):
+        return C.mix(ids.astype(np.int64).view(U64) * U64(2) + U64(1))
+
+    def keys(batches):
+        for batch in batches:
+            key = hashed(batch.column("least").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    wanted = docs.sparkSession.sparkContext.broadcast(
+        C.bitmap_of(classes.select("least").mapInArrow(keys, "key bigint")))
+
     def run(batches):
-        for batch in C.slices(batches, "text"):
-            sets = shingle_sets(C.texts_of(batch, "text"))
-            d = digests(sets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["d1", "d2", "members"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("least"), F.col(text).alias("text"))
-    chosen = texts.join(classes.select("least").hint("merge"), "least", "left_semi")
-    sets = chosen.select("text").mapInArrow(run, "d1 bigint, d2 bigint, members binary")
-    sets = sets.groupBy("d1", "d2").agg(F.first("members").alias("members"))
-    sets = sets.join(classes.select("d1", "d2", "id").hint("merge"), ["d1", "d2"])
+        for batch in batches:
+            ids = batch.column("doc_id").cast(pa.int64())
+            likely = C.marked(wanted.value, hashed(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False)))
+            batch = batch.filter(pa.array(likely & ids.is_valid().to_numpy(zero_copy_only=False)))
+            for part in C.slices([batch], text):
+                sets = shingle_sets(C.texts_of(part, text))
+                d = digests(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]),
+                     pa.array([s.tobytes() for s in sets], pa.binary())], names=["least", "d1", "d2", "members"])
+
+    sets = docs.select("doc_id", text).mapInArrow(run, "least bigint, d1 bigint, d2 bigint, members binary")
+    sets = sets.join(classes.select("least", "d1", "d2", "id").hint("merge"), ["least", "d1", "d2"])
+    sets = sets.groupBy("id").agg(F.first("members").alias("members"))
     return C.written(sets.select("id", "members"), "sets")
 
 
@@ -276,6 +290,28 @@ def rare_members(sets: DataFrame, most: int = RARE) -> DataFrame:
     return members.join(rare, "member")
 
 
+def pairs_by_size(dense: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``dense`` rows on one key k that their sizes n and common members allow.
+
+    With ``common`` shared members at most, a set of size n has only partners
+    of sizes up to ``common * (100 + p) / p - n``. So a row looks into the size
+    classes between that and p percent of n, and the outliers of a large family,
+    who have no such class, meet nobody.
+    """
+    step = 1.1
+    size_class = lambda n: F.floor(F.log(n) / float(np.log(step))).cast("int")
+    least = F.ceil(F.col("n") * percent / 100)
+    most = F.least(F.floor(F.col("n") * 100 / percent), F.floor(F.col("common") * (100 + percent) / percent) - F.col("n"))
+    # A class more on either side makes up for rounding.
+    looking = dense.withColumn("least", least).withColumn("most", most).filter("most >= least")
+    looking = looking.withColumn("size", F.explode(F.sequence(size_class(F.col("least")) - 1, size_class(F.col("most")) + 1)))
+    other = dense.select("k", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"),
+                         F.col("common").alias("d"), F.col("halves").alias("other_halves"), size_class(F.col("n")).alias("size"))
+    enough = F.least("common", "d") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    different = (F.col("id") < F.col("b")) & (F.col("component") != F.col("c")) & sizes_allow("n", "m", percent)
+    return looking.join(other, ["k", "size"]).filter(different & enough)
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT, halves: int = HALVES,
                     rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, d1, d2, text_sha) of every row.
@@ -308,21 +344,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = PERCENT,
     open_ = C.written(keys.join(mixed.filter("low < high").select("k"), "k"), "open")
     rare = C.written(rare_members(sets.join(open_.select("id").distinct(), "id", "left_semi")), "rare")
 
-    def pairs_on(rows, key):
-        other = rows.select(key, F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"),
-                            F.col("common").alias("d"), F.col("halves").alias("other_halves"))
-        different = (F.col("id") < F.col("b")) & (F.col("component") != F.col("c")) & sizes_allow("n", "m", percent)
-        return rows.join(other, key).filter(different)
-
     # x and y at percent p share p / (100 + p) of both sizes together, and y has at least p percent of x's size.
     common = F.col("n") - F.coalesce("n_rare", F.lit(0))
     n_rare = rare.groupBy("id").agg(F.count("*").alias("n_rare"))
     dense = open_.join(n_rare, "id", "left").withColumn("common", common)
     dense = C.written(dense.filter(F.col("common") * 100 >= F.col("n") * percent), "dense")
-    enough = F.least("common", "d") * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    by_table = pairs_on(dense, "k").filter(enough & first_meeting(halves))
-    facts = open_.select("id", "n", "component", F.lit(0).alias("common"), F.lit(None).alias("halves")).distinct()
-    by_rare = pairs_on(rare.filter("n_sets > 1").select("member", "id").join(facts, "id"), "member")
+    by_table = pairs_by_size(dense, percent).filter(first_meeting(halves))
+    facts = open_.select("id", "n", "component").distinct()
+    met_rare = rare.filter("n_sets > 1").select("member", "id").join(facts, "id")
+    other = met_rare.select("member", F.col("id").alias("b"), F.col("n").alias("m"), F.col("component").alias("c"))
+    by_rare = met_rare.join(other, "member").filter(
+        (F.col("id") < F.col("b")) & (F.col("component") != F.col("c")) & sizes_allow("n", "m", percent))
     across = (by_table.select(F.col("id").alias("a"), "b").unionByName(by_rare.select(F.col("id").alias("a"), "b"))
               .distinct().join(met.select("a", "b"), ["a", "b"], "left_anti"))
     more = C.written(confirmed(C.written(across, "across"), sets, percent), "links")

@@ -380,3 +380,24 @@ def test_empty_tables(docs, spark):
     assert decontaminate.leaks(docs, bench).count() == 0
     assert chat.format_windows(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"),
                                BYTE_BPE).count() == 0
+
+
+def test_minhash_family_of_unlinked_outliers(spark):
+    """Edited copies of one text that are similar to nobody, and two that are similar to each other."""
+    base = [f"w{k}" for k in range(104)]
+    rng = random.Random(9)
+    rows = [(i, _bent(base, rng.randrange(84), 20, f"h{i}")) for i in range(3000)]
+    rows += [(5000, _bent(base, 40, 20, "z")), (5001, _bent(base, 40, 20, "z") + " end")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i for i, _ in rows[:-1]} | {5001: 5000}
+
+
+def test_minhash_pairs_by_size_lose_none(spark):
+    rng = random.Random(3)
+    rows = [(k % 3, i, n, int(n * rng.uniform(0.75, 1)), i % 5, b"x") for i, (k, n) in enumerate(
+        (rng.randrange(3), int(10 ** rng.uniform(0, 3.5))) for _ in range(600))]
+    dense = spark.createDataFrame(rows, "k long, id long, n long, common long, component long, halves binary")
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[4] != b[4]
+            and 100 * min(a[2], b[2]) >= 75 * max(a[2], b[2]) and 175 * min(a[3], b[3]) >= 75 * (a[2] + b[2])}
+    got = [(r.id, r.b) for r in minhash.pairs_by_size(dense, 75).collect()]
+    assert sorted(got) == sorted(want)
