@@ -5,24 +5,35 @@ and every subdomain where the URL's path starts with the rule's path, and is
 run as a regular expression. The literal tokens of a rule are its host labels
 and the whole segments of its path. The rule is filed under the token that is
 rarest in the given URLs, so that a URL's own tokens fetch few candidate rules
-and only those run their expressions. Everything is a row-local SQL
-expression over the scan: no shuffle and no Python.
+and only those run their expressions.
+
+The index is a hash table: an array of buckets, a token's bucket being its hash
+modulo their number. It is a constant of the plan, so looking a token up costs
+the same at any number of rules, and everything is a row-local SQL expression
+over the scan: no shuffle and no Python. Rule lists whose index is larger than
+``index_bytes`` are joined instead: the tokens of the distinct URLs meet the
+rules on the token, and the verdicts go back to the rows on host and path.
 
 Rows: null URLs and URLs without ``://`` have an empty host and path and fit
-no rule (verdict: the default). Repeated rows are judged alike; an empty table
-gives an empty result; all other columns are passed over.
+no rule (verdict: the default). Repeated rows are judged alike; of rules that
+fit equally well (same length, host length, verdict) the one with the larger
+text is named; very long URLs have more tokens and are read whole; an empty
+table gives an empty result, an empty rule list the default everywhere. Of the
+other columns only ``keep`` passes; one called host, path, rule or verdict is
+called ``<name>_kept`` in the result.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The index is part of the plan, so the rule list has to be one that a driver holds.
-MAX_RULES = 20_000
+INDEX_BYTES = 8 << 20
 _SEPARATOR = "\u0001"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -76,48 +87,77 @@ def url_tokens(host: Column, path: Column) -> Column:
 
 def token_counts(urls: DataFrame, rules: list[Rule]) -> dict[str, int]:
     """URLs that have each of the rules' tokens (one row per token of the rule list)."""
-    known = sorted({t for rule in rules for t in rule.tokens})
-    hits = urls.select(F.explode(F.array_intersect("tokens", F.array(*map(F.lit, known)))).alias("token"))
+    known = urls.sparkSession.createDataFrame([(t,) for t in sorted({t for r in rules for t in r.tokens})], "token string")
+    # As long as the rule list, which the driver holds.
+    hits = urls.select(F.explode("tokens").alias("token")).join(F.broadcast(known), "token")
     return {r["token"]: r["n"] for r in hits.groupBy("token").agg(F.count("*").alias("n")).collect()}
 
 
+_RULE = "struct<token:string,length:int,host_length:int,blocks:int,name:string,verdict:string,pattern:string>"
+
+
+def filed(rules: list[Rule], seen: dict[str, int]) -> list[dict]:
+    """The rules, each with the token it is filed under: the one that fewest URLs have."""
+    out = []
+    for rule in sorted(set(rules), key=lambda r: (r.name, r.verdict)):
+        token = min(rule.tokens, key=lambda t: (seen.get(t, 0), t))
+        out.append({"token": token, "length": len(rule.name), "host_length": len(rule.host),
+                    "blocks": int(rule.verdict == "block"), "name": rule.name, "verdict": rule.verdict,
+                    "pattern": rule.pattern})
+    return out
+
+
+def _fits(rule: Column) -> Column:
+    return F.regexp_like(F.concat("host", F.lit(_SEPARATOR), "path"), rule["pattern"])
+
+
+def _rank(rule: Column) -> Column:
+    """Longest first; the name decides only exact ties."""
+    return F.struct(*[rule[c].alias(c) for c in ("length", "host_length", "blocks", "name", "verdict")])
+
+
+def _bucket(token: str, n: int) -> int:
+    return zlib.crc32(token.encode()) % n
+
+
+def looked_up(parsed: DataFrame, entries: list[dict]) -> DataFrame:
+    """``parsed`` with ``best``, the index being a constant of the plan."""
+    n = 1 << max(4, (2 * len(entries)).bit_length())
+    buckets: list[list[dict]] = [[] for _ in range(n)]
+    for e in entries:
+        buckets[_bucket(e["token"], n)].append(e)
+    index = F.from_json(F.lit(json.dumps(buckets)), f"array<array<{_RULE}>>")
+    fetched = F.transform("tokens", lambda t: F.filter(
+        F.get(index, (F.crc32(t) % n).cast("int")), lambda r: (r["token"] == t) & _fits(r)))
+    return parsed.withColumn("best", F.array_max(F.transform(F.flatten(fetched), _rank)))
+
+
+def joined_up(parsed: DataFrame, entries: list[dict]) -> DataFrame:
+    """``parsed`` with ``best``, the rules being a table."""
+    rules = parsed.sparkSession.createDataFrame([tuple(e.values()) for e in entries], _RULE[len("struct<"):-1])
+    urls = parsed.select("host", "path", "tokens").dropDuplicates(["host", "path"])
+    met = urls.withColumn("token", F.explode("tokens")).drop("tokens").join(rules.select("token", F.struct("*").alias("r")), "token")
+    best = met.filter(_fits(F.col("r"))).groupBy("host", "path").agg(F.max(_rank(F.col("r"))).alias("best"))
+    return parsed.join(best, ["host", "path"], "left")
+
+
 def url_verdicts(pages: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url",
-                 keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+                 keep: tuple[str, ...] = ("page_id",), index_bytes: int = INDEX_BYTES) -> DataFrame:
     """``keep`` columns plus host, path, rule (or null) and verdict for every row.
 
     Of the fitting rules the longest wins; at equal length the longer host,
     then block before allow, then the larger text.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules in one call; split the list and combine the verdicts")
-    parsed = pages.select(*[F.col(k) for k in keep], host_of(F.col(url)).alias("host"),
+    own = ("host", "path", "rule", "verdict")
+    kept = [F.col(f"kept.{k}").alias(k + "_kept" * (k.lower() in own)) for k in keep]
+    parsed = pages.select(F.struct(*[F.col(k) for k in keep]).alias("kept"), host_of(F.col(url)).alias("host"),
                           path_of(F.col(url)).alias("path"))
     parsed = parsed.withColumn("tokens", url_tokens(F.col("host"), F.col("path")))
     if not rules:
-        return parsed.select(*keep, "host", "path", F.lit(None).cast("string").alias("rule"),
+        return parsed.select(*kept, "host", "path", F.lit(None).cast("string").alias("rule"),
                              F.lit(default).alias("verdict"))
-    seen = token_counts(parsed, rules)
-    by_token: dict[str, list[Rule]] = {}
-    for rule in sorted(set(rules), key=lambda r: (r.name, r.verdict)):
-        by_token.setdefault(min(rule.tokens, key=lambda t: (seen.get(t, 0), t)), []).append(rule)
-
-    def packed(rule):
-        return F.struct(F.lit(len(rule.name)).alias("length"), F.lit(len(rule.host)).alias("host_length"),
-                        F.lit(int(rule.verdict == "block")).alias("blocks"),
-                        F.lit(rule.name).alias("name"), F.lit(rule.verdict).alias("verdict"),
-                        F.lit(rule.pattern).alias("pattern"))
-
-    entries = [x for token, group in by_token.items()
-               for x in (F.lit(token), F.array(*map(packed, group)))]
-    index = F.create_map(*entries)
-    fetched = F.filter("tokens", lambda t: F.array_contains(F.map_keys(index), t))
-    candidates = F.flatten(F.transform(fetched, lambda t: F.element_at(index, t)))
-    subject = F.concat("host", F.lit(_SEPARATOR), "path")
-    fitting = F.filter(candidates, lambda r: F.regexp_like(subject, r["pattern"]))
-    # array_max on (length, host length, blocks): the name decides only exact ties.
-    best = F.array_max(F.transform(fitting, lambda r: F.struct(
-        r["length"].alias("length"), r["host_length"].alias("host_length"), r["blocks"].alias("blocks"),
-        r["name"].alias("name"), r["verdict"].alias("verdict"))))
-    judged = parsed.withColumn("best", best)
-    return judged.select(*keep, "host", "path", F.col("best.name").alias("rule"),
+    entries = filed(rules, token_counts(parsed, rules))
+    size = sum(len(e["token"]) + len(e["name"]) + len(e["pattern"]) + 100 for e in entries)
+    judged = looked_up(parsed, entries) if size <= index_bytes else joined_up(parsed, entries)
+    return judged.select(*kept, "host", "path", F.col("best.name").alias("rule"),
                          F.coalesce(F.col("best.verdict"), F.lit(default)).alias("verdict"))

@@ -328,18 +328,53 @@ def test_chat_history_gives_way_to_the_first_new_turn(spark):
         assert any(w.n_repeated > 1 for w in windows)
 
 
-def test_url_rules(spark):
+@pytest.mark.parametrize("index_bytes", [1 << 20, 0])
+def test_url_rules(spark, index_bytes):
     rules = [url_filter.parse_rule(*r) for r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "a.b/c+d"))]
     urls = [None, "", "x", "http://NET/", "https://m.example.net/en/1?q#f", "http://example.net/enx", "http://net",
             "ftp://q.a.b/c+d/e", "http://a.b/cd", "http://xnet/", "a://b://net/"]
-    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
-    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_verdicts(pages, rules).collect()}
+    pages = spark.createDataFrame([(i, u, "h", "t") for i, u in enumerate(urls)] + [(3, urls[3], "h", "t")],
+                                  "page_id bigint, url string, host string, tokens string")
+    rows = url_filter.url_verdicts(pages, rules, keep=("page_id", "host"), index_bytes=index_bytes)
+    assert rows.columns == ["page_id", "host_kept", "host", "path", "rule", "verdict"]
+    rows = rows.collect()
+    assert len(rows) == len(urls) + 1 and all(r.host_kept == "h" for r in rows)
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in rows}
     assert got[0] == got[1] == got[2] == ("", "", None, "allow")
     assert got[3] == ("net", "/", "net/", "block")
     assert got[4] == ("m.example.net", "/en/1", "example.net/en/", "allow")
     assert got[5][2:] == ("net/", "block") and got[6] == ("net", "", None, "allow")
     assert got[7][2:] == ("a.b/c+d", "block") and got[8][2:] == got[9][2:] == (None, "allow")
     assert got[10][:2] == ("b:", "//net/")
+    assert url_filter.url_verdicts(pages.limit(0), rules, index_bytes=index_bytes).count() == 0
+    assert url_filter.url_verdicts(pages, []).filter("verdict = 'allow'").count() == len(urls) + 1
+
+
+@pytest.mark.parametrize("index_bytes", [1 << 30, 0])
+def test_ten_thousand_url_rules(spark, index_bytes):
+    rng = random.Random(5)
+    names = [f"n{k}" for k in range(400)]
+    made = {(rng.choice(["block", "allow"]), ".".join(rng.sample(names, rng.randint(1, 3))) + "/" + "/".join(
+        rng.sample(names, rng.randint(0, 2))) + rng.choice(["", "/"])) for _ in range(10_000)}
+    rules = [url_filter.parse_rule(*r) for r in sorted(made)]
+    urls = ["http://" + ".".join(rng.choices(names, k=rng.randint(1, 4))) + "/" + "/".join(
+        rng.choices(names, k=rng.randint(0, 3))) + rng.choice(["", "/x"]) for _ in range(2000)]
+    urls += [f"https://{rng.choice(rules).name}" for _ in range(500)]
+
+    def want(url):
+        host, slash, path = url.split("://")[1].partition("/")
+        path = slash + path
+        labels = host.split(".")
+        fits = [r for k in range(len(labels)) for r in by_host.get(".".join(labels[k:]), ()) if path.startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.name), len(r.host), r.verdict == "block", r.name), default=None)
+        return (best.name, best.verdict) if best else (None, "allow")
+
+    by_host = defaultdict(list)
+    for r in rules:
+        by_host[r.host].append(r)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_verdicts(pages, rules, index_bytes=index_bytes).collect()}
+    assert got == {i: want(u) for i, u in enumerate(urls)}
 
 
 def test_classifiers_learn_and_score_every_row(spark, docs, rows):
