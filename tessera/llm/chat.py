@@ -12,15 +12,17 @@ roles) the control strings ``### `` and ``</turn>`` and the backslash itself
 get a backslash in front (in roles the colon too), which ``unescape`` undoes
 exactly, whatever the text.
 
-Scale: rows are dealt by (conversation, block of turn numbers), so that a very
-long conversation is spread over tasks; the last turns of a block travel to the
-next as its history, and the system turn to all blocks. Inside a task rows
-stream in order and only the open window is held.
+Scale: a conversation of more than ``block_turns`` rows is dealt in blocks of
+about as many, by the rank of its turns; a window never spans two blocks. The
+last rows before a block travel with it as its history, and the system turn to
+all blocks. Only they are tokenised twice. Inside a task rows stream in order
+and only the open window is held.
 
 Rows: null texts and roles are empty; a null conv_id is a conversation of its
 own; null turn numbers come first; turns with equal numbers are ordered by role
-and text; repeated rows are turns like any other; an empty table gives no
-windows; extra columns are ignored. History gives way to a window's first new
+and text and stay in one block; repeated rows are turns like any other; very
+long texts are tokenised whole; an empty table gives no windows; extra columns
+are ignored, whatever their names. History gives way to a window's first new
 turn, from the oldest. A turn that exceeds the budget together with the system
 turn is a window's only new turn, without history, and is kept whole.
 """
@@ -34,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -160,46 +162,60 @@ def _groups(batches, keys: list[str]):
             pass
 
 
+# Rows of a table that every task may get; with more of them the table is joined by a shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def places_of(turns: DataFrame, block_turns: int) -> DataFrame:
+    """(conv_id, coarse, block, last) of the conversations with more than ``block_turns`` rows.
+
+    ``coarse`` stretches of turn numbers are put into blocks by the number of
+    rows before them; ``last`` is the conversation's last block.
+    """
+    n = turns.groupBy("conv_id", "coarse").agg(F.count("*").alias("n"))
+    conv = Window.partitionBy("conv_id")
+    before = F.sum("n").over(conv.orderBy("coarse").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.withColumn("start", F.coalesce(before, F.lit(0))).withColumn("rows", F.sum("n").over(conv))
+    n = n.filter(F.col("rows") > block_turns)
+    block = F.dense_rank().over(conv.orderBy(F.floor(F.col("start") / block_turns))) - 1
+    n = n.withColumn("block", block.cast("bigint")).withColumn("last", F.max("block").over(conv))
+    return C.written(n.select(F.col("conv_id").alias("long_id"), F.col("coarse").alias("at"), "block", "last"), "places")
+
+
 def format_windows(turns: DataFrame, tokenizer: str, rules: WindowRules = WindowRules()) -> DataFrame:
     """(conv_id, block, window, n_repeated, n_new, n_tokens, formatted, loss_spans) of all conversations."""
 
     def count(batches):
         for batch in C.slices(batches, "text"):
-            roles, texts = (C.texts_of(batch, c).to_pylist() for c in ("role", "text"))
+            roles, texts = (batch.column(c).to_pylist() for c in ("role", "text"))
             formatted = pa.array([format_turn(r, t)[0] for r, t in zip(roles, texts)], pa.string())
             _, bounds = encoder(tokenizer).encode(formatted)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("conv_id").cast(pa.int64()), batch.column("turn").cast(pa.int64()),
-                 pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(np.diff(bounds))],
-                names=["conv_id", "turn", "role", "text", "n_tokens"])
-
-    schema = "conv_id bigint, turn bigint, role string, text string, n_tokens bigint"
-    rows = turns.select("conv_id", "turn", "role", "text").mapInArrow(count, schema)
-    block = F.coalesce(F.floor(F.col("turn") / rules.block_turns), F.lit(-(1 << 60))).cast("bigint")
-    narrow = turns.select("conv_id", F.col("turn").cast("bigint").alias("turn"))
-    extent = narrow.withColumn("block", block).groupBy("conv_id").agg(
-        F.min("block").alias("first_block"), F.max("block").alias("last_block"),
-        F.min("turn").alias("first_turn"), F.max(F.col("turn").isNull()).alias("no_number"))
-    own = rows.withColumn("block", block).withColumn("kind", F.lit(2))
-    # Conversations of several blocks: their later blocks get the system turn and the turns just before.
-    long = extent.filter("first_block < last_block")
-    long = long.withColumnRenamed("conv_id", "long_id")
-    blocks = (narrow.withColumn("block", block).join(long, F.col("conv_id").eqNullSafe(F.col("long_id")))
-              .filter("block > first_block").select("long_id", "block").distinct())
-    starts = (own.filter(F.col("role") == "system").drop("block", "kind")
-              .join(long, F.col("conv_id").eqNullSafe(F.col("long_id")))
-              .filter(F.when(F.col("no_number"), F.col("turn").isNull()).otherwise(F.col("turn") == F.col("first_turn"))))
-    starts = (starts.groupBy("long_id").agg(F.min(F.struct("role", "text", "turn", "n_tokens")).alias("s"))
-              .select(F.col("long_id").alias("id"), "s.*"))
-    system = (starts.join(blocks, F.col("id").eqNullSafe(F.col("long_id")))
-              .select(F.col("id").alias("conv_id"), "turn", "role", "text", "n_tokens", "block", F.lit(0).alias("kind")))
-    tail = own.filter(F.pmod(F.col("turn"), F.lit(rules.block_turns)) >= rules.block_turns - rules.history_turns)
-    history = (tail.withColumn("block", F.col("block") + 1).withColumn("kind", F.lit(1))
-               .join(blocks.withColumnRenamed("block", "to"),
-                     F.col("conv_id").eqNullSafe(F.col("long_id")) & (F.col("block") == F.col("to")))
-               .select(*own.columns))
-    dealt = (own.unionByName(system).unionByName(history)
-             .repartition(C.partitions(turns.sparkSession), "conv_id", "block")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.diff(bounds))], names=[*batch.schema.names, "n_tokens"])
+
+    turn = F.col("turn").cast("bigint")
+    coarse = F.coalesce(F.floor(turn / rules.block_turns), F.lit(-(1 << 60))).cast("bigint")
+    raw = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), turn.alias("turn"),
+                       F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+                       coarse.alias("coarse"))
+    places = places_of(raw, rules.block_turns)
+    if places.count() <= BROADCAST_ROWS:
+        places = F.broadcast(places)
+    placed = raw.join(places, F.col("conv_id").eqNullSafe(F.col("long_id")) & (F.col("coarse") == F.col("at")), "left")
+    columns = ["conv_id", "turn", "role", "text"]
+    own = placed.select(*columns, F.coalesce("block", F.lit(0)).cast("bigint").alias("block"), F.lit(2).alias("kind"))
+    # What later blocks are told: the rows before them, and the system turn that opens the conversation.
+    long = placed.filter("last > 0")
+    latest = Window.partitionBy("conv_id", "block").orderBy(F.desc("turn"), F.desc("role"), F.desc("text"))
+    tails = long.withColumn("nth", F.row_number().over(latest)).filter(F.col("nth") <= rules.history_turns)
+    tails = tails.withColumn("to", F.explode(F.sequence(F.col("block") + 1, F.col("block") + max(1, rules.history_turns))))
+    tails = tails.filter("to <= last").select(*columns, F.col("to").alias("block"), F.lit(1).alias("kind"))
+    first = long.filter("block = 0").groupBy("conv_id").agg(
+        F.min(F.struct("turn", "role", "text")).alias("s"), F.max("last").alias("last")).filter("s.role = 'system'")
+    system = first.select("conv_id", "s.turn", "s.role", "s.text", F.explode(F.sequence(F.lit(1).cast("bigint"), "last")).alias("block"),
+                          F.lit(0).alias("kind"))
+    schema = "conv_id bigint, turn bigint, role string, text string, block bigint, kind int, n_tokens bigint"
+    counted = own.unionByName(tails).unionByName(system).mapInArrow(count, schema)
+    dealt = (counted.repartition(C.partitions(turns.sparkSession), "conv_id", "block")
              .sortWithinPartitions("conv_id", "block", "kind", "turn", "role", "text"))
 
     def make(batches):

@@ -328,6 +328,78 @@ def test_chat_history_gives_way_to_the_first_new_turn(spark):
         assert any(w.n_repeated > 1 for w in windows)
 
 
+def _plain_windows(turns, rules, count):
+    """(tokens, repeated, new, formatted, loss spans) of one conversation's windows; turns are (role, text) in order."""
+    system = turns[0] if turns[0][0] == "system" else None
+    out, i = [], 0
+    while i < len(turns):
+        start = [system] if system and i else []
+        history = []
+        for t in reversed(turns[max(i - rules.history_turns, 1 if system else 0) : i]):
+            if sum(count(*h) for h in [t, *history]) > rules.history_tokens:
+                break
+            history.insert(0, t)
+        while history and sum(count(*h) for h in [*start, *history, turns[i]]) > rules.budget:
+            history.pop(0)
+        k = i + 1
+        while k < len(turns) and sum(count(*t) for t in [*start, *history, *turns[i : k + 1]]) <= rules.budget:
+            k += 1
+        repeated, new = [*start, *history], turns[i:k]
+        text, spans = "", []
+        for j, (role, t) in enumerate(repeated + new):
+            piece, head = chat.format_turn(role, t)
+            if j >= len(repeated) and role == "assistant":
+                spans.append((len(text) + head, len(text) + len(piece) - len("</turn>\n")))
+            text += piece
+        out.append((sum(count(*t) for t in repeated + new), len(repeated), len(new), text, spans))
+        i = k
+    return out
+
+
+@pytest.mark.parametrize("budget", [1_000_000, 70])
+def test_chat_windows_equal_the_plain_version(spark, budget):
+    rng = random.Random(12)
+    library = Tokenizer.from_file(BYTE_BPE)
+
+    def count(role, text):
+        return len(library.encode(chat.format_turn(role, text)[0], add_special_tokens=False).ids)
+
+    numbers = {1: range(1020, 1030), 2: [1014, 1030], 3: [rng.randrange(10**12) for _ in range(60)], 4: range(300), 5: [7]}
+    turns = []
+    for c, at in numbers.items():
+        for k, t in enumerate(sorted(set(at))):
+            role = "system" if k == 0 and c % 2 else ("user", "assistant")[k % 2]
+            turns.append((c, t, role, "w " * rng.choice([1, 5, 20, 40]) + "\\### x" * (k % 3 == 0), 9, "z"))
+    df = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, block int, kind string").repartition(4)
+    rules = chat.WindowRules(budget=budget, history_tokens=60)
+    got = defaultdict(list)
+    windows = chat.format_windows(df, BYTE_BPE, rules)
+    for w in sorted(windows.collect(), key=lambda w: (w.conv_id, w.block, w.window)):
+        got[w.conv_id].append((w.n_tokens, w.n_repeated, w.n_new, w.formatted, [tuple(s) for s in w.loss_spans]))
+    for c in numbers:
+        assert got[c] == _plain_windows([r[2:4] for r in turns if r[0] == c], rules, count)
+    chars = {r.conv_id: r.formatted_chars for r in chat.read_back(windows).collect()}
+    assert chars == {c: sum(len(w[3]) for w in ws) for c, ws in got.items()}
+    # In blocks the history still crosses their edges, whatever the numbers, and every turn is new once.
+    few = chat.WindowRules(budget=budget, history_tokens=60, block_turns=8)
+    blocks = chat.format_windows(df, BYTE_BPE, few).collect()
+    assert sum(w.n_new for w in blocks) == len(turns)
+    by_conv = defaultdict(list)
+    for w in sorted(blocks, key=lambda w: (w.conv_id, w.block, w.window)):
+        by_conv[w.conv_id].append(w)
+    for c, ws in by_conv.items():
+        texts = [r[2:4] for r in turns if r[0] == c]
+        seen = 0
+        for w in ws:
+            parsed = chat.parse_turns(w.formatted)
+            assert parsed[w.n_repeated :] == texts[seen : seen + w.n_new]
+            history = parsed[c % 2 if seen else 0 : w.n_repeated]
+            assert history == texts[seen - len(history) : seen]
+            if seen and budget > 100 and count(*texts[seen - 1]) <= 60 and (seen > 1 or c % 2 == 0):
+                assert history
+            seen += w.n_new
+
+
 @pytest.mark.parametrize("index_bytes", [1 << 20, 0])
 def test_url_rules(spark, index_bytes):
     rules = [url_filter.parse_rule(*r) for r in (("block", "net/"), ("allow", "example.net/en/"), ("block", "a.b/c+d"))]
