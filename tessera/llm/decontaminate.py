@@ -3,29 +3,36 @@
 Texts are compared by words (in lower case, without punctuation at the ends;
 words of punctuation alone do not count). A spaced seed is a fixed mask over a
 run of words: the words at its ones are hashed, those at its zeros may differ.
-The seeds of every benchmark item are joined with the seeds of every document;
+The seeds of all benchmark items are joined with those of all documents;
 around each hit, document and item are laid over each other along the hit's
 diagonal. If three quarters of the item's words agree there, all of it is the
 overlap; else it is the stretch with the most equal words among those in which
-at least three words in four agree. An
-overlap counts as a leak when it has ``min_words`` equal words or, in short
-items, three fifths of the item's words.
+at least three words in four agree. An overlap counts as a leak when it has
+``min_words`` equal words or, in short items, three fifths of the item's words.
+Of an item all overlaps are given that do not run into a better one.
 
-The benchmark is read in blocks of about ``block_bytes`` of text; a block's
-index travels to the tasks, where the hash join runs next to the words it is
-about, and each block costs one pass over the documents without any shuffle.
-So what is sent has a fixed size and no document is gathered with others.
+1. Items with equal words become one; their seeds are a table, and a bitmap of
+   fixed size of their hashes goes to the tasks.
+2. A task sends, of the documents' seeds, those whose bit is set: one row for a
+   text and hash, with all places. They meet the items' seeds by hash.
+3. The texts that have met an item send their words once; each is read with its
+   candidates in a stream, diagonals are marked before any is looked at, and
+   overlaps are verified.
+4. What was found goes back to the documents by the digest of the text; a bitmap
+   of the digests tells which rows to ask, so clean rows are not shuffled.
 
 Rows: null and empty documents have no leaks; null and empty items, and items
 of fewer than five words, match nothing; an item without item_id is left out;
 items with equal words count once, under their smallest id; repeated documents
-are judged each; of equally good overlaps of an item the first in the text is
-given; columns named in ``keep`` pass through, others are ignored.
+are judged alike, once; of equally good overlaps the first in the text is given;
+very long texts are compared whole; an empty table of documents gives no rows,
+one of items no leaks; columns named in ``keep`` pass through (one called
+``leaks`` as ``leaks_kept``), others are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +47,6 @@ MASKS = ("111111", "1110111", "11011011", "1101010111")
 MIN_ITEM = 5
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’*#%&$|-–—_~+=/\\…"
 LEAK = "array<struct<item_id:bigint,n_equal:int,n_compared:int,word_start:int,word_end:int>>"
-_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("n_equal", pa.int32()), ("n_compared", pa.int32()),
-                             ("word_start", pa.int32()), ("word_end", pa.int32())]))
 
 
 def word_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,72 +79,28 @@ def seed_hashes(values: np.ndarray, bounds: np.ndarray, mask: str) -> tuple[np.n
     return C.mix(hashed[at]), at
 
 
-@dataclass
-class SeedIndex:
-    """The seeds of a block of items, sorted by hash, with a bit table in front."""
-
-    items: list[np.ndarray]
-    ids: list[int]
-    masks: list[str]
-    hashes: list[np.ndarray]
-    owners: list[np.ndarray]
-    places: list[np.ndarray]
-    filters: list[np.ndarray]
-    shift: int
-
-    @staticmethod
-    def build(rows: list[tuple[int, str]]) -> SeedIndex:
-        values, bounds, _ = word_values(pa.array([t for _, t in rows], pa.string()))
-        by_words: dict[bytes, tuple[int, np.ndarray]] = {}
-        for (item, _), a, b in zip(rows, bounds[:-1], bounds[1:]):
-            if b - a >= MIN_ITEM:
-                key = values[a:b].tobytes()
-                held = by_words.get(key)
-                if held is None or item < held[0]:
-                    by_words[key] = (item, values[a:b].copy())
-        chosen = sorted(by_words.values(), key=lambda x: x[0])
-        ids, items = [i for i, _ in chosen], [v for _, v in chosen]
-        lengths = np.array([len(v) for v in items], np.int64)
-        longest = max(map(len, MASKS))
-        # Items shorter than a mask are one seed of all their words.
-        masks = [*MASKS, *("1" * m for m in sorted({int(m) for m in lengths if m < longest}))]
-        flat = np.concatenate(items) if items else np.empty(0, U64)
-        cut = np.concatenate([[0], np.cumsum(lengths)])
-        index = SeedIndex(items, ids, masks, [], [], [], [], 0)
-        n_seeds = max(1024, len(flat) * 16)
-        bits = min(27, max(18, int(n_seeds).bit_length()))
-        index.shift = 64 - bits
-        for k, mask in enumerate(masks):
-            hashed, at = seed_hashes(flat, cut, mask)
-            owner = np.searchsorted(cut, at, side="right") - 1
-            if k >= len(MASKS):
-                right = lengths[owner] == len(mask)
-                hashed, at, owner = hashed[right], at[right], owner[right]
-            order = np.argsort(hashed, kind="stable")
-            hashed, at, owner = hashed[order], at[order], owner[order]
-            table = np.zeros(1 << bits, bool)
-            table[hashed >> U64(index.shift)] = True
-            index.hashes.append(hashed)
-            index.owners.append(owner)
-            index.places.append(at - cut[owner])
-            index.filters.append(table)
-        return index
-
-    def hits(self, values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, diagonal) of the seeds that documents and items share."""
-        found = []
-        for mask, hashes, owner, place, table in zip(self.masks, self.hashes, self.owners, self.places, self.filters):
-            hashed, at = seed_hashes(values, bounds, mask)
-            likely = table[hashed >> U64(self.shift)]
+def all_seeds(values: np.ndarray, bounds: np.ndarray, masks: list[str], bits: np.ndarray | None = None):
+    """(hash, text, places) of every seed hash of each text, once a text; only marked ones if ``bits`` are given."""
+    hashes, places = [], []
+    for mask in masks:
+        hashed, at = seed_hashes(values, bounds, mask)
+        if bits is not None:
+            likely = C.marked(bits, hashed)
             hashed, at = hashed[likely], at[likely]
-            low, high = np.searchsorted(hashes, hashed, "left"), np.searchsorted(hashes, hashed, "right")
-            which = C.ragged(low, high - low)
-            if not len(which):
-                continue
-            start = np.repeat(at, high - low)
-            text = np.searchsorted(bounds, start, side="right") - 1
-            found.append(np.stack([text, owner[which], start - bounds[text] - place[which]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 3), np.int64)
+        hashes.append(hashed)
+        places.append(at)
+    hashed, at = np.concatenate(hashes), np.concatenate(places)
+    text = np.searchsorted(bounds, at, side="right") - 1
+    order = np.lexsort((at, hashed, text))
+    hashed, at, text = hashed[order], at[order], text[order]
+    again = np.zeros(len(at), bool)  # two masks of equal shape
+    again[1:] = (hashed[1:] == hashed[:-1]) & (at[1:] == at[:-1])
+    hashed, at, text = hashed[~again], at[~again], text[~again]
+    head = np.ones(len(at), bool)
+    head[1:] = (hashed[1:] != hashed[:-1]) | (text[1:] != text[:-1])
+    cut = np.append(np.flatnonzero(head), len(at)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(cut), pa.array((at - bounds[text]).astype(np.int32)))
+    return hashed[head], text[head], lists
 
 
 def overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -160,51 +121,199 @@ def overlap(text: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int
     return b - a + 1, diagonal + low + int(at[a]), diagonal + low + int(at[b]) + 1
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-               min_words: int = 10, block_bytes: int = 16 << 20) -> DataFrame:
-    """``keep`` columns plus ``leaks``: the verified overlaps of each document, one per item at most."""
+def merged_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, n, words): the items that can match, those with equal words under their smallest id."""
+
+    def run(batches):
+        for batch in C.slices(batches, "text"):
+            values, bounds, _ = word_values(C.texts_of(batch, "text"))
+            words = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id"), pa.array(np.diff(bounds)), pa.array(words, pa.binary())],
+                names=["item_id", "n", "words"])
+
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(total) // block_bytes))
-    items = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n_blocks)))
-    current = docs.select(*dict.fromkeys([*keep, text]), F.expr(f"CAST(array() AS {LEAK}) AS leaks"))
-    for block in range(n_blocks):
-        # One block at a time reaches the driver: about block_bytes of text.
-        index = SeedIndex.build([(r["item_id"], r["text"]) for r in items.filter(F.col("block") == block).collect()])
-        last = block == n_blocks - 1
-        columns = list(keep) if last else list(dict.fromkeys([*keep, text]))
-        current = current.mapInArrow(_marker(index, text, columns, min_words),
-                                     C.schema_of(docs, columns, f"leaks {LEAK}"))
-        if not last:
-            current = C.written(current, "leaks")
-    return current
-
-
-def _marker(index: SeedIndex, text: str, columns: list[str], min_words: int):
+    items = items.mapInArrow(run, "item_id bigint, n bigint, words binary").filter(F.col("n") >= MIN_ITEM)
+    items = items.groupBy(F.sha2("words", 256).alias("sha")).agg(
+        F.min("item_id").alias("item_id"), F.first("n").alias("n"), F.first("words").alias("words"))
+    return C.written(items.drop("sha"), "items")
+
+
+def item_seeds(items: DataFrame, masks: list[str]) -> DataFrame:
+    """(key, item_id, places): the items' seeds; items shorter than the longest mask have one of all their words too."""
+
+    def run(batches):
+        for batch in C.slices(batches, "words", 1 << 20):
+            words = batch.column("words").to_pylist()
+            bounds = np.cumsum([0, *(len(w) // 8 for w in words)])
+            values = np.frombuffer(b"".join(words), U64)
+            hashed, text, places = all_seeds(values, bounds, masks)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashed.view(np.int64)), batch.column("item_id").take(pa.array(text)), places],
+                names=["key", "item_id", "places"])
+
+    return C.written(items.mapInArrow(run, "key bigint, item_id bigint, places array<int>"), "seeds")
+
+
+def text_digests(texts: pa.Array) -> list[bytes]:
+    """128 bits of each text."""
+    return [hashlib.blake2b(t, digest_size=16).digest() for t in texts.cast(pa.binary()).to_pylist()]
+
+
+def _head(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(d[:8] for d in digests), U64)
+
+
+def _sent(df: DataFrame):
+    """A broadcast bitmap of the digests in column ``sha``."""
+
+    def keys(batches):
+        for batch in batches:
+            key = _head(batch.column("sha").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+
+    return df.sparkSession.sparkContext.broadcast(C.bitmap_of(df.select("sha").mapInArrow(keys, "key bigint")))
+
+
+def candidates(docs: DataFrame, items: DataFrame, text: str) -> DataFrame:
+    """(sha, item_id, hits, words): the items that a text shares a seed with, their words, and where they meet."""
+    short = [r["n"] for r in items.filter(F.col("n") < max(map(len, MASKS))).select("n").distinct().collect()]
+    masks = [*MASKS, *("1" * n for n in sorted(short))]
+    seeds = item_seeds(items, masks)
+    sent = docs.sparkSession.sparkContext.broadcast(C.bitmap_of(seeds.select("key")))
+
+    def run(batches):
+        for batch in C.slices(batches, text):
+            texts = C.texts_of(batch, text)
+            values, bounds, _ = word_values(texts)
+            hashed, of, at = all_seeds(values, bounds, masks, sent.value)
+            met = np.unique(of)
+            digest = dict(zip(met.tolist(), text_digests(texts.take(pa.array(met)))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashed.view(np.int64)), pa.array([digest[t] for t in of.tolist()], pa.binary()), at],
+                names=["key", "sha", "at"])
+
+    hits = docs.select(text).mapInArrow(run, "key bigint, sha binary, at array<int>").dropDuplicates(["key", "sha"])
+    met = hits.join(seeds, "key").groupBy("sha", "item_id").agg(F.collect_list(F.struct("at", "places")).alias("hits"))
+    return C.written(met.join(items.select("item_id", "words"), "item_id"), "candidates")
+
+
+def words_of(docs: DataFrame, wanted, text: str) -> DataFrame:
+    """(sha, words, place) of the texts whose bit is set, each once."""
+
     def run(batches):
         for batch in C.slices(batches, text):
-            values, bounds, place = word_values(C.texts_of(batch, text))
-            leaks = [list(x) for x in batch.column("leaks").to_pylist()]
-            best: dict[tuple[int, int], tuple] = {}
-            for t, i, diagonal in index.hits(values, bounds).tolist():
-                words, item = values[bounds[t] : bounds[t + 1]], index.items[i]
-                equal, start, end = overlap(words, item, diagonal)
-                if equal >= min(min_words, -(-3 * len(item) // 5)):
-                    rank = (-equal, start)
-                    if (t, i) not in best or rank < best[t, i][0]:
-                        at = place[bounds[t] :]
-                        best[t, i] = (rank, {"item_id": index.ids[i], "n_equal": equal, "n_compared": end - start,
-                                             "word_start": int(at[start]), "word_end": int(at[end - 1]) + 1})
-            for (t, _), (_, leak) in sorted(best.items()):
-                leaks[t].append(leak)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in columns), pa.array(leaks, _ARROW)],
-                                             names=[*columns, "leaks"])
-
-    return run
-
-
-def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """One row per document and item that overlap: doc_id, item_id and the overlap."""
-    marked = with_leaks(docs, benchmark, **options)
-    return marked.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+            texts = C.texts_of(batch, text)
+            sha = text_digests(texts)
+            likely = np.flatnonzero(C.marked(wanted.value, _head(sha)))
+            values, bounds, place = word_values(texts.take(pa.array(likely)))
+            pairs = list(zip(bounds[:-1], bounds[1:]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([sha[i] for i in likely], pa.binary()), pa.array([values[a:b].tobytes() for a, b in pairs], pa.binary()),
+                 pa.array([place[a:b].astype(np.int32).tobytes() for a, b in pairs], pa.binary())],
+                names=["sha", "words", "place"])
+
+    rows = docs.select(text).mapInArrow(run, "sha binary, words binary, place binary")
+    return rows.groupBy("sha").agg(F.first("words").alias("words"), F.first("place").alias("place"))
+
+
+def diagonals(hits: list[dict], n_text: int, n_item: int) -> np.ndarray:
+    """The distinct differences of where text and item have a common seed."""
+    found = np.zeros(n_text + n_item, bool)
+    for hit in hits:
+        at, places = np.array(hit["at"]), np.array(hit["places"])
+        few, many = sorted((at, -places), key=len)
+        for k in few.tolist():
+            found[many + (k + n_item)] = True
+    return np.flatnonzero(found) - n_item
+
+
+def disjoint_overlaps(text: np.ndarray, item: np.ndarray, along: np.ndarray, min_words: int) -> list[tuple[int, int, int]]:
+    """(equal words, start, end) of the overlaps that count, in the text's order; none runs into a better one."""
+    need = min(min_words, -(-3 * len(item) // 5))
+    found = (overlap(text, item, d) for d in along.tolist())
+    ranked = sorted((-equal, start, end) for equal, start, end in found if equal >= need)
+    taken = np.zeros(len(text) + 1, bool)
+    out = []
+    for equal, start, end in ranked:
+        if not taken[start:end].any():
+            taken[start:end] = True
+            out.append((-equal, start, end))
+    return sorted(out, key=lambda x: x[1])
+
+
+def verified(met: DataFrame, docs: DataFrame, text: str, min_words: int) -> DataFrame:
+    """(sha, leaks) of the texts with leaks: each text's candidates are read in a stream behind its words."""
+    words = words_of(docs, _sent(met), text)
+    none = F.lit(None)
+    rows = met.select("sha", "item_id", "hits", "words", none.cast("binary").alias("place")).unionByName(
+        words.select("sha", none.cast("bigint").alias("item_id"), none.cast(met.schema["hits"].dataType).alias("hits"),
+                     "words", "place"))
+    # The row without an item comes first.
+    dealt = rows.repartition(C.partitions(docs.sparkSession), "sha").sortWithinPartitions("sha", "item_id")
+
+    def run(batches):
+        sha = values = place = None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                own = np.frombuffer(row["words"], U64)
+                if row["item_id"] is None:
+                    sha, values, place = row["sha"], own, np.frombuffer(row["place"], np.int32)
+                elif row["sha"] == sha:
+                    along = diagonals(row["hits"], len(values), len(own))
+                    for equal, start, end in disjoint_overlaps(values, own, along, min_words):
+                        out.append({"sha": sha, "item_id": row["item_id"], "word_start": int(place[start]), "n_equal": equal,
+                                    "n_compared": end - start, "word_end": int(place[end - 1]) + 1})
+            yield pa.RecordBatch.from_pylist(out, schema=_FOUND)
+
+    found = dealt.mapInArrow(run, "sha binary, item_id bigint, word_start int, n_equal int, n_compared int, word_end int")
+    inside = F.array_sort(F.collect_list(F.struct("item_id", "word_start", "n_equal", "n_compared", "word_end")))
+    leaks = F.transform(inside, lambda x: F.struct(*[x[c].alias(c) for c in (
+        "item_id", "n_equal", "n_compared", "word_start", "word_end")]))
+    return C.written(found.groupBy("sha").agg(leaks.alias("leaks")), "leaks")
+
+
+_FOUND = pa.schema([("sha", pa.binary()), ("item_id", pa.int64()), *((c, pa.int32()) for c in (
+    "word_start", "n_equal", "n_compared", "word_end"))])
+
+
+def _judged(docs: DataFrame, benchmark: DataFrame, text: str, keep: tuple[str, ...], min_words: int):
+    """(kept, sha, likely) of every row, and the leaks by sha: a row without ``likely`` has none."""
+    found = verified(candidates(docs, merged_items(benchmark), text), docs, text, min_words)
+    sent = _sent(found)
+    rows = docs.select(F.struct(*[F.col(k) for k in keep]).alias("kept"), F.col(text).alias("text"))
+
+    def run(batches):
+        for batch in C.slices(batches, "text"):
+            sha = text_digests(C.texts_of(batch, "text"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("kept"), pa.array(sha, pa.binary()), pa.array(C.marked(sent.value, _head(sha)))],
+                names=["kept", "sha", "likely"])
+
+    schema = C.schema_of(rows, ["kept"], "sha binary, likely boolean")
+    return rows.mapInArrow(run, schema), found
+
+
+def _unpacked(keep: tuple[str, ...], own: tuple[str, ...]):
+    return [F.col(f"kept.`{k}`").alias(k + "_kept" * (k.lower() in own)) for k in keep]
+
+
+def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+               min_words: int = 10) -> DataFrame:
+    """``keep`` columns plus ``leaks``: the verified overlaps of each document, by item and place."""
+    rows, found = _judged(docs, benchmark, text, keep, min_words)
+    none = F.expr(f"CAST(array() AS {LEAK})")
+    clean = rows.filter("NOT likely").select("kept", none.alias("leaks"))
+    asked = rows.filter("likely").join(found, "sha", "left").select("kept", F.coalesce("leaks", none).alias("leaks"))
+    return clean.unionByName(asked).select(*_unpacked(keep, ("leaks",)), "leaks")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+          min_words: int = 10) -> DataFrame:
+    """One row per document and overlap: the ``keep`` columns, item_id and the overlap."""
+    rows, found = _judged(docs, benchmark, text, keep, min_words)
+    own = ("item_id", "n_equal", "n_compared", "word_start", "word_end")
+    met = rows.filter("likely").join(found, "sha").select("kept", F.explode("leaks").alias("leak"))
+    return met.select(*_unpacked(keep, own), "leak.*")

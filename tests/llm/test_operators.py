@@ -4,12 +4,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 import public_tokenizers  # noqa: E402
@@ -175,10 +177,52 @@ def test_decontamination(spark, docs):
     texts = [(1, "so " + " ".join(q).upper() + "."), (2, "so, " + " ".join(bent) + " on"), (3, " ".join(q[:12])),
              (4, " ".join(q[:7])), (5, "x " + items[1][1]), (6, None), (7, "")]
     more = spark.createDataFrame(texts, "doc_id bigint, text string")
-    for block_bytes in (1 << 20, 40):
-        got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(more, bench, block_bytes=block_bytes).collect()}
-        assert got == {(1, 1), (2, 1), (3, 1), (5, 2)}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(more, bench).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (5, 2)}
     assert decontaminate.leaks(docs, bench).count() == 0
+    # Every row comes back, repeated ones and ones without a text too, under names that clash.
+    rows = more.unionByName(more).withColumns({"leaks": F.lit(1), "sha": F.lit("s"), "kept": F.lit(2), "item_id": F.lit(3)})
+    marked = decontaminate.with_leaks(rows, bench, keep=("doc_id", "leaks", "sha", "kept", "text")).collect()
+    assert sorted((r.doc_id, len(r.leaks)) for r in marked) == sorted([(i, int(i in (1, 2, 3, 5))) for i, _ in texts] * 2)
+    assert all((r.leaks_kept, r.sha, r.kept) == (1, "s", 2) for r in marked)
+    assert decontaminate.leaks(rows, bench, keep=("item_id", "doc_id")).columns[:2] == ["item_id_kept", "doc_id"]
+    assert decontaminate.with_leaks(rows.limit(0), bench).count() == 0
+    assert decontaminate.with_leaks(rows, bench.limit(0)).filter("size(leaks) = 0").count() == 2 * len(texts)
+
+
+def test_decontamination_gives_every_passage(spark):
+    item = [f"q{k}" for k in range(30)]
+    text = " ".join(["a", *item, "b c", *item[:15], "d", *item[12:], "e"])
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item))], "item_id bigint, text string")
+    got = decontaminate.leaks(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), bench).collect()
+    assert [(r.item_id, r.n_equal, r.word_start, r.word_end) for r in got] == [(7, 30, 1, 31), (7, 15, 33, 48), (7, 18, 49, 67)]
+
+
+def test_decontamination_of_repeated_words(spark):
+    """A long text of one word against an item of the same word: marked diagonals, one answer, soon."""
+    bench = spark.createDataFrame([(1, "same " * 400)], "item_id bigint, text string")
+    doc = spark.createDataFrame([(1, "same " * 20_000), (2, "other " * 50)], "doc_id bigint, text string")
+    start = time.time()
+    got = decontaminate.leaks(doc, bench).collect()
+    assert time.time() - start < 40
+    assert len(got) == 50 and {r.n_equal for r in got} == {400} and {r.doc_id for r in got} == {1}
+
+
+def test_seed_recall():
+    """How often a 20-word passage with words replaced at random shares a seed with the original."""
+    rng = np.random.default_rng(1)
+    recall = {}
+    for share in (0.7, 0.8, 0.9):
+        hit = n = 0
+        while n < 2000:
+            equal = rng.random(20) < share
+            if equal.sum() < 10 or 4 * equal.sum() < 3 * len(equal):
+                continue
+            n += 1
+            hit += any(all(equal[p + i] for i, c in enumerate(m) if c == "1")
+                       for m in decontaminate.MASKS for p in range(len(equal) - len(m) + 1))
+        recall[share] = hit / n
+    assert recall[0.7] > 0.93 and recall[0.8] > 0.96 and recall[0.9] > 0.99, recall
 
 
 def test_decontamination_takes_the_stretch_with_most_equal_words(spark):
