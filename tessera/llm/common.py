@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import ensure_checkpoint_dir
+
 U64 = np.uint64
 # Freed Arrow buffers go back to the system: workers are reused by many operators.
 pa.set_memory_pool(pa.system_memory_pool())
@@ -25,20 +29,50 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_FOLDER: ContextVar[str] = ContextVar("folder", default="")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
+    """This application's folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    It goes when the application ends. Only a local session without the setting
+    gets a folder of its own; a cluster has to name one.
+    """
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, path: str, at_exit: bool) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(p) if at_exit else fs.delete(p, True)
+
+
+@contextmanager
+def own_folder(spark: SparkSession):
+    """Intermediates written inside go to a folder of their own, which is deleted in the end.
+
+    Whatever is to be kept has to be written (``written(..., outside=True)``) before that.
+    """
+    name = uuid.uuid4().hex
+    token = _FOLDER.set(name)
+    try:
+        yield
+    finally:
+        _FOLDER.reset(token)
+        _delete(spark, f"{shared_folder(spark)}/{name}", at_exit=False)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, outside: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts the lineage: what follows starts from files that every executor can
     read, so a lost executor costs no recomputation of what came before.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessera-{label}-{uuid.uuid4().hex}"
+    top = shared_folder(spark)
+    _delete(spark, top, at_exit=True)
+    within = [] if outside or not _FOLDER.get() else [_FOLDER.get()]
+    path = "/".join([top, *within, f"{label}-{uuid.uuid4().hex}"])
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -142,7 +142,11 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """Every piece with its sequence_id and its offset there; ``with_ids`` keeps the token ids."""
     cut = C.written(pieces(docs, tokenizer, capacity, end_id, text, with_ids), "pieces")
     salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    cut = cut.withColumn("salt", salt)
+    # A piece of full length is a sequence by itself: it needs no place in an order.
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+    whole = cut.filter(F.col("length") == capacity).select(
+        *names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    cut = cut.filter(F.col("length") < capacity).withColumn("salt", salt)
     # At most capacity * SALTS rows, whatever the input.
     sizes = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -166,8 +170,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     ranked = cut.withColumn("in_salt", F.row_number().over(
         Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")))
     ranked = ranked.join(F.broadcast(firsts), ["length", "salt"])
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     ranked = ranked.select(*names, (F.col("first") + F.col("in_salt") - 1).cast("bigint").alias("rank"))
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
     schema += ", ids array<int>" * with_ids + ", sequence_id bigint, offset bigint"
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(place, schema).unionByName(whole)

@@ -14,6 +14,11 @@ URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example
 MAX_TOKENS = 2048
 
 
+def _held_out(modulus: int, remainder: int):
+    """A document without an id is never learnt from."""
+    return F.coalesce(common.crc_bucket(F.col("doc_id"), modulus) == remainder, F.lit(True)).alias("held_out")
+
+
 def op1_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.clean_lines(common.read_table(spark, sf_dir, "documents"))
 
@@ -21,7 +26,7 @@ def op1_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     scores = toxicity.toxicity_scores(docs, toxicity.fit(docs, labels))
-    return scores.select("doc_id", (common.crc_bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "score",
+    return scores.select("doc_id", _held_out(3, 1), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -33,7 +38,7 @@ def op3_spaced_seed_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (common.read_table(spark, sf_dir, t) for t in ("documents", "labels"))
     scores = quality_gam.quality_scores(docs, quality_gam.fit(docs, labels))
-    return scores.select("doc_id", (common.crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+    return scores.select("doc_id", _held_out(5, 0), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
@@ -98,6 +103,56 @@ QUERIES = {f.__name__: f for f in (
     op9_url_rules, op10_prefix_token_counts, op11_personal_data, op12_source_divergence, op13_collocations)}
 
 SQL = {
+    "op1_line_quality_rules": r"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT d, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+windows AS (SELECT d, i, w[i:i + 7] AS g FROM (SELECT d, w, unnest(range(1, len(w) - 6)) AS i FROM words WHERE len(w) > 7)),
+again AS (SELECT d, unnest(list(i)) AS i FROM windows GROUP BY d, g HAVING count(*) > 1),
+cover AS (SELECT d, count(DISTINCT i + k) AS n FROM again, range(0, 8) t(k) GROUP BY d),
+lines AS (SELECT d, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w
+          FROM (SELECT d, unnest(string_split(text, chr(10))) AS line FROM docs)),
+counts AS (
+  SELECT d, line, len(w) AS n, len(regexp_extract_all(line, '[!?]+')) AS exclaims,
+         len(regexp_extract_all(line, '[|»›>]')) AS separators, len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols,
+         len(regexp_extract_all(line, '\p{Lu}')) AS capitals, len(regexp_extract_all(line, '\p{Ll}')) AS small,
+         len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS stutters
+  FROM lines WHERE len(w) > 0),
+judged AS (
+  SELECT *, NOT regexp_matches(line, '[.!?:;…。！？]+["''”’»)\]]*(?:\s|$)')
+    OR (exclaims >= 3 AND 100 * exclaims >= 30 * n) OR (separators >= 2 AND 100 * separators >= 10 * n)
+    OR regexp_matches(line, '(?i){BOILERPLATE}') OR (symbols >= 2 AND 100 * symbols >= 10 * length(line))
+    OR (capitals >= 10 AND 100 * capitals >= 80 * (capitals + small)) OR (stutters >= 3 AND 100 * stutters >= 30 * n) AS fails
+  FROM counts),
+by_line AS (SELECT d, count(*) - count(DISTINCT line) AS n_dup_lines, count_if(fails) AS n_failed_lines,
+                   coalesce(sum(n) FILTER (WHERE fails), 0) AS lost_words FROM judged GROUP BY d),
+base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+         coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(n_failed_lines, 0)::BIGINT AS n_failed_lines,
+         coalesce(lost_words, 0)::BIGINT AS lost_words
+  FROM words LEFT JOIN by_line USING (d) LEFT JOIN cover c USING (d))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost_words <= 50 * n_words AS kept
+FROM base""".replace("{BOILERPLATE}", "|".join(quality_rules.BOILERPLATE)),
+    "op5_tensored_minhash": r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM docs WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
+          WHERE 100 * c >= 75 * (p.n + q.n - c)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS other FROM docs
+  UNION
+  SELECT r.doc_id, l.y FROM reach r JOIN both_ways l ON l.x = r.other)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT JOIN sizes USING (doc_id)""",
     "op9_url_rules": """
 WITH parsed AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -304,7 +304,7 @@ def scored(docs: DataFrame, compute, text: str, keep: tuple[str, ...]) -> DataFr
     def run(batches):
         for batch in C.slices(batches, text):
             score = pa.array(compute(C.texts_of(batch, text)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), score], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), score], names=schema.names)
 
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
 
