@@ -19,13 +19,14 @@ STAGES = [
     ("best_fit_packing", stages.best_fit_packing),
 ]
 
-# The last stages (token ids, byte-level matches across documents) are beyond SQL; tests hold the
-# result against a brute-force version.
+# The last stages (token ids, byte-level matches across documents) are beyond SQL;
+# tests/llm/test_pipeline.py holds every stage and the whole against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.own_folder(spark):  # what only this stage needed goes with it
+            docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}", outside=True)
     return STAGES[-1][1](spark, docs, sf_dir)
