@@ -2,13 +2,19 @@
 
 Inputs are tables a parser emits: data-flow edges
 ``(item, side, ord, name, pos, rel, parents array<string>, parent_pos array<int>)``
-(``ord`` is the order in which the parser emitted the edges of an item's side) and syntax subtrees ``(item, side, subtree, depth)``; ``side`` is ``ref`` or
-``cand``. ``subtrees`` makes the latter from a node table. All steps are joins and aggregates keyed by item (per-item windows
-cover one item's edges only).
+(``ord`` is the order in which the parser emitted the edges of an item's side)
+and syntax subtrees ``(item, side, subtree, depth)``; ``side`` is ``ref`` or
+``cand``. ``subtrees`` makes the latter from a node table.
+All steps are shuffles, windows and aggregates keyed by item.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,47 +27,127 @@ def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame
 
     W11: edges of one position become one, with the parents of all and the name
     and relation of the last by ``ord``. W12: a position without parents that is
-    nobody's parent goes. W8: variables become ``var_0, var_1 ...`` by first
-    appearance in edge order, parents before the edge's own name.
+    nobody's parent goes. W8: variables become numbers by first appearance in
+    edge order, parents before the edge's own name.
 
-    The edges are hash-partitioned by item once; merge (W11), prune (W12),
-    renaming (W8) and counting are then aggregates and windows keyed by item
-    plus more columns, which that partitioning satisfies, so no further
-    exchange is planned until the final one-row total.
+    Spark deals the edges by item and sorts each partition; a task then reads
+    whole items, a batch at a time, as columns, and returns two sums per batch.
+    Only one item's edges have to be in memory together.
     """
     from tessera.operators.textmetrics import _parallelism
     n = partitions or _parallelism(edges)
-    e = edges.repartition(n, "item")
-    # W11 + W12 in one aggregate: every edge row plus one marker row per parent
-    # position it references.
-    own = F.array(F.struct(F.col("pos").alias("p"), F.col("ord").cast("long").alias("o"), F.col("name").alias("nm"),
-                           F.col("rel").alias("rl"), F.col("parents").alias("ps"),
-                           (F.size("parent_pos") > 0).alias("linked")))
-    marks = F.transform("parent_pos", lambda q: F.struct(
-        q.alias("p"), F.lit(None).cast("long").alias("o"), F.lit(None).cast("string").alias("nm"),
-        F.lit(None).cast("string").alias("rl"), F.array().cast("array<string>").alias("ps"),
-        F.lit(True).alias("linked")))
-    rows = e.select(*K, F.inline(F.concat(own, marks)))
-    merged = rows.groupBy(*K, F.col("p").alias("pos")).agg(
-        F.max_by("nm", "o").alias("name"), F.max_by("rl", "o").alias("rel"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ps")))).alias("parents"),
-        F.bool_or("linked").alias("linked"))
-    kept = merged.filter(F.col("name").isNotNull() & F.col("linked"))
-    # First appearance of each name, parents before the edge's own name
-    occ = kept.select(*K, "pos", "rel", F.posexplode(F.concat("parents", F.array("name"))).alias("k", "nm"))
-    first = F.min(F.struct(F.col("pos").cast("long"), F.col("k"))).over(Window.partitionBy(*K, "nm"))
-    occ = occ.withColumn("_f", first)
-    occ = occ.withColumn("_v", F.dense_rank().over(Window.partitionBy(*K).orderBy("_f")) - 1)
-    per_edge = occ.groupBy(*K, "pos").agg(
-        F.first("rel").alias("rel"), F.array_sort(F.collect_list(F.struct("k", "_v"))).alias("v"))
-    names = F.transform("v", lambda x: F.concat(F.lit("var_"), x["_v"].cast("string")))
-    norm = F.concat_ws("|", F.element_at(names, -1), F.col("rel"),
-                       F.array_join(F.slice(names, 1, F.size(names) - 1), ","))
-    cnt = per_edge.select("item", "side", norm.alias("norm")).groupBy("item", "norm").agg(
-        F.count_if(F.col("side") == "ref").alias("r"), F.count_if(F.col("side") == "cand").alias("c"))
-    tot = cnt.agg(F.sum(F.least("r", "c")).alias("m"), F.sum("r").alias("t"))
+    e = edges.select("item", F.col("side") == "ref", "pos", "name", "rel", "parents", "parent_pos", "ord")
+    e = e.toDF(*_EDGE, "ord").repartition(n, "item").sortWithinPartitions("item", "ref", "pos", "ord").select(*_EDGE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in _whole_items(batches):
+            matched, total = _match_batch(whole)
+            yield pa.RecordBatch.from_arrays([pa.array([matched]), pa.array([total])], names=["m", "t"])
+
+    tot = e.mapInArrow(run, "m long, t long").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"),
+                                                  F.coalesce(F.sum("t"), F.lit(0)).alias("t"))
     return tot.select(F.when(F.col("t") > 0, F.col("m") / F.col("t")).otherwise(F.lit(0.0)).alias("dataflow_match"),
-                      F.col("m").cast("long").alias("matched"), F.col("t").cast("long").alias("total"))
+                      F.col("m").alias("matched"), F.col("t").alias("total"))
+
+
+_EDGE = ("item", "ref", "pos", "name", "rel", "parents", "parent_pos")
+
+
+def _whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows sorted by item, cut between items."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        item = batch.column("item")
+        last = pc.not_equal(item, item[-1]).to_numpy(zero_copy_only=False)
+        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        if held and (cut or held[0].column("item")[0] != item[0]):
+            ended = cut if held[0].column("item")[0] == item[0] else 0
+            first = int(np.argmax(pc.not_equal(item, item[0]).to_numpy(zero_copy_only=False))) if ended else 0
+            yield pa.concat_batches([*held, batch.slice(0, first)]) if first else pa.concat_batches(held)
+            held = []
+            if cut > first:
+                yield batch.slice(first, cut - first)
+        elif cut:
+            yield batch.slice(0, cut)
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _codes(values: pa.Array) -> tuple[np.ndarray, int]:
+    """Numbers of strings in their (UTF-8) order, -1 for null, and how many there are."""
+    encoded = values.dictionary_encode()
+    size = len(encoded.dictionary)
+    rank = pc.rank(encoded.dictionary, tiebreaker="dense").to_numpy().astype(np.int64) - 1 if size else np.empty(0, np.int64)
+    codes = encoded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.where(codes >= 0, rank[np.maximum(codes, 0)] if size else -1, -1), size
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
+
+def _match_batch(batch: pa.RecordBatch) -> tuple[int, int]:
+    """(matched, reference edges) of whole items, their edges sorted by side, position and order."""
+    item = np.cumsum(_starts(batch.column("item").dictionary_encode().indices.to_numpy(zero_copy_only=False))) - 1
+    ref = batch.column("ref").to_numpy(zero_copy_only=False)
+    pos = batch.column("pos").to_numpy(zero_copy_only=False).astype(np.int64)
+    parents, parent_pos = batch.column("parents"), batch.column("parent_pos")
+    names, size = _codes(pa.concat_arrays([batch.column("name"), parents.flatten()]))
+    name, parent = names[: len(pos)], names[len(pos) :]
+    rel, n_rel = _codes(batch.column("rel"))
+    n_parents = pc.fill_null(pc.list_value_length(parents), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    n_links = pc.fill_null(pc.list_value_length(parent_pos), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    side = 2 * item + ref  # one code tree
+    # Rows of one position are an edge; its name and relation are the last row's.
+    head = _starts(side, pos)
+    edge = np.cumsum(head) - 1
+    last = np.append(np.flatnonzero(head)[1:], len(pos)) - 1
+    # An edge stays if it has parents or is one.
+    low, width = int(pos.min(initial=0)), int(pos.max(initial=0) - pos.min(initial=0)) + 1
+    to = pc.fill_null(parent_pos.flatten().cast(pa.int64()), low - 1).to_numpy(zero_copy_only=False) - low
+    here = (to >= 0) & (to < width)
+    links = np.repeat(side, n_links)[here] * width + to[here]
+    linked = np.bincount(edge, n_links, len(last)) > 0
+    linked |= np.isin(side[last] * width + pos[last] - low, links)
+    linked &= name[last] >= 0
+    # The distinct parents in order, then the edge's own name; numbers by first appearance on a side.
+    size = max(size, 1)
+    of = np.unique(np.repeat(edge, n_parents) * size + parent)
+    of = of[linked[of // size]]
+    own = np.flatnonzero(linked)
+    owner = np.concatenate([of // size, own])
+    code = np.concatenate([of % size, name[last[own]]])
+    order = np.argsort(owner, kind="stable")  # a name comes behind its edge's parents
+    owner, code = owner[order], code[order]
+    tree = side[last[owner]]
+    _, first, which = np.unique(tree * size + code, return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(first))
+    lowest = np.full(int(tree.max(initial=0)) + 1, len(first))
+    np.minimum.at(lowest, tree[first], place)
+    variable = place[which] - lowest[tree]
+    # An edge's normal form, numbered: relation and length, then one variable after the other.
+    count = np.bincount(owner, minlength=len(last))[own]
+    begin = np.cumsum(count) - count
+    form = (rel[last[own]] + 1) * (int(count.max(initial=0)) + 1) + count
+    span = int(variable.max(initial=0)) + 2
+    for k in range(int(count.max(initial=0))):
+        has = count > k
+        step = np.zeros(len(own), np.int64)
+        step[has] = variable[begin[has] + k] + 1
+        form = np.unique(form * span + step, return_inverse=True)[1]
+    whose = item[last[own]] * (int(form.max(initial=0)) + 1) + form
+    _, which = np.unique(whose, return_inverse=True)
+    of_ref = ref[last[own]].astype(bool)
+    r, c = (np.bincount(which[x], minlength=len(whose)) for x in (of_ref, ~of_ref))
+    return int(np.minimum(r, c).sum()), int(r.sum())
 
 
 # Fixed primes below 2**31, so that products of two remainders fit 64 bits; a base for each.

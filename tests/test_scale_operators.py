@@ -2,6 +2,7 @@
 
 import random
 import time
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -154,3 +155,48 @@ def test_file_lines_and_inventory(spark):
                                     "project string, cls int, modifiers array<string>, path string")
     got = sorted(tuple(r) for r in cl.inventory(members, df, "project", "cls", "modifiers").collect())
     assert got == [("p", 3, 2, 4), ("q", 1, 1, len(texts[7].splitlines()))]
+
+
+def _plain_dataflow(rows):
+    matched = total = 0
+    items = defaultdict(lambda: defaultdict(list))
+    for r in rows:
+        items[r[0]][r[1]].append(r)
+    for sides in items.values():
+        forms = {}
+        for side, own in sides.items():
+            at, names, out = defaultdict(list), {}, []
+            for r in sorted(own, key=lambda r: (r[2], r[7])):
+                at[r[2]].append(r)
+            parents = {q for r in own for q in r[6]}
+            for p in sorted(at):
+                if (any(r[6] for r in at[p]) or p in parents) and at[p][-1][3] is not None:
+                    order = sorted({x for r in at[p] for x in r[5]}, key=lambda x: x.encode()) + [at[p][-1][3]]
+                    out.append((at[p][-1][4], tuple(names.setdefault(x, len(names)) for x in order)))
+            forms[side] = Counter(out)
+        ref, cand = forms.get("ref", Counter()), forms.get("cand", Counter())
+        matched, total = matched + sum((ref & cand).values()), total + sum(ref.values())
+    return matched, total
+
+
+def test_dataflow_match_equals_the_plain_version(spark):
+    rng = random.Random(2)
+    rows = []
+    for item in range(150):
+        for side in ("ref", "cand"):
+            for o in range(rng.choice([0, 1, 4, 12, 60])):
+                n = rng.choice([0, 0, 1, 2, 3])
+                rows.append((item * 7, side, rng.randint(0, 9), rng.choice(["a", "b", "é", "c", None]), rng.choice("xy"),
+                             rng.choices("abéz", k=n), [rng.randint(0, 12) for _ in range(n)], o))
+    schema = "item long, side string, pos int, name string, rel string, parents array<string>, parent_pos array<int>, ord int"
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    want = _plain_dataflow(rows)
+    for size in (10_000, 3):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = fl.dataflow_match(df).first()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert (got.matched, got.total) == want and 0 < got.matched < got.total
+    none = fl.dataflow_match(df.limit(0)).first()
+    assert (none.dataflow_match, none.matched, none.total) == (0.0, 0, 0)
