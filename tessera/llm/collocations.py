@@ -42,6 +42,7 @@ from . import common as C
 U64 = np.uint64
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 SHARDS = 8
+SLICE = 3 << 19
 _BREAKS, _SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
 
 
@@ -79,7 +80,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(lang, phrase, a) of all single words."""
 
     def counted(batches):
-        for batch in C.slices(batches, "text"):
+        for batch in C.slices(batches, "text", SLICE):
             codes, words, _, lang, langs = tokens_of(batch)
             key, n = np.unique(lang * max(1, len(words)) + codes, return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -105,7 +106,7 @@ def locally_frequent(rows: DataFrame, k: int, shorter, least: int) -> DataFrame:
     def counted(batches):
         shard = TaskContext.get().partitionId() % SHARDS
         bits = shorter.value
-        for batch in C.slices(batches, "text"):
+        for batch in C.slices(batches, "text", SLICE):
             codes, words, joined, lang, langs = tokens_of(batch)
             values, of_lang = word_values(words)[codes], C.hash_words(langs.to_pylist())[lang]
             ok = C.marked(bits, phrase_keys(values, of_lang, k - 1))
@@ -124,7 +125,7 @@ def phrase_counts(rows: DataFrame, maps, longest: int) -> DataFrame:
     """(lang, phrase, a) over all texts of the phrases whose bits are set, told apart by their words."""
 
     def counted(batches):
-        for batch in C.slices(batches, "text"):
+        for batch in C.slices(batches, "text", SLICE):
             codes, words, joined, lang, langs = tokens_of(batch)
             values, of_lang = word_values(words)[codes], C.hash_words(langs.to_pylist())[lang]
             width = max(1, len(words))

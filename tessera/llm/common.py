@@ -130,12 +130,12 @@ def byte_words(texts: pa.Array, separators: bytes, breaks: bytes = b"") -> tuple
     fresh = np.append(True, ~inside)  # whether a word may start at a byte: after another kind or a text's end
     fresh[offsets] = True
     starts = np.flatnonzero(inside & fresh[:-1])
-    cut = np.append(np.cumsum(inside)[starts] - 1, inside.sum()).astype(np.int32)
+    cut = np.append(np.cumsum(inside, dtype=np.int32)[starts] - 1, np.int32(inside.sum()))
     flat = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cut), pa.py_buffer(data[inside]))
     encoded = flat.dictionary_encode()
     codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     bounds = np.searchsorted(starts, offsets)
-    n_breaks = np.cumsum(kinds == 2)[starts] if len(breaks) else np.zeros(len(starts), np.int64)
+    n_breaks = np.cumsum(kinds == 2, dtype=np.int32)[starts] if len(breaks) else np.zeros(len(starts), np.int64)
     joined = np.zeros(len(starts), bool)
     joined[1:] = n_breaks[1:] == n_breaks[:-1]
     joined[bounds[:-1][bounds[:-1] < len(starts)]] = False
