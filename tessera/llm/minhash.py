@@ -30,7 +30,8 @@ Rows: null and empty texts have empty sets and are linked with nothing; a row
 without doc_id is linked with nothing, has no component and is kept; repeated
 rows form one class; several texts under one doc_id are linked by their texts,
 not by the id; ties do not arise, as the smallest id stands for a group; extra
-columns are ignored; an empty table gives no rows.
+columns are ignored, whatever their names; very long texts give large sets, a
+few texts at a time; an empty table gives no rows.
 """
 
 from __future__ import annotations

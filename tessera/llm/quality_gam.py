@@ -7,9 +7,12 @@ feature's table. Then the pairs of features that explain most of the rest get
 a table over both their bins in the same way. A score is the sum of the table
 entries of a text's bins, so scoring is a handful of vectorised additions.
 
-Rows: null and empty texts have all features 0; equal texts get equal scores;
-extra columns are passed over unless named in ``keep``. Without labelled rows
-of both classes every score is the share of label 1 among them (0 without).
+Rows: null and empty texts have all features 0; equal texts get equal scores, so
+ties stay ties; very long texts are read whole, a slice of a batch at a time; a
+row without doc_id is scored and never learnt from; an empty table gives no
+rows; extra columns are passed over unless named in ``keep`` (one called score
+is ``score_kept``). Without labelled rows of both classes every score is the
+share of label 1 among them (0 without).
 """
 
 from __future__ import annotations

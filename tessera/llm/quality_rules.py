@@ -20,7 +20,9 @@ Base rules on the whole text: fewer than ``min_words`` words, or more than
 
 Rows: null and empty texts have no words and are rejected; texts are read
 whole, a slice of a batch at a time; every row is judged by itself, so repeated
-rows get the same verdict, ties do not arise and extra columns are passed over.
+rows get the same verdict and ties do not arise; an empty table gives no rows;
+extra columns are passed over unless named in ``keep`` (one that has the name of
+a result column is called ``<name>_kept``).
 """
 
 from __future__ import annotations

@@ -17,8 +17,10 @@ with the word before. Across words the table is a prefix sum; the closed
 entries inside a word are read off when a cut falls there.
 
 Rows: null and empty texts have no tokens; very long texts and words take time
-in proportion to their length; repeated rows are counted alike; extra columns
-are passed over unless named in ``keep``.
+in proportion to their length; repeated rows are counted alike; a text of
+exactly ``budget`` tokens is within it; an empty table gives no rows; extra
+columns are passed over unless named in ``keep`` (one that has the name of a
+result column is called ``<name>_kept``).
 """
 
 from __future__ import annotations

@@ -14,8 +14,10 @@ second-person word; capitals; punctuation; obfuscated words. Labels, lang,
 source and doc_id are not among them.
 
 Rows: null and empty texts have all features 0 and get the score of such
-texts; equal texts get equal scores; extra columns are passed over unless
-named in ``keep``. Without labelled rows of both classes every score is the
+texts; equal texts get equal scores, so ties stay ties; very long texts are read
+whole, a slice of a batch at a time; a row without doc_id is scored and never
+learnt from; an empty table gives no rows; extra columns are passed over unless
+named in ``keep`` (one called score is ``score_kept``). Without labelled rows of both classes every score is the
 share of label 1 among them (0 without rows).
 """
 
