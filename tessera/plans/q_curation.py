@@ -93,7 +93,7 @@ r4 AS (
     (nt >= 16 AND nt < 512 AND ns >= 64 AND ns < 2048) AS len_ok
   FROM r3),
 reason AS (
-  SELECT *, CASE WHEN NOT shape_ok THEN 'construct' WHEN NOT len_ok THEN 'token_length' END AS reason
+  SELECT *, CASE WHEN NOT shape_ok THEN 'construct' WHEN NOT coalesce(len_ok, false) THEN 'token_length' END AS reason
   FROM r4),
 firsts AS (SELECT min(path) AS fp FROM reason WHERE ne GROUP BY src),
 pre AS (
