@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import ensure_checkpoint_dir
+
 
 def explode_history(df: DataFrame, run: str, history: str = "log_history") -> DataFrame:
     """``log_history array<map<string,double>>`` -> long rows per metric."""
@@ -126,6 +128,7 @@ def early_stop(evals: DataFrame, run: str, step: str, value: str, patience: int
     from a scan over block summaries how many evaluations came before it, their
     minimum and which of them was the last new one, then goes on by itself.
     """
+    ensure_checkpoint_dir(evals.sparkSession)
     w = Window.partitionBy(run, "_b").orderBy("_s")
     before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     x = evals.select(F.col(run), F.col(step).alias("_s"), F.col(value).alias("_v"),

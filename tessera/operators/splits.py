@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.curate import hash_order
+from tessera.session import ensure_checkpoint_dir
 
 BUCKET_HEX = 4  # 16^4 = 65,536 buckets
 WALK_HEX = 3
@@ -77,6 +78,7 @@ def greedy_split(sizes: DataFrame, key: str, size: str, seed: str = "42",
     ``sizes`` has one row per repo; a null size counts as 0. The summary per repo
     is checkpointed, as it is read once for the buckets and once for the result.
     """
+    ensure_checkpoint_dir(sizes.sparkSession)
     h = hash_order(F.col(key), seed)
     repos = sizes.select(h.alias("h"), F.substring(h, 1, WALK_HEX).alias("bucket"), F.col(key).alias("k"),
                          F.coalesce(F.col(size).cast("long"), F.lit(0).cast("long")).alias("n")).checkpoint()
