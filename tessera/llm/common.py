@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -142,7 +143,14 @@ def byte_words(texts: pa.Array, separators: bytes, breaks: bytes = b"") -> tuple
     return codes, encoded.dictionary, bounds, joined
 
 
-def combined(batches: Iterable[pa.RecordBatch], keys: list[str], most: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Let the allocator return freed memory to the system, where it can: workers live on after a task."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def combined(batches: Iterable[pa.RecordBatch], keys: list[str], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Rows of equal ``keys`` summed up (all other columns) as far as ``most`` rows in memory allow."""
     held, n = [], 0
 
@@ -158,11 +166,14 @@ def combined(batches: Iterable[pa.RecordBatch], keys: list[str], most: int = 1 <
         if n >= most:
             table = merged(held)
             held, n = table.to_batches(), table.num_rows
+            give_back()
             if n > most // 2:
                 yield from held
                 held, n = [], 0
     if held:
         yield from merged(held).to_batches(max_chunksize=1 << 16)
+    held.clear()
+    give_back()
 
 
 def encode_flat(flat: pa.Array, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[str]]:
