@@ -5,16 +5,16 @@ Data layout
 Input is a pairs frame with an ``item`` key, a hypothesis text column and one
 or more reference text columns. Everything is computed from one *gram table*
 
-    (item, order, gram, h, refs array<struct<ref_idx, rc>>)
+    (item, order, keyword, h, r0..r{n-1}, grams)
 
-with ``h`` the hypothesis count and ``rc`` each reference's count of the gram.
+with ``h`` the hypothesis count and ``rk`` each reference's count of an n-gram,
+``grams`` the number of the item's n-grams with these counts.
 
 Scale notes
 -----------
-* The pairs are hash-partitioned by ``item`` once (the only shuffle that moves
-  text). Every later aggregate is keyed by ``item`` plus more columns, which
-  that partitioning already satisfies, so n-gram rows are generated and
-  counted inside the partition and never cross the network.
+* The pairs are hash-partitioned and sorted by ``item`` once (the only shuffle
+  that moves text). A task then makes and counts the n-grams of whole items as
+  columns of numbers, some items at a time; they are never rows of Spark's.
 * The corpus totals are a final tiny aggregate over ``order`` (<= 5 rows
   after partial aggregation).
 * Keyword weights (J12) are a set test against a fixed list (~100 tokens).
@@ -22,12 +22,16 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import UNICODE_WS, tokens
+from tessera.operators.batches import dense, numbered, pieces, starts, whole_items
 
 # Java keyword list used for unigram weights (weight 1, else 0.2).
 JAVA_KEYWORDS = (
@@ -134,8 +138,8 @@ def sides_frame(df: DataFrame, item: str, hyp: str, refs: Sequence[str],
                 pattern: str = UNICODE_WS, partitions: int | None = None) -> DataFrame:
     """Tokenised sides ``(item, side, ref_idx, toks)``; ``side`` is ``h`` or ``r``.
 
-    The frame is hash-partitioned by item so every later aggregate keyed by
-    item (and more) runs without another exchange.
+    The frame is hash-partitioned and sorted by item, so the n-grams of an item
+    can be counted where its sides lie.
     """
     parts = [F.struct(F.lit("h").alias("side"), F.lit(0).alias("ref_idx"),
                       tokens(hyp, pattern).alias("toks"))]
@@ -145,7 +149,7 @@ def sides_frame(df: DataFrame, item: str, hyp: str, refs: Sequence[str],
     # An explicit count keeps AQE from coalescing this shuffle into a few large
     # tasks: n-gram generation multiplies each row's work many times over.
     n = partitions or _parallelism(df)
-    base = df.repartition(n, item)
+    base = df.repartition(n, item).sortWithinPartitions(item)
     return base.select(F.col(item).alias("item"), F.inline(F.array(*parts)))
 
 
@@ -172,14 +176,71 @@ def gram_rows(sides: DataFrame, max_order: int = 4) -> DataFrame:
     return x.select("item", "side", "ref_idx", "order", F.explode("grams").alias("gram"))
 
 
-def gram_table(rows: DataFrame, n_refs: int) -> DataFrame:
-    """``(item, order, gram, h, r0..r{n-1})``: hypothesis count and each
-    reference's count, in one hash aggregate (counts are plain longs, so the
-    aggregate stays on the fast fixed-width path and combines map-side)."""
-    side, ref = F.col("side"), F.col("ref_idx")
-    return rows.groupBy("item", "order", "gram").agg(
-        F.count_if(side == "h").alias("h"),
-        *[F.count_if((side == "r") & (ref == k)).alias(f"r{k}") for k in range(n_refs)])
+TOKENS_AT_ONCE = 1 << 18  # a task counts the grams of about as many tokens together
+
+
+def gram_table(sides: DataFrame, n_refs: int, max_order: int = 4, keywords: Sequence[str] = ()) -> DataFrame:
+    """``(item, order, keyword, h, r0..r{n-1}, grams)``: how many of an item's
+    distinct n-grams have these counts, ``h`` in the hypothesis and ``rk`` in
+    each reference; ``keyword`` marks the unigrams among ``keywords``.
+
+    ``sides`` come from ``sides_frame``, item by item, so a task makes and
+    counts the n-grams of whole items as columns of numbers, some items at a
+    time: an n-gram is the pair of the one shorter by a token and its last
+    token, numbered anew at every order. No n-gram leaves the task, and only
+    one item's tokens have to be in memory together.
+    """
+    known, most = pa.array(list(keywords), pa.string()), TOKENS_AT_ONCE
+    counts = ", ".join(f"{c} long" for c in ("h", *(f"r{k}" for k in range(n_refs)), "grams"))
+    item_type = sides.schema["item"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_items(batches):
+            sizes = pc.fill_null(pc.list_value_length(whole.column("toks")), 0).to_numpy(zero_copy_only=False)
+            for some in pieces(whole, sizes, most):
+                yield from _counted(some, n_refs, max_order, known)
+
+    s = sides.select("item", (F.col("side") == "h").alias("of_h"), "ref_idx", "toks")
+    return s.mapInArrow(run, f"item {item_type}, order int, keyword boolean, {counts}")
+
+
+def _counted(batch: pa.RecordBatch, n_refs: int, max_order: int, keywords: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of ``gram_table`` for whole items, a batch for each order."""
+    head = starts(numbered(batch.column("item")))
+    toks = batch.column("toks")
+    size = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    of_h = batch.column("of_h").to_numpy(zero_copy_only=False)
+    column = np.where(of_h, 0, batch.column("ref_idx").to_numpy(zero_copy_only=False) + 1)
+    row = np.repeat(np.arange(len(size)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(row))  # tokens from here to the text's end
+    words = toks.flatten().dictionary_encode()
+    width = max(len(words.dictionary), 1)
+    word, keys = dense((np.cumsum(head) - 1)[row] * width + words.indices.to_numpy(zero_copy_only=False))
+    item = keys // width  # of a class of equal grams
+    keyword = pc.is_in(words.dictionary, keywords.cast(words.dictionary.type)).to_numpy(zero_copy_only=False)[keys % width]
+    width, at, gram, column = max(len(keys), 1), np.arange(len(row)), word, column[row]
+    for order in range(1, max_order + 1):
+        if order > 1:
+            longer = left[at] >= order
+            at = at[longer]
+            gram, keys = dense(gram[longer] * width + word[at + order - 1])
+            item, keyword = item[keys // width], np.zeros(len(keys), bool)
+        if not len(at):
+            return
+        seen = np.bincount(gram * (n_refs + 1) + column[at], minlength=len(item) * (n_refs + 1)).reshape(len(item), -1)
+        form, span = item, int(item.max()) + 1
+        for c in (keyword.astype(np.int64), *seen.T):
+            if span * (int(c.max()) + 1) >= 1 << 62:
+                form, span = dense(form)[0], len(form)
+            form, span = form * (int(c.max()) + 1) + c, span * (int(c.max()) + 1)
+        form, distinct = dense(form)
+        one = np.empty(len(distinct), np.int64)
+        one[form] = np.arange(len(form))  # a class of each form
+        items = batch.column("item").take(pa.array(np.flatnonzero(head)[item[one]]))
+        yield pa.RecordBatch.from_arrays(
+            [items, pa.array(np.full(len(one), order, np.int32)), pa.array(keyword[one]),
+             *[pa.array(c[one]) for c in seen.T], pa.array(np.bincount(form))],
+            names=["item", "order", "keyword", "h", *[f"r{k}" for k in range(n_refs)], "grams"])
 
 
 def ref_cols(n_refs: int) -> list[Column]:
@@ -232,16 +293,15 @@ def item_stats(pairs: DataFrame, item: str, hyp: str, refs: Sequence[str],
     unigrams are weighted by 1 for a keyword, else 0.2. Sums run over all
     references of the item.
 
-    Both inputs of the final join are partitioned by ``item`` already, so the
-    join and all aggregates here run without another exchange.
+    The texts are dealt once; behind ``gram_table`` only a row per item travels.
     """
     orders = range(1, max_order + 1)
     sides = sides_frame(pairs, item, hyp, refs, pattern)
-    gt = gram_table(gram_rows(sides, max_order), len(refs))
-    order, h, counts = F.col("order"), F.col("h"), ref_cols(len(refs))
-    sums = [F.sum(F.when(order == k, clipped(h, counts))).alias(f"m{k}") for k in orders]
+    gt = gram_table(sides, len(refs), max_order, keywords or ())
+    order, h, grams, counts = F.col("order"), F.col("h"), F.col("grams"), ref_cols(len(refs))
+    sums = [F.sum(F.when(order == k, clipped(h, counts) * grams)).alias(f"m{k}") for k in orders]
     if keywords is not None:
-        weight = F.when((order != 1) | F.col("gram").isin(list(keywords)), F.lit(1.0)).otherwise(F.lit(0.2))
+        weight = F.when((order != 1) | F.col("keyword"), F.lit(1.0)).otherwise(F.lit(0.2)) * grams
         shared = _total([F.least(c, h) for c in counts])
         sums += [F.sum(F.when(order == k, shared * weight)).alias(f"n{k}") for k in orders]
         sums += [F.sum(F.when(order == 1, c * weight)).alias(f"w{j}") for j, c in enumerate(counts)]

@@ -34,13 +34,13 @@ def q_xmatch_rate(spark, sf_dir):
 def q_ngram_overlap_by_order(spark, sf_dir):
     v2 = v2_pairs(spark, sf_dir, second_ref=True)
     sides = tm.sides_frame(v2, "idx", "predict", ["label", "ref2"], ASCII_WS)
-    gt = tm.gram_table(tm.gram_rows(sides, 4), 2)
-    refs = tm.ref_cols(2)
+    gt = tm.gram_table(sides, 2, 4)
+    refs, grams = tm.ref_cols(2), F.col("grams")
     return gt.groupBy("order").agg(
-        F.count(F.lit(1)).alias("distinct_grams"),
-        F.sum("h").cast("long").alias("hyp_grams"),
-        F.sum(tm.union_max(refs)).cast("long").alias("ref_union"),
-        F.sum(tm.clipped(F.col("h"), refs)).cast("long").alias("clipped")
+        F.sum(grams).alias("distinct_grams"),
+        F.sum(F.col("h") * grams).cast("long").alias("hyp_grams"),
+        F.sum(tm.union_max(refs) * grams).cast("long").alias("ref_union"),
+        F.sum(tm.clipped(F.col("h"), refs) * grams).cast("long").alias("clipped")
     ).select(F.col("order").cast("long").alias("ord"), "distinct_grams", "hyp_grams",
              "ref_union", "clipped")
 

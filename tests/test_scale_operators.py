@@ -1,11 +1,13 @@
 """Operators whose work is dealt in blocks or levels, against plain walks."""
 
+import itertools
 import random
 import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import classes as cl
@@ -13,6 +15,7 @@ from tessera.operators import flow as fl
 from tessera.operators import projects as pj
 from tessera.operators import runlogs as rl
 from tessera.operators import splits
+from tessera.operators import textmetrics as tm
 from tessera.operators.curate import hash_order
 
 
@@ -200,3 +203,46 @@ def test_dataflow_match_equals_the_plain_version(spark):
         assert (got.matched, got.total) == want and 0 < got.matched < got.total
     none = fl.dataflow_match(df.limit(0)).first()
     assert (none.dataflow_match, none.matched, none.total) == (0.0, 0, 0)
+
+
+def _plain_grams(toks, n):
+    return Counter(tuple(toks[i:i + n]) for i in range(len(toks) - n + 1))
+
+
+def test_gram_table_and_item_stats_equal_the_plain_counts(spark, monkeypatch):
+    rng = random.Random(5)
+    text = lambda: None if rng.random() < 0.1 else " ".join(rng.choices("if x y é ☃ the".split(), k=rng.choice([0, 1, 3, 9, 40])))
+    rows = [(rng.choice([None, *range(40)]), text(), text(), text()) for _ in range(90)]  # items come twice
+    df = spark.createDataFrame(rows, "item long, hyp string, r0 string, r1 string").repartition(3)
+    want = defaultdict(Counter)
+    for item, *texts in rows:
+        for n, (c, t) in itertools.product(range(1, 5), enumerate(texts)):
+            for g, k in _plain_grams((t or "").split(), n).items():
+                want[item, n, g][c] += k
+    table = Counter((i, n, n == 1 and g[0] == "if", *(c[k] for k in range(3))) for (i, n, g), c in want.items())
+    for size, tokens in ((10_000, 1 << 18), (3, 30)):
+        monkeypatch.setattr(tm, "TOKENS_AT_ONCE", tokens)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = Counter()
+            for r in tm.gram_table(tm.sides_frame(df, "item", "hyp", ["r0", "r1"]), 2, 4, ["if"]).collect():
+                got[r[:-1]] += r.grams
+            stats = {r["item"]: r for r in tm.item_stats(df, "item", "hyp", ["r0", "r1"], keywords=["if"]).collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == table
+        assert len(stats) == len({r[0] for r in rows})
+        for item, r in stats.items():
+            if item is None:  # a null item meets no grams
+                continue
+            for n in range(1, 5):
+                own = [(g, c) for (i, k, g), c in want.items() if (i, k) == (item, n)]
+                assert r[f"m{n}"] == sum(min(c[0], max(c[1], c[2])) for _, c in own)
+                weights = [0.2 if n == 1 and g[0] != "if" else 1.0 for g, _ in own]
+                assert r[f"n{n}"] == pytest.approx(sum(w * (min(c[0], c[1]) + min(c[0], c[2])) for w, (_, c) in zip(weights, own)))
+
+
+def test_no_n_gram_is_a_row_of_item_stats(spark):
+    df = spark.createDataFrame([(1, "a b c d", "a b d")], "item int, hyp string, ref string")
+    plan = tm.item_stats(df, "item", "hyp", ["ref"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan and "gram#" not in plan
