@@ -246,3 +246,15 @@ def test_no_n_gram_is_a_row_of_item_stats(spark):
     df = spark.createDataFrame([(1, "a b c d", "a b d")], "item int, hyp string, ref string")
     plan = tm.item_stats(df, "item", "hyp", ["ref"])._jdf.queryExecution().executedPlan().toString()
     assert "Generate explode" not in plan and "gram#" not in plan
+
+
+def test_head_in_file_order_gives_500_rows(spark, tmp):
+    from tessera.operators import predictions as pr
+    from tessera.plans import q_predictions as q
+    spark.range(700).selectExpr("699 - id AS doc_id", "'web' AS source", "'a b' AS text").write.parquet(f"{tmp}/documents.parquet")
+    assert [r.idx for r in q.q_head_in_file_order(spark, tmp).collect()] == list(range(500))
+    assert "LIMIT 500" in q.SQL["head_in_file_order"]
+    df = spark.range(3)
+    assert pr.head_rows(df, "id", 4, short=True).count() == 3
+    with pytest.raises(ValueError):
+        pr.head_rows(df, "id", 4)
