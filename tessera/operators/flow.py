@@ -5,7 +5,8 @@ Inputs are tables a parser emits: data-flow edges
 (``ord`` is the order in which the parser emitted the edges of an item's side)
 and syntax subtrees ``(item, side, subtree, depth)``; ``side`` is ``ref`` or
 ``cand``. ``subtrees`` makes the latter from a node table.
-All steps are shuffles, windows and aggregates keyed by item.
+All steps are shuffles, windows and aggregates keyed by item, or run inside a
+task on whole items.
 """
 
 from __future__ import annotations
@@ -17,11 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from tessera.operators.batches import dense, numbered, pieces, whole_items
+from tessera.operators.batches import starts as _starts
 
 K = ["item", "side"]
 
 
-def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame:
+def dataflow_match(edges: DataFrame, partitions: int | None = None, together: bool = False) -> DataFrame:
     """Matched normalised reference edges (each candidate edge used once)
     over all reference edges; 0 when there are no reference edges.
 
@@ -32,16 +37,21 @@ def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame
 
     Spark deals the edges by item and sorts each partition; a task then reads
     whole items, a batch at a time, as columns, and returns two sums per batch.
-    Only one item's edges have to be in memory together.
+    ``together`` says that each item's edges lie one behind the other in one
+    partition, as they do behind a parser that got its texts dealt by item; then
+    no edge is moved or sorted by Spark. Only one item's edges have to be in
+    memory together.
     """
     from tessera.operators.textmetrics import _parallelism
-    n = partitions or _parallelism(edges)
     e = edges.select("item", F.col("side") == "ref", "pos", "name", "rel", "parents", "parent_pos", "ord")
-    e = e.toDF(*_EDGE, "ord").repartition(n, "item").sortWithinPartitions("item", "ref", "pos", "ord").select(*_EDGE)
+    e = e.toDF(*_EDGE, "ord")
+    if not together:
+        n = partitions or _parallelism(edges)
+        e = e.repartition(n, "item").sortWithinPartitions("item", "ref", "pos", "ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in _whole_items(batches):
-            matched, total = _match_batch(whole)
+        for whole in whole_items(batches):
+            matched, total = _match_batch(_in_order(whole))
             yield pa.RecordBatch.from_arrays([pa.array([matched]), pa.array([total])], names=["m", "t"])
 
     tot = e.mapInArrow(run, "m long, t long").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("m"),
@@ -53,27 +63,14 @@ def dataflow_match(edges: DataFrame, partitions: int | None = None) -> DataFrame
 _EDGE = ("item", "ref", "pos", "name", "rel", "parents", "parent_pos")
 
 
-def _whole_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of rows sorted by item, cut between items."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        item = batch.column("item")
-        last = pc.not_equal(item, item[-1]).to_numpy(zero_copy_only=False)
-        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-        if held and (cut or held[0].column("item")[0] != item[0]):
-            ended = cut if held[0].column("item")[0] == item[0] else 0
-            first = int(np.argmax(pc.not_equal(item, item[0]).to_numpy(zero_copy_only=False))) if ended else 0
-            yield pa.concat_batches([*held, batch.slice(0, first)]) if first else pa.concat_batches(held)
-            held = []
-            if cut > first:
-                yield batch.slice(first, cut - first)
-        elif cut:
-            yield batch.slice(0, cut)
-        held.append(batch.slice(cut))
-    if held:
-        yield pa.concat_batches(held)
+def _in_order(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The edges of whole items by item, side, position and order; mostly they come so."""
+    item = np.cumsum(_starts(numbered(batch.column("item"))))
+    side, pos, order = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ref", "pos", "ord"))
+    rising = order[1:] >= order[:-1]
+    for c in (pos, side, item):
+        rising = (c[1:] > c[:-1]) | ((c[1:] == c[:-1]) & rising)
+    return batch if rising.all() else batch.take(pa.array(np.lexsort((order, pos, side, item))))
 
 
 def _codes(values: pa.Array) -> tuple[np.ndarray, int]:
@@ -85,15 +82,6 @@ def _codes(values: pa.Array) -> tuple[np.ndarray, int]:
     return np.where(codes >= 0, rank[np.maximum(codes, 0)] if size else -1, -1), size
 
 
-def _starts(*columns: np.ndarray) -> np.ndarray:
-    """Whether a row differs from the one before it."""
-    out = np.zeros(len(columns[0]), bool)
-    out[:1] = True
-    for c in columns:
-        out[1:] |= c[1:] != c[:-1]
-    return out
-
-
 def _match_batch(batch: pa.RecordBatch) -> tuple[int, int]:
     """(matched, reference edges) of whole items, their edges sorted by side, position and order."""
     item = np.cumsum(_starts(batch.column("item").dictionary_encode().indices.to_numpy(zero_copy_only=False))) - 1
@@ -218,11 +206,47 @@ def syntax_match(subtrees: DataFrame) -> DataFrame:
                       F.col("m").cast("long").alias("matched"), F.col("t").cast("long").alias("total"))
 
 
-def reaching_definitions(tokens: DataFrame) -> DataFrame:
+def reaching_definitions(tokens: DataFrame, together: bool = False) -> DataFrame:
     """Each use links to the latest earlier definition of the same name.
-    Input ``(item, side, pos, name, is_def)``; adds ``def_pos`` (NULL if none)."""
-    w = Window.partitionBy(*K, "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return tokens.withColumn("def_pos", F.last(F.when(F.col("is_def"), F.col("pos")), ignorenulls=True).over(w))
+    Input ``(item, side, pos, name, is_def)``; adds ``def_pos`` (NULL if none).
+
+    ``together`` says that each item's tokens lie one behind the other in one
+    partition, as they do behind a tokeniser that got its texts dealt by item;
+    then a task links whole items, some at a time, and no token is moved.
+    """
+    if not together:
+        w = Window.partitionBy(*K, "name").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        return tokens.withColumn("def_pos", F.last(F.when(F.col("is_def"), F.col("pos")), ignorenulls=True).over(w))
+    most = TOKENS_AT_ONCE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in whole_items(batches):
+            for some in pieces(whole, np.ones(whole.num_rows, np.int64), most):
+                yield pa.RecordBatch.from_arrays([*some.columns, _definitions(some)], names=[*some.schema.names, "def_pos"])
+
+    return tokens.mapInArrow(run, StructType([*tokens.schema.fields, StructField("def_pos", tokens.schema["pos"].dataType)]))
+
+
+TOKENS_AT_ONCE = 1 << 18  # a task links about as many tokens together
+
+
+def _definitions(batch: pa.RecordBatch) -> pa.Array:
+    """For every token the latest definition of its name before it, on its side of its item."""
+    group = numbered(batch.column("item"))
+    for c in ("side", "name"):
+        code = numbered(batch.column(c))
+        group = dense(group * (int(code.max(initial=0)) + 1) + code)[0]
+    known = pc.is_valid(batch.column("pos")).to_numpy(zero_copy_only=False)
+    pos = pc.fill_null(batch.column("pos"), 0).to_numpy(zero_copy_only=False)
+    is_def = pc.fill_null(batch.column("is_def"), False).to_numpy(zero_copy_only=False) & known
+    order = np.lexsort((pos, known, group))  # null positions first
+    at = np.arange(len(order))
+    last = np.maximum.accumulate(np.where(is_def[order], at, -1))
+    last = np.concatenate([[-1], last[:-1]])  # of the tokens before
+    begin = np.maximum.accumulate(np.where(_starts(group[order]), at, 0))
+    found = np.empty(len(order), np.int64)
+    found[order] = np.where(last >= begin, order[last], -1)
+    return pa.array(pos[found], type=batch.column("pos").type, mask=found < 0)
 
 
 def tag_tokens(html: Column) -> Column:

@@ -17,7 +17,7 @@ def _r(c, name):
 
 
 def q_dataflow_match(spark, sf_dir):
-    d = fl.dataflow_match(v10_repeated_edges(spark, sf_dir))
+    d = fl.dataflow_match(v10_repeated_edges(spark, sf_dir), together=True)
     return d.select(_r(F.col("dataflow_match"), "dataflow_match"), "matched", "total")
 
 
@@ -28,7 +28,7 @@ def q_syntax_match(spark, sf_dir):
 
 def q_reaching_definitions(spark, sf_dir):
     t = v10_edges(spark, sf_dir).select("item", "side", "pos", "name", "is_def")
-    r = fl.reaching_definitions(t)
+    r = fl.reaching_definitions(t, together=True)
     return r.groupBy("item", "side").agg(
         F.count(F.col("def_pos")).alias("linked"),
         F.sum(F.col("pos") - F.col("def_pos")).cast("long").alias("distance"))
@@ -47,7 +47,7 @@ def q_block_comment_strip(spark, sf_dir):
 def q_codebleu(spark, sf_dir):
     st = tm.item_stats(v2_pairs(spark, sf_dir), "idx", "predict", ["label"], 4, ASCII_WS, tm.KEYWORDS["java"])
     syn = fl.syntax_match(fl.subtrees(v9_nodes(spark, sf_dir))).select("syntax_match")
-    dfm = fl.dataflow_match(v10_repeated_edges(spark, sf_dir)).select("dataflow_match")
+    dfm = fl.dataflow_match(v10_repeated_edges(spark, sf_dir), together=True).select("dataflow_match")
     parts = tm.ngram_scores(st).select("ngram_match", "weighted_ngram_match", syn.scalar().alias("syntax_match"),
                                        dfm.scalar().alias("dataflow_match"))
     score = tm.codebleu(*[F.col(c) for c in parts.columns])

@@ -258,3 +258,42 @@ def test_head_in_file_order_gives_500_rows(spark, tmp):
     assert pr.head_rows(df, "id", 4, short=True).count() == 3
     with pytest.raises(ValueError):
         pr.head_rows(df, "id", 4)
+
+
+def test_edges_that_lie_together_are_matched_as_others(spark):
+    rng = random.Random(7)
+    rows = []
+    for item in range(120):
+        own = [(item, side, rng.randint(0, 9), rng.choice(["a", "b", "é", None]), rng.choice("xy"), [rng.choice("abé")] * n,
+                [rng.randint(0, 9)] * n, o) for side in ("ref", "cand") for o in range(rng.choice([0, 1, 5, 30])) for n in (rng.choice([0, 1]),)]
+        rows += rng.sample(own, len(own))
+    schema = "item long, side string, pos int, name string, rel string, parents array<string>, parent_pos array<int>, ord int"
+    df = spark.createDataFrame(rows, schema).coalesce(1)
+    for size in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = fl.dataflow_match(df, together=True)
+            assert tuple(got.first())[1:] == _plain_dataflow(rows)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_definitions_found_in_a_task_are_those_of_the_window(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = []
+    for item in [None, *range(60)]:
+        own = [(item, side, p, rng.choice(["a", "b", "é", None]), rng.choice([True, False, None]))
+               for side in ("ref", "cand") for p in [None, *range(rng.choice([0, 1, 5, 40]))]]
+        rows += rng.sample(own, len(own))
+    df = spark.createDataFrame(rows, "item long, side string, pos int, name string, is_def boolean").coalesce(1)
+    want = sorted(map(repr, fl.reaching_definitions(df).collect()))
+    monkeypatch.setattr(fl, "TOKENS_AT_ONCE", 50)
+    for size in (10_000, 7):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = fl.reaching_definitions(df, together=True)
+            assert sorted(map(repr, got.collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
