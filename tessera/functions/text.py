@@ -20,6 +20,12 @@ def sql_lit(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it or a lambda in
+    it runs (``transform`` over an array of the value binds it)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(col: Column | str, pattern: str = UNICODE_WS) -> Column:
     """``str.split()``: split on whitespace runs, drop empty pieces."""
     c = F.col(col) if isinstance(col, str) else col
@@ -76,7 +82,8 @@ def normalize_source(col: Column | str) -> Column:
     c = F.translate(c, "\n\t", "  ")
     c = F.replace(c, F.lit("{"), F.lit(" { "))
     c = F.replace(c, F.lit("}"), F.lit(" } "))
-    c = F.regexp_replace(c, r"(?U)\s+", " ")
+    # runs of whitespace that are not a single space already
+    c = F.regexp_replace(c, r"(?U)[\s&&[^ ]]\s*+| \s++", " ")
     return F.trim(c)
 
 
