@@ -207,15 +207,16 @@ def v6_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class members: class = order, method n = line rank inside the order."""
     li = table(spark, sf_dir, "lineitem")
     pt = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
-    w = Window.partitionBy("l_orderkey").orderBy(
+    # the window is over the name that the members keep, so later steps by class find them dealt
+    w = Window.partitionBy("class_id").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    j = li.join(pt, li.l_partkey == pt.p_partkey)
+    j = li.join(pt, li.l_partkey == pt.p_partkey).withColumn("class_id", F.col("l_orderkey"))
     n = F.row_number().over(w)
     mods = (F.when(F.col("l_returnflag") == "A", F.array(F.lit("public")))
             .when(F.col("l_returnflag") == "N", F.array(F.lit("public"), F.lit("static")))
             .otherwise(F.array(F.lit("private"))))
     x = j.select(
-        F.col("l_orderkey").alias("class_id"),
+        "class_id",
         n.cast("long").alias("n"),
         F.col("l_quantity"), F.col("l_linenumber"),
         mods.alias("modifiers"),

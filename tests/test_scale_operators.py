@@ -297,3 +297,46 @@ def test_definitions_found_in_a_task_are_those_of_the_window(spark, monkeypatch)
         finally:
             spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_own_fields_are_those_of_the_join(spark):
+    rows = [(c, n, d) for c in (None, 1, 2, 3) for n, d in ((2, "b" if c != 3 else None), (1, "a" if c == 1 else None), (3, None))]
+    m = spark.createDataFrame(rows, "cls long, n long, d string")
+    want = cl.with_fields(m, m.filter("d IS NOT NULL"), "cls", "d", "n").select("cls", "n", "fields")
+    got = cl.with_fields(m, None, "cls", "d", "n").select("cls", "n", "fields")
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_are_dealt_once(spark, tmp):
+    from tessera.plans import q_classes as q
+    spark.sql("SELECT id AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, 1.0D AS l_quantity, 1.0D AS l_extendedprice,"
+              " 'A' AS l_returnflag, 'F' AS l_linestatus, DATE'2020-01-01' AS l_shipdate FROM range(9)").write.parquet(f"{tmp}/lineitem.parquet")
+    spark.sql("SELECT id AS p_partkey, 'n' AS p_name, 'b' AS p_brand, 't' AS p_type FROM range(9)").write.parquet(f"{tmp}/part.parquet")
+    got = q.q_sibling_signatures(spark, tmp)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert [r.n_siblings for r in got.collect()] == [0] * 9
+
+
+def test_long_lines_and_texts_take_linear_time(spark):
+    """Each of these took a step per n-gram, line or branch over the whole input before."""
+    from tessera.operators import predictions as pr
+    df = spark.createDataFrame([(["x"] * 20_000, "\n".join(["  public void t() {"] + ["    a;"] * 20_000))], "t array<string>, s string")
+    t0 = time.time()
+    got = df.select(F.size(tm.ngram_array(tm.pad_sequence(F.col("t"), 2, "<s>", "</s>"), 2)).alias("g"),
+                    F.length(pr.line_span(F.col("s"), F.lit(1), F.lit(20_001))).alias("s")).first()
+    assert (got.g, got.s) == (20_001, len("public void t() {") + 20_000 * 5)
+    assert time.time() - t0 < 20
+
+
+def test_class_text_steps_on_odd_texts(spark):
+    from tessera.operators import predictions as pr
+    df = spark.createDataFrame([("a{b}}x",), ("}{",), ("",), (None,), ("M }{ { M{x{y}z}w}",), ("a;b;c",), ("a\n\nb\n",)], "s string")
+    imports = F.array(F.lit("org.junit.Test"))
+    rows = df.select(pr.matching_close("s", "M"), pr.repair_truncated("s"), pr.test_class(F.lit("p"), imports, F.lit("C"), F.col("s"), ()),
+                     pr.line_span(F.col("s"), F.lit(1), F.lit(0))).collect()
+    assert [r[0] for r in rows] == [None, None, None, None, 16, None, None]
+    assert [r[1] for r in rows] == ["a{b}}x}", "}{}", "}", None, "M }{ { M{x{y}z}w}", "a;b;}", "a\n\nb\n}"]
+    head = "package p;\n\n\nimport p.*;\n\npublic class C extends TestCase {\n"
+    assert [r[2] for r in rows] == [s if s is None else head + "".join(f"    {x}\n" for x in s.split("\n")) + "}\n" for (s,) in df.collect()]
+    assert [r[3] for r in rows] == ["", "", "", None, "", "", ""]
