@@ -6,6 +6,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def dealt(df: DataFrame, item: str, partitions: int) -> DataFrame:
+    """The rows of an item in one partition, one behind the other.
+
+    By a digest of the item: behind a join on the item Spark drops a repartition
+    by the same column and may then read the join's sides undealt, as no later
+    step asks for it.
+    """
+    return df.repartition(partitions, F.xxhash64(item)).sortWithinPartitions(item)
 
 
 def numbered(values: pa.Array) -> np.ndarray:

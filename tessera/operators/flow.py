@@ -47,7 +47,7 @@ def dataflow_match(edges: DataFrame, partitions: int | None = None, together: bo
     e = e.toDF(*_EDGE, "ord")
     if not together:
         n = partitions or _parallelism(edges)
-        e = e.repartition(n, "item").sortWithinPartitions("item", "ref", "pos", "ord")
+        e = e.repartition(n, F.xxhash64("item")).sortWithinPartitions("item", "ref", "pos", "ord")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in whole_items(batches):

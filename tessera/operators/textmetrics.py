@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.text import UNICODE_WS, bound, tokens
-from tessera.operators.batches import dense, numbered, pieces, starts, whole_items
+from tessera.operators.batches import dealt, dense, numbered, pieces, starts, whole_items
 
 # Java keyword list used for unigram weights (weight 1, else 0.2).
 JAVA_KEYWORDS = (
@@ -155,7 +155,7 @@ def sides_frame(df: DataFrame, item: str, hyp: str, refs: Sequence[str],
     # An explicit count keeps AQE from coalescing this shuffle into a few large
     # tasks: n-gram generation multiplies each row's work many times over.
     n = partitions or _parallelism(df)
-    base = df.repartition(n, item).sortWithinPartitions(item)
+    base = dealt(df, item, n)
     return base.select(F.col(item).alias("item"), F.inline(F.array(*parts)))
 
 

@@ -247,9 +247,10 @@ def v10_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     parent is the previous token; every third position is a definition. The
     texts are dealt and sorted by item before they become edges, so the edges of
     an item lie together."""
+    from tessera.operators.batches import dealt
     from tessera.operators.textmetrics import _parallelism
     v2 = v2_pairs(spark, sf_dir).select("idx", "label", "predict")
-    v2 = v2.repartition(_parallelism(v2), "idx").sortWithinPartitions("idx")
+    v2 = dealt(v2, "idx", _parallelism(v2))
     sides = v2.select(F.col("idx").alias("item"), F.inline(F.array(
         F.struct(F.lit("ref").alias("side"), ws_tokens("label").alias("t")),
         F.struct(F.lit("cand").alias("side"), ws_tokens("predict").alias("t")))))

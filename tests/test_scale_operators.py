@@ -340,3 +340,18 @@ def test_class_text_steps_on_odd_texts(spark):
     head = "package p;\n\n\nimport p.*;\n\npublic class C extends TestCase {\n"
     assert [r[2] for r in rows] == [s if s is None else head + "".join(f"    {x}\n" for x in s.split("\n")) + "}\n" for (s,) in df.collect()]
     assert [r[3] for r in rows] == ["", "", "", None, "", "", ""]
+
+
+def test_items_that_come_twice_stay_together_behind_a_join(spark, tmp):
+    from tessera.plans import bindings, q_flow, q_metrics
+    rows = [(k % 40, "web", " ".join(random.Random(k).choices("abcdef", k=k % 23))) for k in range(160)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7).write.parquet(f"{tmp}/documents.parquet")
+    for df in (bindings.v10_edges(spark, tmp), q_metrics._stats(spark, tmp, ["label"])):
+        assert "hashpartitioning(xxhash64(" in df._jdf.queryExecution().executedPlan().toString()
+    e = bindings.v10_edges(spark, tmp)
+    parts = e.select("item", F.spark_partition_id().alias("p")).distinct().groupBy("item").count().filter("count > 1")
+    assert parts.count() == 0
+    grams = q_metrics.q_ngram_overlap_by_order(spark, tmp).filter("ord = 1").first()
+    v2 = bindings.v2_pairs(spark, tmp, second_ref=True).collect()
+    distinct = {(r.idx, w) for r in v2 for t in (r.predict, r.label, r.ref2) for w in t.split()}
+    assert grams.distinct_grams == len(distinct)
