@@ -29,6 +29,12 @@ above ``hot_docs`` documents its windows are dealt by their own rank pairs
 instead, so only windows that are really equal meet, and those once per bucket.
 Each phase ends in files in the shared folder.
 
+Disk: the share of ranks that two documents have grows with the table, and with
+it the contexts of phase 2, which take several times the bytes of their text.
+So phase 2 goes over the rank partitions in passes; phase 1 knows how many
+contexts there are, and a pass gets as many as fill ``share`` of the text's
+bytes. The shuffle files of a pass are let go before the next one.
+
 Rows: null and short texts have nothing to remove; a row without doc_id neither
 loses bytes nor makes others lose any; rows with one doc_id do not cut each
 other, whatever their texts; repeated rows give repeated results; texts are
@@ -40,6 +46,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +59,8 @@ U64 = np.uint64
 HALF = 25
 WINDOW = 2 * HALF
 _STRETCH = 1 << 20
+# About the bytes that phase 2 shuffles for a context and for the windows around a hot rank, and a text's bytes per anchor.
+_CONTEXT_BYTES, _HOT_BYTES, _TEXT_BYTES = 28, 400, 14
 _PLACE = U64((1 << 28) - 1)
 _MULTIPLIER = C.odd_constants(1, 25)[0]
 _BYTES = C.mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -160,6 +169,27 @@ def _joined(rows: list[dict], name: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(r[name] for r in rows), dtype)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Integers by their steps, compressed byte by byte: sorted or small ones take a byte or two. Their number comes first."""
+    step = np.diff(values.astype(np.int64), prepend=np.int64(0))
+    planes = ((step << 1) ^ (step >> 63)).view(np.uint8).reshape(-1, 8).T
+    return len(values).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _count(blob: bytes) -> int:
+    return int.from_bytes(blob[:8], "little")
+
+
+def _unpacked(rows: list[dict], name: str) -> np.ndarray:
+    out = [np.empty(0, np.int64)]
+    for r in rows:
+        n = _count(r[name])
+        planes = np.frombuffer(pa.decompress(r[name][8:], 8 * n, "zstd", asbytes=True), np.uint8)
+        step = np.ascontiguousarray(planes.reshape(8, n).T).view(U64).reshape(n)
+        out.append(np.cumsum(((step >> U64(1)) ^ (~(step & U64(1)) + U64(1))).view(np.int64)))
+    return np.concatenate(out)
+
+
 def _dealt(docs: DataFrame, doc_id: str, text: str, n_buckets: int, carried: Column | None = None) -> DataFrame:
     """The rows with their bucket; ``place`` orders them in it."""
     columns = [F.pmod(F.xxhash64(doc_id), F.lit(n_buckets)).cast("int").alias("bucket"), F.lit(1).alias("kind"),
@@ -236,9 +266,11 @@ def _shared_ranks(hot_docs: int):
         for part, own in by_key(batches, "part"):
             rows = [r for b in own for r in b.to_pylist()]
             rank, bucket = _joined(rows, "ranks", np.uint32), _joined(rows, "buckets", np.int32)
+            count = _joined(rows, "counts", np.uint8)
             _, which = np.unique(rank, return_inverse=True)
-            total = np.bincount(which, _joined(rows, "counts", np.uint8))[which]
+            total = np.bincount(which, count)[which]
             shared = total > 1
+            contexts = int(count[shared & (total <= hot_docs)].sum())
             rank, bucket, hot = rank[shared], bucket[shared], total[shared] > hot_docs
             order = np.lexsort((rank, bucket))
             rank, bucket, hot = rank[order], bucket[order], hot[order]
@@ -248,10 +280,13 @@ def _shared_ranks(hot_docs: int):
             out = [(int(bucket[a]), rank[a:b].tobytes(), hot[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
             if out:
                 to, ranks, hots = zip(*out)
+                none = [0] * (len(out) - 1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(to, pa.int32()), pa.array([0] * len(out), pa.int32()),
-                     pa.array([part] * len(out), pa.int32()), pa.array(ranks, pa.binary()), pa.array(hots, pa.binary())],
-                    names=["bucket", "kind", "part", "ranks", "hot"])
+                     pa.array([part] * len(out), pa.int32()), pa.array(ranks, pa.binary()), pa.array(hots, pa.binary()),
+                     pa.array([_TEXT_BYTES * int(count.sum()), *none], pa.int64()),
+                     pa.array([_CONTEXT_BYTES * contexts + _HOT_BYTES * int(hot.sum()), *none], pa.int64())],
+                    names=["bucket", "kind", "part", "ranks", "hot", "text_bytes", "pair_bytes"])
 
     return run
 
@@ -259,8 +294,14 @@ def _shared_ranks(hot_docs: int):
 def _phase_ranks(dealt: DataFrame, n: int, n_parts: int, hot_docs: int) -> DataFrame:
     sent = _matchable(dealt).mapInArrow(_send_ranks(n_parts), "part int, ranks binary, buckets binary, counts binary")
     met = sent.repartition(n, "part").sortWithinPartitions("part")
-    return C.written(met.mapInArrow(_shared_ranks(hot_docs), "bucket int, kind int, part int, ranks binary, hot binary"),
-                     "ranks")
+    return C.written(met.mapInArrow(_shared_ranks(hot_docs), "bucket int, kind int, part int, ranks binary, hot binary, "
+                                                             "text_bytes bigint, pair_bytes bigint"), "ranks")
+
+
+def _passes(shared: DataFrame, n_ranks: int, share: float) -> int:
+    """How many passes phase 2 takes for each to send about ``share`` of the text's bytes, or a rank partition's."""
+    text, pairs = shared.agg(F.sum("text_bytes"), F.sum("pair_bytes")).first()
+    return min(n_ranks, max(1, math.ceil(pairs / (share * text)))) if text else 1
 
 
 # -- phase 2: rank pairs
@@ -363,16 +404,16 @@ def _context_rows(bucket: int, contexts: list, n_parts: int):
     done = doc > owner
     settled = _merged(number[done], start[done], (start + length)[done])
     if len(settled[0]):
-        yield (bucket % n_parts, _SETTLED, bucket, _blob(settled[0], np.int32), b"", _blob(settled[1], np.int64),
-               _blob(settled[2] - settled[1], np.int64), b"", b"")
+        yield (bucket % n_parts, _SETTLED, bucket, _packed(settled[0]), b"", _packed(settled[1]),
+               _packed(settled[2] - settled[1]), b"", b"")
     left = np.flatnonzero(~done)
     left = left[np.argsort(part[left], kind="stable")]
     to = part[left].astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
     for a, b in zip(cuts[:-1], cuts[1:]):
         i = left[a:b]
-        yield (int(to[a]), _CONTEXT, bucket, _blob(number[i], np.int32), _blob(doc[i], np.int64),
-               _blob(start[i], np.int64), _blob(length[i], np.uint8), _blob(anchor[i], np.uint8),
+        yield (int(to[a]), _CONTEXT, bucket, _packed(number[i]), _packed(doc[i]),
+               _packed(start[i]), _blob(length[i], np.uint8), _blob(anchor[i], np.uint8),
                pa.compress(data[C.ragged(at[i], length[i])].tobytes(), "zstd", asbytes=True))
 
 
@@ -384,8 +425,8 @@ def _single_rows(bucket: int, singles: list, n_parts: int):
     done = doc > owner
     settled = _merged(number[done], start[done], start[done] + WINDOW)
     if len(settled[0]):
-        yield (bucket % n_parts, _SETTLED, bucket, _blob(settled[0], np.int32), b"", _blob(settled[1], np.int64),
-               _blob(settled[2] - settled[1], np.int64), b"", b"")
+        yield (bucket % n_parts, _SETTLED, bucket, _packed(settled[0]), b"", _packed(settled[1]),
+               _packed(settled[2] - settled[1]), b"", b"")
     part = (C.mix(one + C.mix(two)) >> U64(33)) % U64(n_parts)
     left = np.flatnonzero(~done)
     left = left[np.argsort(part[left], kind="stable")]
@@ -393,8 +434,8 @@ def _single_rows(bucket: int, singles: list, n_parts: int):
     cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
     for a, b in zip(cuts[:-1], cuts[1:]):
         i = left[a:b]
-        yield (int(to[a]), _SINGLE, bucket, _blob(number[i], np.int32), _blob(doc[i], np.int64),
-               _blob(start[i], np.int64), b"", b"", _blob(one[i], U64) + _blob(two[i], U64))
+        yield (int(to[a]), _SINGLE, bucket, _packed(number[i]), _packed(doc[i]),
+               _packed(start[i]), b"", b"", _blob(one[i], U64) + _blob(two[i], U64))
 
 
 def _least_doc(one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -411,31 +452,29 @@ def _settle_pairs(batches):
     """Windows to remove: (bucket, numbers, starts, ends), from all that met in a rank partition."""
     for _, own in by_key(batches, "part"):
         rows = [r for b in own for r in b.to_pylist()]
-        found = [(r["bucket"], np.frombuffer(r["numbers"], np.int32), np.frombuffer(r["starts"], np.int64),
-                  np.frombuffer(r["starts"], np.int64) + np.frombuffer(r["lengths"], np.int64))
+        found = [(r["bucket"], _unpacked([r], "numbers"), _unpacked([r], "starts"), _unpacked([r], "lengths"))
                  for r in rows if r["kind"] == _SETTLED]
         for kind, settle in ((_CONTEXT, _settle_contexts), (_SINGLE, _settle_singles)):
             some = [r for r in rows if r["kind"] == kind]
             if some:
-                source = np.repeat(np.arange(len(some)), [len(r["numbers"]) // 4 for r in some])
-                number = _joined(some, "numbers", np.int32)
+                source = np.repeat(np.arange(len(some)), [_count(r["numbers"]) for r in some])
+                number = _unpacked(some, "numbers")
                 row, start, end = settle(some)
                 buckets = np.array([r["bucket"] for r in some])[source[row]]
-                order = np.argsort(buckets, kind="stable")
+                order = np.lexsort((start, number[row], buckets))
                 cuts = np.flatnonzero(np.concatenate([[True], np.diff(buckets[order]) != 0, [True]])) if len(row) else []
-                found += [(int(buckets[order[a]]), number[row[order[a:b]]], start[order[a:b]], end[order[a:b]])
+                found += [(int(buckets[order[a]]), number[row[order[a:b]]], start[order[a:b]], (end - start)[order[a:b]])
                           for a, b in zip(cuts[:-1], cuts[1:])]
         if found:
-            buckets, numbers, starts, ends = zip(*found)
+            buckets, *columns = zip(*found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(buckets, pa.int32()), pa.array([0] * len(found), pa.int32()),
-                 *(pa.array([_blob(x, t) for x in c], pa.binary())
-                   for c, t in ((numbers, np.int32), (starts, np.int64), (ends, np.int64)))],
-                names=["bucket", "kind", "numbers", "starts", "ends"])
+                 *(pa.array([_packed(x) for x in c], pa.binary()) for c in columns)],
+                names=["bucket", "kind", "numbers", "starts", "lengths"])
 
 
 def _settle_contexts(rows: list[dict]):
-    doc, start = _joined(rows, "docs", np.int64), _joined(rows, "starts", np.int64)
+    doc, start = _unpacked(rows, "docs"), _unpacked(rows, "starts")
     length = _joined(rows, "lengths", np.uint8).astype(np.int64)
     anchor = _joined(rows, "anchors", np.uint8).astype(np.int64)
     data = np.frombuffer(b"".join(
@@ -481,18 +520,18 @@ def _settle_contexts(rows: list[dict]):
 
 
 def _settle_singles(rows: list[dict]):
-    doc, start = _joined(rows, "docs", np.int64), _joined(rows, "starts", np.int64)
-    one = np.concatenate([np.frombuffer(r["bytes"], U64)[: len(r["docs"]) // 8] for r in rows])
-    two = np.concatenate([np.frombuffer(r["bytes"], U64)[len(r["docs"]) // 8 :] for r in rows])
+    doc, start = _unpacked(rows, "docs"), _unpacked(rows, "starts")
+    one = np.concatenate([np.frombuffer(r["bytes"], U64)[: _count(r["docs"])] for r in rows])
+    two = np.concatenate([np.frombuffer(r["bytes"], U64)[_count(r["docs"]) :] for r in rows])
     row = np.flatnonzero(doc > _least_doc(one, two, doc))
     return row, start[row], start[row] + WINDOW
 
 
 def _phase_pairs(dealt: DataFrame, shared: DataFrame, n: int, n_ranks: int, n_parts: int) -> DataFrame:
-    rows = _matchable(dealt).unionByName(shared, allowMissingColumns=True)
+    rows = _matchable(dealt).unionByName(shared.drop("text_bytes", "pair_bytes"), allowMissingColumns=True)
     sent = _in_buckets(rows, n).mapInArrow(_send_pairs(n_ranks, n_parts), _PAIR_SCHEMA)
     met = sent.repartition(n, "part").sortWithinPartitions("part", "kind", "bucket")
-    return C.written(met.mapInArrow(_settle_pairs, "bucket int, kind int, numbers binary, starts binary, ends binary"),
+    return C.written(met.mapInArrow(_settle_pairs, "bucket int, kind int, numbers binary, starts binary, lengths binary"),
                      "windows")
 
 
@@ -505,13 +544,13 @@ def _cut(batches):
         told, n = [], 0
         for batch in own:
             kind = batch.column("kind").to_numpy(zero_copy_only=False)
-            told += batch.filter(pa.array(kind == 0)).select(["numbers", "starts", "ends"]).to_pylist()
+            told += batch.filter(pa.array(kind == 0)).select(["numbers", "starts", "lengths"]).to_pylist()
             batch = batch.filter(pa.array(kind == 1))
             if not batch.num_rows:
                 continue
             if doc is None:
-                doc, start, end = _merged(_joined(told, "numbers", np.int32).astype(np.int64),
-                                          _joined(told, "starts", np.int64), _joined(told, "ends", np.int64))
+                start = _unpacked(told, "starts")
+                doc, start, end = _merged(_unpacked(told, "numbers"), start, start + _unpacked(told, "lengths"))
             for part in C.slices([batch], "text"):
                 out = {"removed": [], "spans": [], "sha": [], "bytes": [], "left": []}
                 for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
@@ -538,19 +577,23 @@ def _cut(batches):
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-                   keep: tuple[str, ...] = ("doc_id",), hot_docs: int = 4096) -> DataFrame:
+                   keep: tuple[str, ...] = ("doc_id",), hot_docs: int = 4096, share: float = 0.5) -> DataFrame:
     """Per row: ``carried`` (a struct of the ``keep`` columns), n_bytes, n_removed, n_spans, kept_sha256, kept_text.
 
     ``kept_text`` is what is left, without the rests of cut characters; the
     digest is of the bytes left.
     """
     n = C.partitions(docs.sparkSession)
-    n_buckets, n_ranks, n_parts = n, n, 2 * n
+    n_buckets, n_ranks = n, max(n, 64)
     dealt = _dealt(docs, doc_id, text, n_buckets)
     shared = _phase_ranks(dealt, n, n_ranks, hot_docs)
     _release(shared)
-    windows = _phase_pairs(dealt, shared, n, n_ranks, n_parts)
-    _release(windows)
+    passes, windows = _passes(shared, n_ranks, share), None
+    n_parts = 2 * n if passes == 1 else n
+    for k in range(passes):
+        found = _phase_pairs(dealt, shared.filter(F.col("part") % passes == k), n, n_ranks, n_parts)
+        _release(found)
+        windows = found if windows is None else windows.unionByName(found)
     rows = _dealt(docs, doc_id, text, n_buckets, F.struct(*[F.col(k) for k in keep]))
     schema = C.schema_of(rows, ["carried"], "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
                                             "kept_text string")

@@ -153,6 +153,35 @@ def test_suffix_dedup(docs, rows, hot_docs):
         assert r.kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_suffix_dedup_takes_shared_ranks_in_passes(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcdefgh ", k=700)) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, "x" * 9 + t[:400] + "y" * 60) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    written = Counter()
+
+    def counted(df, label, outside=False, write=suffix_dedup.C.written):
+        written[label] += 1
+        return write(df, label, outside)
+
+    monkeypatch.setattr(suffix_dedup.C, "written", counted)
+    got = {r.carried.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect()}
+    ys = 60  # the run of y is in the first of its documents already
+    assert got == {**{i: (0, 0) for i in range(30)}, 100: (400, 1), **{100 + i: (400 + ys, 1) for i in range(1, 30)}}
+    # All ranks are shared: their contexts would take more bytes than the texts.
+    assert written["ranks"] == 1 and written["windows"] > 1
+
+
+def test_suffix_dedup_packed_integers():
+    rng = np.random.default_rng(6)
+    some = [np.sort(rng.integers(0, 1 << 40, 500)), np.array([-(2**63), 2**63 - 1, 0, -1]), np.empty(0, np.int64)]
+    rows = [{"x": suffix_dedup._packed(x)} for x in some]
+    assert suffix_dedup._unpacked(rows, "x").tolist() == np.concatenate(some).tolist()
+    assert [suffix_dedup._count(r["x"]) for r in rows] == [500, 4, 0]
+    assert suffix_dedup._unpacked([], "x").tolist() == []
+    assert len(suffix_dedup._packed(np.arange(10_000) // 3)) < 4_000  # a step fits a byte, most of it empty
+
+
 def test_suffix_dedup_long_text_in_stretches():
     rng = random.Random(3)
     text = "".join(rng.choices("abcd ", k=9000))
