@@ -56,8 +56,11 @@ def v2_pairs(spark: SparkSession, sf_dir: str, second_ref: bool = False) -> Data
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     prev = d.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("_prev")).filter("doc_id % 4 = 2")
-    j = d.join(prev, "doc_id", "left")
-    if second_ref:
+    if not second_ref:  # only the rows that ask for a neighbour have to meet it: the other texts stay where they are
+        asks = F.coalesce(F.col("doc_id") % 4 == 2, F.lit(False))
+        j = d.filter(asks).join(prev, "doc_id", "left").unionByName(d.filter(~asks).withColumn("_prev", F.lit(None).cast("string")))
+    else:
+        j = d.join(prev, "doc_id", "left")
         nxt = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("_next"))
         j = j.join(nxt, "doc_id", "left")
     toks = ws_tokens("text")

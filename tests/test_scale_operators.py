@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -355,3 +356,55 @@ def test_items_that_come_twice_stay_together_behind_a_join(spark, tmp):
     v2 = bindings.v2_pairs(spark, tmp, second_ref=True).collect()
     distinct = {(r.idx, w) for r in v2 for t in (r.predict, r.label, r.ref2) for w in t.split()}
     assert grams.distinct_grams == len(distinct)
+
+
+def test_padded_gram_totals_equal_the_plain_counts(spark, tmp):
+    from tessera.plans import q_metrics
+    rng = random.Random(9)
+    words = ["a", "b", "<s>", "</s>", "<s>x", "y</s>", "é☃", "x" * 70, "a b", "\x0b"]
+    text = lambda: "\n".join("".join(w + rng.choice([" ", "  ", "\t", "\r"]) for w in rng.choices(words, k=rng.choice([0, 0, 1, 2, 7, 30])))
+                             for _ in range(rng.choice([1, 4])))
+    rows = [(rng.choice([None, *range(60)]), "web", None if rng.random() < 0.1 else text()) for _ in range(120)]  # ids come twice
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5).write.parquet(f"{tmp}/documents.parquet")
+    by_id = Counter(i for i, _, _ in rows if i is not None)
+    got = q_metrics.q_padded_ngrams(spark, tmp)
+    want = {}
+    for n in (1, 2, 3):
+        grams = Counter()
+        for i, _, t in rows:
+            times = max(1, by_id[i - 1]) if i is not None and i % 4 == 2 else 1  # the binding's join with the document before
+            for line in (t.split("\n") if t is not None else ()):
+                toks = [w for w in line.replace("\t", " ").replace("\r", " ").split(" ") if w]
+                for g, k in _plain_grams(["<s>"] * (n - 1) + toks + ["</s>"] * (n - 1), n).items():
+                    grams[" ".join(g)] += k * times
+        want[n] = (len(grams), grams.total(), sum(k for g, k in grams.items() if g.startswith("<s>")),
+                   sum(k for g, k in grams.items() if g.endswith("</s>")))
+    assert {r.ord: tuple(r)[1:] for r in got.collect()} == want
+    # Lines are rows; grams were before, three for every token.
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    none = spark.createDataFrame([], "toks array<string>")
+    make = lambda t, n: tm.ngram_array(tm.pad_sequence(t, n, "<s>", "</s>"), n)
+    assert tm.gram_totals(none, "toks", (1, 2), make, "<s>", "</s>").count() == 0
+    empty = spark.createDataFrame([([],), (None,)], "toks array<string>")
+    assert [tuple(r) for r in tm.gram_totals(empty, "toks", (1, 2), make, "<s>", "</s>").collect()] == [(2, 1, 1, 1, 1)]
+
+
+def test_grams_of_token_rows_are_those_of_arrays(spark):
+    rows = [["a", "b", "a"], [], ["c"], ["<s>", "a"]]
+    joined = pa.array([" ".join(r) for r in rows])
+    df = spark.createDataFrame([(r,) for r in rows], "t array<string>")
+    for left, right in (("<s>", "</s>"), (None, "</s>"), ("<s>", None), (None, None)):
+        for n in (1, 2, 3):
+            toks, at, _ = tm.ngram_array(tm.pad_sequence(tm.token_rows(joined), n, left, right), n)
+            words = [w.decode() for w in toks.words.to_pylist()]
+            got = [" ".join(words[c] for c in toks.codes[i:i + n]) for i in at]
+            want = df.select(tm.ngram_array(tm.pad_sequence(F.col("t"), n, left, right), n)).collect()
+            assert got == [g for r in want for g in r[0]]
+
+
+def test_grams_of_one_digest_half_are_told_apart():
+    keys = [tm._range_of(np.array([5, 0, 2], np.uint64), np.array(x, "<u2")) for x in ([1, 2, 3], [2, 1, 3])]
+    assert [[x.tolist() for x in tm._halves(k)] for k in keys] == [[[5, 5, 7], [1, 2, 3]], [[5, 5, 7], [2, 1, 3]]]
+    assert tm._distinct(keys) == 3
+    texts = pa.array(["ab" * 5, "c", "", "d" * 40, "e"])
+    assert [x.to_pylist() for x in tm._cut_at(texts, 12)] == [["ab" * 5, "c", ""], ["d" * 40, "e"]]
